@@ -162,3 +162,22 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, ranges: int = 64
         .join(offsets, on)
         .select(*keys, value, "n_equal", (F.col("_less") + F.col("_in")).alias("n_less"), "n_group")
     )
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], cell_s: int = DAY
+) -> DataFrame:
+    """Sum of each value up to and including the row, as ``<value>_sum``.
+
+    Sums of earlier cells come from a table of sums per (keys, cell).
+    """
+    on = [*keys, "_cell"]
+    rows = df.withColumn("_cell", cell(time, cell_s))
+    span = Window.partitionBy(*_part(keys)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*on).agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    sums = sums.select(*on, *[F.coalesce(F.sum(f"_s_{v}").over(span), F.lit(0.0)).alias(f"_b_{v}") for v in values])
+    local = Window.partitionBy(*on).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values]).join(sums, on)
+    return rows.select(
+        *df.columns, *[(F.col(f"_b_{v}") + F.coalesce(f"_l_{v}", F.lit(0.0))).alias(f"{v}_sum") for v in values]
+    )
