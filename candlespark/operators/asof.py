@@ -68,7 +68,7 @@ def alignment(a: DataFrame, b: DataFrame, keys: Sequence[str], time: str, step_s
     moves = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("shift")
     left = a.select(*keys, F.col(time).alias("_t"), moves).withColumn("_a", F.lit(1))
     right = b.select(*keys, F.col(time), moves).withColumn("_b", F.lit(1))
-    right = right.withColumn("_t", from_micros(micros(time) + F.col("shift") * step_s * MICRO)).drop(time)
+    right = right.withColumn("_t", from_micros(micros(time) + F.col("shift").cast("long") * (step_s * MICRO))).drop(time)
     both = left.join(right, [*keys, "shift", "_t"], "full")
     hit_a, hit_b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
     return both.groupBy(*keys, "shift").agg(
