@@ -40,9 +40,9 @@ def _part(keys: Sequence[str]) -> list:
 
 def cell_counts(df: DataFrame, keys: Sequence[str], time: str, cell_s: int = DAY) -> DataFrame:
     """Rows per (keys, cell) with the number of rows in earlier cells."""
-    counts = df.groupBy(*keys, cell(time, cell_s).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, cell(time, cell_s).alias("_cell")).agg(F.count(F.lit(1)).alias("_cell_n"))
     earlier = Window.partitionBy(*_part(keys)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return counts.withColumn("_cell_before", F.coalesce(F.sum("_cell_n").over(earlier), F.lit(0)))
 
 
 def row_index(
@@ -58,14 +58,14 @@ def row_index(
     counts = cell_counts(df, keys, time, cell_s)
     on = [*keys, "_cell"]
     if total:
-        counts = counts.withColumn(total, F.sum("_n").over(Window.partitionBy(*_part(keys))))
+        counts = counts.withColumn(total, F.sum("_cell_n").over(Window.partitionBy(*_part(keys))))
     local = Window.partitionBy(*on).orderBy(*_cols([time, *ties]))
     rows = df.withColumn("_cell", cell(time, cell_s))
     rows = rows.withColumn("_rn", F.row_number().over(local).cast("long"))
     keep = [c for c in df.columns]
     extra = [F.col(total)] if total else []
-    return rows.join(counts.drop("_n"), on).select(
-        *keep, (F.col("_before") + F.col("_rn") - 1).alias(out), *extra
+    return rows.join(counts.drop("_cell_n"), on).select(
+        *keep, (F.col("_cell_before") + F.col("_rn") - 1).alias(out), *extra
     )
 
 

@@ -367,9 +367,9 @@ def _(spark, sf):
 @query("source_alignment", f"""
 WITH {BARS}, sh AS (SELECT unnest([-1, 0, 1]) AS shift), a AS (SELECT symbol, shift, open_time FROM bars, sh WHERE symbol IN ('click', 'view')),
 b AS (SELECT symbol, shift, open_time + shift * INTERVAL 1 HOUR AS open_time FROM bars, sh WHERE symbol IN ('click', 'view', 'error'))
-SELECT symbol, shift::INTEGER AS shift, count(*) FILTER (WHERE at IS NOT NULL AND bt IS NOT NULL) AS matched, count(*) FILTER (WHERE bt IS NULL) AS only_a,
-  count(*) FILTER (WHERE at IS NULL) AS only_b
-FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.shift, b.shift) AS shift, a.open_time AS at, b.open_time AS bt
+SELECT symbol, shift::INTEGER AS shift, count(*) FILTER (WHERE ta IS NOT NULL AND tb IS NOT NULL) AS matched, count(*) FILTER (WHERE tb IS NULL) AS only_a,
+  count(*) FILTER (WHERE ta IS NULL) AS only_b
+FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.shift, b.shift) AS shift, a.open_time AS ta, b.open_time AS tb
   FROM a FULL JOIN b ON a.symbol = b.symbol AND a.shift = b.shift AND a.open_time = b.open_time) GROUP BY ALL""")
 def _(spark, sf):
     """Do two sources share their time base?  Matches at shifts -1, 0, +1."""
