@@ -138,7 +138,10 @@ def restrict_days(bars: DataFrame, days: DataFrame, time: str = "open_time", day
     return marked.join(days.select(F.col(day).alias("_day")).distinct(), "_day", "left_semi").drop("_day")
 
 
-def newest_rows(bars: DataFrame, k: int, keys: Sequence[str] = ("symbol",), time: str = "open_time", cell_s: int = DAY) -> DataFrame:
+def newest_rows(
+    bars: DataFrame, k: int, keys: Sequence[str] = ("symbol",), time: str = "open_time", cell_s: int = DAY,
+    ties: Sequence[str] = (),
+) -> DataFrame:
     """The last ``k`` bars per key, without ordering a key's whole history.
 
     Days are counted from the newest back; only days that can hold one of the
@@ -153,7 +156,7 @@ def newest_rows(bars: DataFrame, k: int, keys: Sequence[str] = ("symbol",), time
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_later") < k)
-    w = Window.partitionBy(*on).orderBy(F.desc(time))
+    w = Window.partitionBy(*on).orderBy(F.desc(time), *[F.desc(t) for t in ties])
     near = rows.join(needed.drop("_n"), on).withColumn("_rank", F.row_number().over(w) + F.col("_later"))
     return near.where(F.col("_rank") <= k).select(*bars.columns)
 
