@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.functions.times import MICRO, from_micros, micros
-from candlespark.operators.blocks import DAY, carry_last
+from candlespark.operators.blocks import HOUR, carry_last
 
 
 def asof_join(
@@ -21,7 +21,7 @@ def asof_join(
     lag_s: int = 0,
     tolerance_s: int | None = None,
     ties: Sequence[str] = (),
-    cell_s: int = DAY,
+    cell_s: int = HOUR,
 ) -> DataFrame:
     """Join the newest right row at or before each left time, per key.
 
@@ -50,7 +50,7 @@ def asof_join(
 
 
 def interval_join(
-    points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str, cell_s: int = HOUR
 ) -> DataFrame:
     """Points with the span ``[start, end)`` of the same key that holds them.
 
@@ -58,7 +58,7 @@ def interval_join(
     only candidate: an as-of join, kept while the span is still open.
     """
     values = [c for c in spans.columns if c not in keys]
-    out = asof_join(points, spans.withColumnRenamed(start, "_s").withColumn(start, F.col("_s")), keys, time, "_s", values)
+    out = asof_join(points, spans.withColumnRenamed(start, "_s").withColumn(start, F.col("_s")), keys, time, "_s", values, cell_s=cell_s)
     open_ = F.col(end).isNull() | (F.col(time) < F.col(end))
     return out.where(F.col(start).isNotNull() & open_).drop("matched_time")
 

@@ -13,7 +13,8 @@ task.  The helpers here cut each history into calendar cells and row blocks:
 * ``value_ranks`` average ranks by value ranges instead of one sort per group.
 
 A cell holds at most ``cell_s / bar length`` bars, and a group has as many
-cells as its calendar has, whatever the number of rows is.
+cells as its calendar has, whatever the number of rows is.  Narrow cells cost
+little (one small row each), so streams of ticks or events use minutes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.window import WindowSpec
 
 from candlespark.functions.times import cell
 
-DAY = 86_400
+MINUTE, HOUR, DAY = 60, 3_600, 86_400
 MIN_BLOCK_ROWS = 4096
 
 
@@ -38,11 +39,37 @@ def _part(keys: Sequence[str]) -> list:
     return list(keys) if keys else [F.lit(0)]
 
 
-def cell_counts(df: DataFrame, keys: Sequence[str], time: str, cell_s: int = DAY) -> DataFrame:
-    """Rows per (keys, cell) with the number of rows in earlier cells."""
-    counts = df.groupBy(*keys, cell(time, cell_s).alias("_cell")).agg(F.count(F.lit(1)).alias("_cell_n"))
-    earlier = Window.partitionBy(*_part(keys)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_cell_before", F.coalesce(F.sum("_cell_n").over(earlier), F.lit(0)))
+def _by_cell(df: DataFrame, keys: Sequence[str], time: str, cell_s: int) -> DataFrame:
+    """Rows with their cell, shuffled once by (keys, cell).
+
+    Each helper below reads this shuffle twice: for the rows in order and for
+    one row per cell.  Spark shares a shuffle between two branches only if both
+    read the same columns under the same conditions.  So both look at whole
+    rows, by their hash (the ordered branch as its last tie-break, which also
+    makes the order total), and rows without a time are left out before the
+    shuffle instead of by the join.  The input is then computed once, however
+    long its lineage is; select the columns you need before calling.
+    """
+    rows = df.withColumn("_cell", cell(time, cell_s)).where(F.col("_cell").isNotNull())
+    return rows.repartition(*keys, "_cell")
+
+
+def _hash(rows: DataFrame) -> Column:
+    return F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
+
+
+def _whole(rows: DataFrame) -> Column:
+    """An aggregate over all columns; never NULL for a group that has rows."""
+    return F.max(_hash(rows)).alias("_whole")
+
+
+def _per_cell(rows: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    on = [*keys, "_cell"]
+    return rows.groupBy(*on).agg(*aggs, _whole(rows)).where(F.col("_whole").isNotNull()).drop("_whole")
+
+
+def _cells_before(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*_part(keys)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_index(
@@ -55,18 +82,16 @@ def row_index(
     total: str | None = None,
 ) -> DataFrame:
     """Zero-based row number per group in (time, ties) order; ``total`` adds the group size."""
-    counts = cell_counts(df, keys, time, cell_s)
     on = [*keys, "_cell"]
-    if total:
-        counts = counts.withColumn(total, F.sum("_cell_n").over(Window.partitionBy(*_part(keys))))
-    local = Window.partitionBy(*on).orderBy(*_cols([time, *ties]))
-    rows = df.withColumn("_cell", cell(time, cell_s))
+    rows = _by_cell(df, keys, time, cell_s)
+    counts = _per_cell(rows, keys, F.count(F.lit(1)).alias("_cell_n"))
+    before = F.coalesce(F.sum("_cell_n").over(_cells_before(keys)), F.lit(0)).alias("_cell_before")
+    size = [F.sum("_cell_n").over(Window.partitionBy(*_part(keys))).alias(total)] if total else []
+    counts = counts.select(*on, before, *size)
+    local = Window.partitionBy(*on).orderBy(*_cols([time, *ties]), _hash(rows))
     rows = rows.withColumn("_rn", F.row_number().over(local).cast("long"))
-    keep = [c for c in df.columns]
     extra = [F.col(total)] if total else []
-    return rows.join(counts.drop("_cell_n"), on).select(
-        *keep, (F.col("_cell_before") + F.col("_rn") - 1).alias(out), *extra
-    )
+    return rows.join(counts, on).select(*df.columns, (F.col("_cell_before") + F.col("_rn") - 1).alias(out), *extra)
 
 
 def over_blocks(
@@ -94,7 +119,7 @@ def over_blocks(
     first = block(F.greatest(F.col("_idx") - after, F.lit(0)))
     last = block(F.col("_idx") + before)
     copies = idx.withColumn("_block", F.explode(F.sequence(first, last)))
-    w = Window.partitionBy(*keys, "_block").orderBy(*_cols([time, *ties]))
+    w = Window.partitionBy(*keys, "_block").orderBy("_idx")
     out = fn(copies, w).where(F.col("_block") == block(F.col("_idx")))
     return out.drop("_idx", "_block")
 
@@ -110,18 +135,12 @@ def carry_last(
 ) -> DataFrame:
     """Newest non-null ``value`` at or before each row, in (time, order) order."""
     on = [*keys, "_cell"]
-    rows = df.withColumn("_cell", cell(time, cell_s))
+    rows = _by_cell(df, keys, time, cell_s)
     rank = F.struct(*_cols([time, *order])) if order else F.col(time)
     # The tail of a cell serves later cells until the next tail takes over.
-    cells = rows.groupBy(*on).agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_tail")
-    )
-    span = Window.partitionBy(*_part(keys)).orderBy("_cell")
-    carried = cells.select(
-        *on,
-        F.last("_tail", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-    )
-    within = Window.partitionBy(*on).orderBy(*_cols([time, *order]))
+    tails = _per_cell(rows, keys, F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_tail"))
+    carried = tails.select(*on, F.last("_tail", ignorenulls=True).over(_cells_before(keys)).alias("_carry"))
+    within = Window.partitionBy(*on).orderBy(*_cols([time, *order]), _hash(rows))
     local = F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     return (
         rows.withColumn("_local", local)
@@ -131,31 +150,32 @@ def carry_last(
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, ranges: int = 64) -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, ranges: int = 128, weight: str | None = None
+) -> DataFrame:
     """(keys, value, n_equal, n_less, n_group) for each distinct value.
 
     Counts per distinct value are formed first, so ties never meet in one
-    task; then values are ordered within approximate quantile ranges only.
-    The result is exact whatever the range bounds are.
+    task; then the distinct values are ordered within approximate quantile
+    ranges only.  The result is exact whatever the range bounds are.  ``df``
+    may hold counted rows, with the count in ``weight``.
     """
     if not keys:
-        return value_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, ranges).drop("_all")
-    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
+        return value_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, ranges, weight).drop("_all")
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    distinct = df.groupBy(*keys, value).agg(count.alias("n_equal"))
     shares = [i / ranges for i in range(1, ranges)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, 1000).alias("_bounds"), F.count(F.lit(1)).alias("n_group")
+    bounds = distinct.groupBy(*keys).agg(
+        F.percentile_approx(value, shares, 20 * ranges).alias("_bounds"), F.sum("n_equal").alias("n_group")
     )
     placed = distinct.join(bounds, list(keys)).withColumn(
         "_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
     on = [*keys, "_range"]
-    span = Window.partitionBy(*_part(keys)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*on)
-        .agg(F.sum("n_equal").alias("_n"))
-        .withColumn("_less", F.coalesce(F.sum("_n").over(span), F.lit(0)))
-        .drop("_n")
-    )
+    placed = placed.repartition(*on)
+    span = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*on).agg(F.sum("n_equal").alias("_total"), _whole(placed)).where(F.col("_whole").isNotNull())
+    offsets = totals.select(*on, F.coalesce(F.sum("_total").over(span), F.lit(0)).alias("_less"))
     local = Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.withColumn("_in", F.coalesce(F.sum("n_equal").over(local), F.lit(0)))
@@ -172,11 +192,11 @@ def running_sum(
     Sums of earlier cells come from a table of sums per (keys, cell).
     """
     on = [*keys, "_cell"]
-    rows = df.withColumn("_cell", cell(time, cell_s))
-    span = Window.partitionBy(*_part(keys)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*on).agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    rows = _by_cell(df, keys, time, cell_s)
+    sums = _per_cell(rows, keys, *[F.sum(v).alias(f"_s_{v}") for v in values])
+    span = _cells_before(keys)
     sums = sums.select(*on, *[F.coalesce(F.sum(f"_s_{v}").over(span), F.lit(0.0)).alias(f"_b_{v}") for v in values])
-    local = Window.partitionBy(*on).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*on).orderBy(time, _hash(rows)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values]).join(sums, on)
     return rows.select(
         *df.columns, *[(F.col(f"_b_{v}") + F.coalesce(f"_l_{v}", F.lit(0.0))).alias(f"{v}_sum") for v in values]

@@ -16,7 +16,7 @@ from pyspark.sql.window import WindowSpec
 from candlespark.functions import arrays
 from candlespark.functions.safe import div, ln
 from candlespark.operators.asof import asof_join
-from candlespark.operators.blocks import DAY, over_blocks
+from candlespark.operators.blocks import DAY, HOUR, over_blocks
 from candlespark.operators.resample import drop_incomplete, resample, resample_live
 from candlespark.schema import BAR_FIELDS
 
@@ -106,7 +106,7 @@ def model_inputs(rows: DataFrame, names: Sequence[str], target: str | None = Non
 
 
 def features_at(
-    features: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS, time: str = "at", cell_s: int = DAY
+    features: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS, time: str = "at", cell_s: int = HOUR
 ) -> DataFrame:
     """Features as known at arbitrary request times: the newest row at or before each."""
     value = [c for c in features.columns if c not in (*keys, "open_time")]

@@ -244,20 +244,18 @@ def zptae(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], ranges: int = 64) -> DataFrame:
+def spearman(pairs: DataFrame, keys: Sequence[str], ranges: int = 128) -> DataFrame:
     """Rank correlation with average ranks; p from the same t test."""
     keys = list(keys)
-    combos = pairs.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("_n"))
+    # Everything below starts from the counted pairs: one pass over the input.
+    combos = pairs.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("_w"))
+    c = combos
     for side in ("y_true", "y_pred"):
-        ranks = value_ranks(pairs, keys, side, ranges)
-        mean = (F.col("n_less") + (F.col("n_equal") + 1) / 2.0).alias(f"_r_{side}")
-        combos = combos.join(ranks.select(*keys, side, mean), [*keys, side])
-    a, b, n = F.col("_r_y_true"), F.col("_r_y_pred"), F.col("_n")
-    # Ranks have the known mean (N + 1) / 2; centring first keeps the sums small.
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    c = combos.join(sizes, keys)
-    mid = (F.col("_size") + 1) / 2.0
-    da, db = a - mid, b - mid
+        ranks = value_ranks(combos, keys, side, ranges, weight="_w")
+        # Average ranks have the known mean (N + 1) / 2; centred, the sums stay small.
+        off = F.col("n_less") + F.col("n_equal") / 2.0 - F.col("n_group") / 2.0
+        c = c.join(ranks.select(*keys, side, off.alias(f"_d_{side}")), [*keys, side])
+    da, db, n = F.col("_d_y_true"), F.col("_d_y_pred"), F.col("_w")
     out = c.groupBy(*keys).agg(
         F.sum(n).alias("n"),
         div(F.sum(n * da * db), F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("_r"),
@@ -310,7 +308,7 @@ def calibration(pairs: DataFrame, keys: Sequence[str], n_bins: int = 5) -> DataF
     keys = list(keys)
     sized = pairs.select(*keys, F.abs(Y).alias("size_true"), F.abs(P).alias("size_pred"))
     per_value = sized.groupBy(*keys, "size_pred").agg(F.sum("size_true").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    ranks = value_ranks(sized, keys, "size_pred")
+    ranks = value_ranks(per_value, keys, "size_pred", weight="_n")
     placed = per_value.join(ranks, [*keys, "size_pred"])
     bins = placed.withColumn("bin", F.floor(n_bins * F.col("n_less") / F.col("n_group")).cast("int"))
     out = bins.groupBy(*keys, "bin").agg(

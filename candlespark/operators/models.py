@@ -11,13 +11,13 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.functions.names import price_from_log_return, valid_prediction
+from candlespark.session import cut_lineage
 
 
 def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -55,12 +55,12 @@ def cross_validate(
 ) -> DataFrame:
     """Out-of-fold predictions of every (config, checkpoint).
 
-    ``split`` has (fold, role) rows.  It is assembled once and kept while the
-    fits run, spilling to disk; each configuration is fitted once per fold
-    with the largest number of trees.
+    ``split`` has (fold, role) rows.  It is assembled once and written to the
+    shared folder by fold and role, so a fit reads its own part only; each
+    configuration is fitted once per fold with the largest number of trees.
     """
     data = assemble(split.dropna(subset=[target]), features).select(*keys, time, target, "fold", "role", "features")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(data, "folds", ["fold", "role"])
     folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
 
     def one(job):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from candlespark.functions.safe import div
 from candlespark.functions.times import MICRO, add_seconds, micros
 from candlespark.operators.asof import interval_join
-from candlespark.operators.blocks import DAY, over_blocks
+from candlespark.operators.blocks import DAY, MINUTE, over_blocks
 from candlespark.schema import EVENT_KEY
 
 TARGET = ["topic_id", "address"]
@@ -271,7 +271,7 @@ def period_metrics(events: DataFrame, targets: DataFrame, as_of: Column, periods
 
 def event_series(
     events: DataFrame, limit: int | None = 200, event_type: str | None = None, deployment_id: str | None = None,
-    keys: Sequence[str] | None = TARGET, cell_s: int = DAY,
+    keys: Sequence[str] | None = TARGET, cell_s: int = MINUTE,
 ) -> DataFrame:
     """Newest events, at most ``limit`` per key (or in all, with ``keys=None``)."""
     from candlespark.sources.bars import newest_rows
@@ -347,10 +347,10 @@ def active_deployments(targets: DataFrame, history: DataFrame) -> DataFrame:
     return targets.join(active, TARGET)
 
 
-def events_to_deployments(events: DataFrame, history: DataFrame) -> DataFrame:
+def events_to_deployments(events: DataFrame, history: DataFrame, cell_s: int = MINUTE) -> DataFrame:
     """Each event with the deployment that was active at its time."""
     spans = history.select(*TARGET, F.col("deployment_id").alias("active_deployment"), F.col("deployed_at").alias("start"), "ended_at")
-    return interval_join(events, spans, TARGET, "observed_at", "start", "ended_at")
+    return interval_join(events, spans, TARGET, "observed_at", "start", "ended_at", cell_s)
 
 
 def health(status: Column, last_error: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlespark.functions.safe import div, ln
-from candlespark.functions.times import from_micros, micros
+from candlespark.functions.safe import ln
 from candlespark.operators import features as X
 from candlespark.operators import resample as R
 from candlespark.operators.asof import asof_join
+from candlespark.operators.blocks import MINUTE as TICK_CELL
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, BARS_1D, MONTH, TICKS, YEAR, bars_1d, bars_1h, bars_sql, ticks
 
@@ -290,7 +290,7 @@ def _(spark, sf):
     feats = X.window_features(bars_1h(spark, sf), 12, cell_s=MONTH).where("window IS NOT NULL")
     feats = feats.select("symbol", "open_time", F.col("window")[0]["close"].alias("first_close"))
     times = ticks(spark, sf).select("symbol", F.col("ts").alias("at"))
-    return X.features_at(feats, times)
+    return X.features_at(feats, times, cell_s=TICK_CELL)
 
 
 LIVE = DONE.replace("nw AS (", "nw AS (") + """,
@@ -547,7 +547,7 @@ FROM bars b ASOF LEFT JOIN dq ON b.symbol = dq.symbol AND b.open_time - INTERVAL
 def _(spark, sf):
     """Newest external row published at least 15 minutes before each bar."""
     bars = bars_1h(spark, sf).select("symbol", "open_time", "close")
-    return asof_join(bars, ticks(spark, sf), ["symbol"], "open_time", "ts", ["price"], lag_s=900, ties=["seq"])
+    return asof_join(bars, ticks(spark, sf), ["symbol"], "open_time", "ts", ["price"], lag_s=900, ties=["seq"], cell_s=TICK_CELL)
 
 
 @query("asof_tolerance", f"""
@@ -558,7 +558,7 @@ SELECT symbol, open_time, CASE WHEN epoch_us(open_time) - epoch_us(ts) <= 600000
 def _(spark, sf):
     """As-of join that drops matches older than ten minutes."""
     bars = bars_1h(spark, sf).select("symbol", "open_time")
-    return asof_join(bars, ticks(spark, sf), ["symbol"], "open_time", "ts", ["price"], tolerance_s=600, ties=["seq"])
+    return asof_join(bars, ticks(spark, sf), ["symbol"], "open_time", "ts", ["price"], tolerance_s=600, ties=["seq"], cell_s=TICK_CELL)
 
 
 @query("lookahead_audit", f"""

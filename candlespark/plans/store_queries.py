@@ -143,6 +143,17 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", N.symbol_key(name).alias("symbol_key"), N.ticker(name).alias("ticker"))
 
 
+@query("tolerant_scan", f"WITH {BARS} SELECT symbol, count(*) AS n_bars, {r('sum(close) AS close_total')}, true AS reported FROM bars GROUP BY 1")
+def _(spark, sf):
+    """A store with a broken file: the rest is read, the file is reported."""
+    path, bars = shared_dir(spark, "store"), bars_1h(spark, sf)
+    bars.select(*B.BAR_COLUMNS).write.parquet(f"{path}/good")
+    bars.select(F.concat_ws(",", "symbol", F.col("close").cast("string"))).write.text(f"{path}/broken")
+    n_bad = B.unreadable_files(spark, path).count()
+    out = B.tolerant_scan(spark, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("close_total"))
+    return out.withColumn("reported", F.lit(n_bad > 0))
+
+
 @query("exported_predictions", f"""
 WITH {BARS}, p AS (SELECT symbol, open_time, ln(lead(close) OVER w) - ln(close) AS target, -0.3 * (ln(close) - ln(lag(close) OVER w)) AS pred FROM bars {W})
 SELECT open_time, {r('target', 'pred')} FROM p WHERE pred IS NOT NULL""")

@@ -45,12 +45,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, name: str):
+def cut_lineage(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives the loss of executors and is scanned with
     column pruning by every later branch.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -161,13 +161,22 @@ def newest_rows(
     return near.where(F.col("_rank") <= k).select(*bars.columns)
 
 
+def tolerant_scan(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path``, skipping the ones that are no valid Parquet."""
+    reader = spark.read.schema(BAR_SCHEMA).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    return reader.parquet(path)
+
+
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a store that cannot be read as Parquet: (path, length).
+    """Files that gave no row to a tolerant scan: (path, length).
 
-    Files that yield rows when corrupt ones are skipped are taken off the
-    listing; empty but valid files keep a footer and are checked by it.
+    The listing reads no contents and the scan no columns, only footers.
+    Nothing is deleted.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    tail = F.substring("content", -4, 4) == F.encode(F.lit("PAR1"), "US-ASCII")
-    head = F.substring("content", 1, 4) == F.encode(F.lit("PAR1"), "US-ASCII")
-    return listing.where(~(head & tail) | (F.col("length") < 12)).select("path", "length")
+
+    def name(col: Column) -> Column:
+        return F.regexp_replace(col, "^([A-Za-z0-9]+):/+", "$1:/")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name(F.col("path")).alias("path"), "length")
+    read = tolerant_scan(spark, path).select(name(F.col("_metadata.file_path")).alias("path")).distinct()
+    return files.join(read, "path", "left_anti")
