@@ -112,25 +112,24 @@ def _directional(d: DataFrame) -> DataFrame:
     over = (m * F.col("hit_pairs") - sx * sy).cast("double")
     under = root(((m * sx - sx * sx) * (m * sy - sy * sy)).cast("double"))
     rho = F.when(n > 2, F.greatest(F.coalesce(div(over, under), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
-    d = d.withColumn("da_autocorrelation", rho)
-    rho = F.col("da_autocorrelation")
+    d = d.withColumns({"da_autocorrelation": rho, "directional_accuracy": F.coalesce(div(hits, n), F.lit(0.5))})
+    rho, da = F.col("da_autocorrelation"), F.col("directional_accuracy")
     thin = n.cast("double") * (1 - rho) / (1 + rho)
     d = d.withColumn("da_n_effective", F.when(n > 2, F.greatest(thin, F.lit(2.0))).otherwise(n.cast("double")))
-    d = d.withColumn("directional_accuracy", F.coalesce(div(hits, n), F.lit(0.5)))
-    da, ne = F.col("directional_accuracy"), F.col("da_n_effective")
+    ne = F.col("da_n_effective")
     z = F.greatest(div(da - 0.5 - div(0.5, ne), F.sqrt(div(0.25, ne))), F.lit(0.0))
     zz = Z95 * Z95
     denom = 1 + div(zz, ne)
     center = div(da + div(zz, 2 * ne), denom)
     margin = div(Z95 * F.sqrt(div(da * (1 - da), ne) + div(zz, 4 * ne * ne)), denom)
     some = n > 0
-    return (
-        d.withColumn("da_pvalue", F.when(some, 1 - normal_cdf(z)).otherwise(1.0))
-        .withColumn("da_ci_lower", F.when(some, center - margin).otherwise(0.0))
-        .withColumn("da_ci_upper", F.when(some, center + margin).otherwise(1.0))
-        .withColumnRenamed("n_moved", "da_n_samples")
-        .withColumnRenamed("hits", "da_n_correct")
-    )
+    return d.withColumns(
+        {
+            "da_pvalue": F.when(some, 1 - normal_cdf(z)).otherwise(1.0),
+            "da_ci_lower": F.when(some, center - margin).otherwise(0.0),
+            "da_ci_upper": F.when(some, center + margin).otherwise(1.0),
+        }
+    ).withColumnsRenamed({"n_moved": "da_n_samples", "hits": "da_n_correct"})
 
 
 def _moments(d: DataFrame) -> DataFrame:
@@ -138,8 +137,9 @@ def _moments(d: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     flat_y = (F.col("_ragged_y") == 0) & (F.col("_gap_y") == 0)
     flat_p = (F.col("_ragged_p") == 0) & (F.col("_gap_p") == 0)
-    d = d.withColumn("std_true", F.when(flat_y, zero).otherwise(root("_vy")))
-    d = d.withColumn("std_pred", F.when(flat_p, zero).otherwise(root("_vp")))
+    d = d.withColumns(
+        {"std_true": F.when(flat_y, zero).otherwise(root("_vy")), "std_pred": F.when(flat_p, zero).otherwise(root("_vp"))}
+    )
     r = div("_cyp", F.col("std_true") * F.col("std_pred"))
     return d.withColumn("pearson_r", F.greatest(F.least(F.coalesce(r, zero), F.lit(1.0)), F.lit(-1.0)))
 
@@ -159,36 +159,41 @@ def evaluate(
     keys = list(keys)
     d = _moments(_directional(_merge(_cells(pairs, keys, time, cell_s), keys)))
     zero, one, n = F.lit(0.0), F.lit(1.0), F.col("n_samples")
-    defined = (F.col("std_true") > 0) & (F.col("std_pred") > 0)
-    d = d.withColumn("pearson_pvalue", F.when(defined, corr_pvalue("pearson_r", "n_samples")).otherwise(one))
-    d = d.withColumn("wrmse_model", F.coalesce(F.sqrt(div("w_se", "w")), zero))
-    d = d.withColumn("wrmse_baseline", F.coalesce(F.sqrt(div("w_yy", "w")), zero))
-    d = d.withColumn(
-        "wrmse_improvement",
-        F.coalesce(div(F.col("wrmse_baseline") - F.col("wrmse_model"), "wrmse_baseline"), zero),
-    )
     varied = F.col("std_true") > 0
-    d = d.withColumn("czar_model", F.when(varied, div("signed", "std_true")).otherwise(zero))
-    d = d.withColumn("czar_oracle", F.when(varied, div("w", "std_true")).otherwise(zero))
-    d = d.withColumn("czar_improvement", F.coalesce(div("czar_model", "czar_oracle"), zero))
-    aspect = F.log10(div("std_pred", "std_true"))
-    d = d.withColumn("log_aspect_ratio", F.when(varied & (F.col("std_pred") > 0), aspect).otherwise(zero))
-    d = d.withColumn("naive_return", F.col("signed"))
-    d = d.withColumn("naive_annualized_return", F.col("signed") * (MINUTES_PER_YEAR / epoch_minutes) / n)
-    d = d.withColumn("mae", F.col("abs_err") / n).withColumn("mse", F.col("sq_err") / n)
-    d = d.withColumn("rmse", F.sqrt("mse"))
-    total = n * F.col("std_true") * F.col("std_true")
-    d = d.withColumn("r2", F.when(total > 0, 1 - div("sq_err", total)).otherwise(zero))
-    mape = F.coalesce(div("rel_err", "da_n_samples") * 100, F.lit(float("inf")))
-    d = d.withColumn("mape", mape)
+    defined = varied & (F.col("std_pred") > 0)
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    d = d.withColumn("precision", F.coalesce(div(tp, tp + fp), zero))
-    d = d.withColumn("recall", F.coalesce(div(tp, tp + fn), zero))
+    total = n * F.col("std_true") * F.col("std_true")
+    d = d.withColumns(
+        {
+            "pearson_pvalue": F.when(defined, corr_pvalue("pearson_r", "n_samples")).otherwise(one),
+            "wrmse_model": F.coalesce(F.sqrt(div("w_se", "w")), zero),
+            "wrmse_baseline": F.coalesce(F.sqrt(div("w_yy", "w")), zero),
+            "czar_model": F.when(varied, div("signed", "std_true")).otherwise(zero),
+            "czar_oracle": F.when(varied, div("w", "std_true")).otherwise(zero),
+            "log_aspect_ratio": F.when(defined, F.log10(div("std_pred", "std_true"))).otherwise(zero),
+            "naive_return": F.col("signed"),
+            "naive_annualized_return": F.col("signed") * (MINUTES_PER_YEAR / epoch_minutes) / n,
+            "mae": F.col("abs_err") / n,
+            "mse": F.col("sq_err") / n,
+            "r2": F.when(total > 0, 1 - div("sq_err", total)).otherwise(zero),
+            "mape": F.coalesce(div("rel_err", "da_n_samples") * 100, F.lit(float("inf"))),
+            "precision": F.coalesce(div(tp, tp + fp), zero),
+            "recall": F.coalesce(div(tp, tp + fn), zero),
+            "specificity": F.coalesce(div(tn, tn + fp), zero),
+        }
+    )
+    model, base = F.col("wrmse_model"), F.col("wrmse_baseline")
     pr, rc = F.col("precision"), F.col("recall")
-    d = d.withColumn("f1_score", F.coalesce(div(2 * pr * rc, pr + rc), zero))
-    d = d.withColumn("specificity", F.coalesce(div(tn, tn + fp), zero))
-    for short, name in (("tp", "true_positives"), ("tn", "true_negatives"), ("fp", "false_positives"), ("fn", "false_negatives")):
-        d = d.withColumnRenamed(short, name)
+    d = d.withColumns(
+        {
+            "wrmse_improvement": F.coalesce(div(base - model, base), zero),
+            "czar_improvement": F.coalesce(div("czar_model", "czar_oracle"), zero),
+            "rmse": F.sqrt("mse"),
+            "f1_score": F.coalesce(div(2 * pr * rc, pr + rc), zero),
+        }
+    ).withColumnsRenamed(
+        {"tp": "true_positives", "tn": "true_negatives", "fp": "false_positives", "fn": "false_negatives"}
+    )
     if n_expected is not None:
         d = d.withColumn("temporal_coverage_pass", coverage(n, F.lit(n_expected)))
     hidden = [c for c in d.columns if c.startswith("_")]
@@ -214,9 +219,10 @@ def grade(report: DataFrame) -> DataFrame:
     }
     out = report.select("*", *[c.alias(k) for k, c in flags.items()])
     passed = sum((F.col(k).cast("long") for k in flags), F.lit(0).cast("long"))
-    out = out.withColumn("num_passed", passed).withColumn("score", F.col("num_passed") / F.lit(7.0))
     letters = F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])
-    return out.withColumn("grade", F.element_at(letters, F.col("num_passed").cast("int")))
+    won = F.col("num_passed")
+    out = out.withColumn("num_passed", passed)
+    return out.withColumns({"score": won / F.lit(7.0), "grade": F.element_at(letters, won.cast("int"))})
 
 
 def zptae(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,6 +33,22 @@ def _aggregate(name: str, how: Agg, order: Column) -> Column:
     return made[how]().alias(name)
 
 
+def _order(df: DataFrame, time: str, ties: Sequence[str]) -> Column:
+    """What open and close go by.
+
+    One integer tie-break is folded into a decimal with the time: unlike a
+    struct, its type stays in the hash aggregate, where a struct would force
+    every input split to be sorted.
+    """
+    if not ties:
+        return F.col(time)
+    kinds = dict(df.dtypes)
+    if len(ties) == 1 and kinds[ties[0]] in ("bigint", "int"):
+        step = F.lit("20000000000000000000").cast("decimal(20,0)")  # more than the range of a bigint
+        return micros(time).cast("decimal(19,0)") * step + F.col(ties[0])
+    return F.struct(time, *ties)
+
+
 def resample(
     bars: DataFrame,
     freq: str,
@@ -45,13 +61,12 @@ def resample(
     """Combine rows into ``freq`` buckets per key.
 
     Rows of a key are partially combined before the shuffle.  Stored bars have
-    one row per (key, time), so open and close order by time alone, which
-    keeps the hash aggregate; ticks name their tie-breaking columns in
-    ``ties``.
+    one row per (key, time), so open and close order by time alone; ticks name
+    their tie-breaking columns in ``ties``.
     """
     width = interval_minutes(freq) * 60
     off = offset_minutes * 60 * MICRO
-    order = F.struct(time, *ties) if ties else F.col(time)
+    order = _order(bars, time, ties)
     slot = bucket(bars, time, width, off)
     return (
         bars.withColumn("_slot", slot)
