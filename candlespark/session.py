@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Recording the call site of every column expression costs a few round trips
+# to the JVM each, which adds up to seconds in wide reports.  Fixed at start.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what results depend on: bar times are UTC wall-clock times."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -23,6 +28,7 @@ def local_session(cpus: int | str = 8, app: str = "candlespark") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config(CALL_SITES, "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
