@@ -198,9 +198,10 @@ def _(spark, sf):
 
 
 @query("stream_live_scores", f"""
-WITH {BARS}, l AS (SELECT symbol, open_time, close, volume, list(close) OVER w AS cl, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k FROM bars
+WITH {BARS}, l AS (SELECT symbol, open_time, close, volume, list(close) OVER w AS cl, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k,
+   count(*) OVER (PARTITION BY symbol) AS nb FROM bars WHERE open_time > (SELECT max(open_time) FROM bars) + INTERVAL 1 MINUTE - INTERVAL 14 HOUR
    WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
-SELECT symbol, open_time, {r('close AS current_price', 'list_avg(cl) / close - 1 AS prediction')} FROM l WHERE k = 1 AND volume <> 0""")
+SELECT symbol, open_time, {r('close AS current_price', 'list_avg(cl) / close - 1 AS prediction')} FROM l WHERE k = 1 AND nb >= 12 AND volume <> 0""")
 def _(spark, sf):
     """Micro-batches scored on the newest windows, with the training feature code."""
     store, out = shared_dir(spark, "store"), shared_dir(spark, "scores")

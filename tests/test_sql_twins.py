@@ -24,7 +24,9 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", ROWS)
 def test_gives_rows(spark, name):
-    assert entry.queries()[name](spark, SMALL).count() > 0
+    # The smallest tables are too sparse for a full live window.
+    sf_dir = SMALL.replace("0.001", "0.01") if "live" in name else SMALL
+    assert entry.queries()[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
