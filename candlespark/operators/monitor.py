@@ -25,6 +25,7 @@ PERIODS = {"24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 OVERLAP_S = 30
 BLOCK_SECONDS = 3
 BUCKET_S = 300
+SIGNAL_IDS = {"score": "score_ema", "reward": "reward_fraction", "whitelist": "whitelist", "eligibility": "can_submit"}
 
 
 # ------------------------------------------------------------------- ingest
@@ -140,8 +141,8 @@ def snapshot_signals(signals: DataFrame) -> DataFrame:
     bucket = F.floor(micros("at") / F.lit(BUCKET_S * MICRO)).cast("long").cast("string")
     who = [F.col("topic_id").cast("string"), F.col("address")]
 
-    def row(kind: str, prefix: str, value: Column, text: Column, bucketed: bool) -> Column:
-        event_id = F.concat_ws(":", F.lit(prefix), *who, *([bucket] if bucketed else []))
+    def row(kind: str, value: Column, text: Column, bucketed: bool) -> Column:
+        event_id = F.concat_ws(":", F.lit(SIGNAL_IDS[kind]), *who, *([bucket] if bucketed else []))
         made = F.struct(event_id.alias("event_id"), F.lit(kind).alias("event_type"), value.alias("value_num"), text.alias("value_text"))
         return F.when(value.isNotNull(), made)
 
@@ -152,10 +153,10 @@ def snapshot_signals(signals: DataFrame) -> DataFrame:
         return F.col(name).cast("double"), F.col(name).cast("string")
 
     rows = F.array(
-        row("score", "score_ema", *number("score"), True),
-        row("reward", "reward_fraction", *number("reward_fraction"), True),
-        row("whitelist", "whitelist", *flag("whitelisted"), False),
-        row("eligibility", "can_submit", *flag("can_submit"), False),
+        row("score", *number("score"), True),
+        row("reward", *number("reward_fraction"), True),
+        row("whitelist", *flag("whitelisted"), False),
+        row("eligibility", *flag("can_submit"), False),
     )
     out = signals.select(*TARGET, F.col("at").alias("observed_at"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("s"))
     return out.select(*TARGET, "s.*", F.lit("snapshot").alias("status"), "observed_at")

@@ -241,7 +241,7 @@ train AS (SELECT b.symbol, b.open_time, b.open, b.high, b.low, b.close, b.volume
 
 @query("training_table", f"""
 WITH {TRAINING} SELECT symbol, open_time, {r('open', 'high', 'low', 'close', 'volume', 'first_close', 'last_close',
-'first_volume', 'high_total', 'future_close', 'target')}, n_trades, has_window FROM train""")
+'first_volume', 'high_total', 'future_close', 'target', digits=8)}, n_trades, has_window FROM train""", digits=8)
 def _(spark, sf):
     """Ticks -> hourly bars -> window of 12 and one-bar target, all symbols in one plan."""
     out = X.training_table(bars_1h(spark, sf), "1h", 12, 1, cell_s=MONTH)
@@ -356,7 +356,7 @@ def _technical_sql(n: int) -> list[str]:
 
 @query("technical_features", f"""
 WITH {windows_sql(26)}, {_macd_sql(26)} SELECT symbol, open_time,
-{r(*_technical_sql(26), 'm[26] AS macd', 'sg[26] AS macd_signal', 'm[26] - sg[26] AS macd_histogram')} FROM m3""")
+{r(*_technical_sql(26), 'm[26] AS macd', 'sg[26] AS macd_signal', 'm[26] - sg[26] AS macd_histogram', digits=10)} FROM m3""", digits=10)
 def _(spark, sf):
     """Averages, returns, volatility, spreads, volume and MACD of a 26-bar window."""
     rows = X.window_features(bars_1h(spark, sf), 26, cell_s=MONTH).where("window IS NOT NULL")
