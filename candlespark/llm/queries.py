@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import kneser_ney
+from candlespark.llm import kneser_ney, language
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -32,3 +32,11 @@ def op2_lm_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id() % 5 != 1).alias("learn"))
     scored = kneser_ney.score(docs, kneser_ney.train(docs))
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), *[c for c in scored.columns if c not in ("doc_id", "learn")])
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """Language of every document; every third by id checksum is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_of_id() % 3 != 1).alias("learn"))
+    judged = language.predict(docs.select("doc_id", "learn", "text"), language.dictionaries(docs))
+    return judged.select("doc_id", (~F.col("learn")).alias("held_out"), "lang_pred", "score", "rejected")
