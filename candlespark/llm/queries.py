@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import kneser_ney, language
+from candlespark.llm import kneser_ney, language, lines
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -15,14 +15,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    """Register ``fn(spark, sf_dir)`` under its name."""
+def query(fn=None, *, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)`` under its name, with its SQL twin if it has one."""
+    if fn is None:
+        return lambda f: query(f, sql=sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(prepare(spark), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
+    if sql:
+        ORACLE[fn.__name__] = sql.strip()
     return fn
 
 
@@ -40,3 +44,29 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_of_id() % 3 != 1).alias("learn"))
     judged = language.predict(docs.select("doc_id", "learn", "text"), language.dictionaries(docs))
     return judged.select("doc_id", (~F.col("learn")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i) AS n
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), often AS (
+  SELECT key, max(doc_id) AS newest FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.newest AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query(sql=LINES_SQL)
+def op3_line_dedup(spark, sf_dir):
+    """Lines that many documents share are dropped from all but one of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.apply(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
