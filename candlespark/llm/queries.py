@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import kneser_ney, language, lines
+from candlespark.llm import kneser_ney, language, lines, minhash
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -70,3 +70,9 @@ def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = lines.apply(docs, lines.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_near_dedup(spark, sf_dir):
+    """Classes of documents whose sets of 3-word shingles overlap by 85 in 100 or more."""
+    return minhash.classes(table(spark, sf_dir, "documents"), size=3, share=(85, 100))
