@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import kneser_ney, language, lines, minhash
+from candlespark.llm import kneser_ney, language, lines, minhash, quality
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -76,3 +76,10 @@ def op3_line_dedup(spark, sf_dir):
 def op5_near_dedup(spark, sf_dir):
     """Classes of documents whose sets of 3-word shingles overlap by 85 in 100 or more."""
     return minhash.classes(table(spark, sf_dir, "documents"), size=3, share=(85, 100))
+
+
+@query
+def op1_quality_rules(spark, sf_dir):
+    """Base counts, and the verdict of fences that follow each language's and source's own sketch."""
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("lang", "source")
