@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import kneser_ney, language, lines, minhash, quality
+from candlespark.llm import html_text, kneser_ney, language, lines, minhash, quality
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -83,3 +83,9 @@ def op1_quality_rules(spark, sf_dir):
     """Base counts, and the verdict of fences that follow each language's and source's own sketch."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.drop("lang", "source")
+
+
+@query
+def op9_main_text(spark, sf_dir):
+    """The article of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
