@@ -114,8 +114,11 @@ def words(data: np.ndarray, bounds: np.ndarray, t: Tables) -> Words:
     return Words(mix(out), start, end, np.repeat(np.arange(len(bounds) - 1), np.diff(first)), first)
 
 
-def runs(column: pa.Array, limit: int = SWEEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows ``[a, b)`` of a string column with about ``limit`` bytes: their bytes and bounds. Null counts as empty."""
+def runs(column: pa.Array, limit: int = SWEEP, most: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows ``[a, b)`` of a string column, ``limit`` bytes or ``most`` rows at a time: their bytes and bounds. Null counts as empty.
+
+    A longer text makes a run of its own; no text is cut.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -130,7 +133,7 @@ def runs(column: pa.Array, limit: int = SWEEP) -> Iterator[tuple[int, int, np.nd
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
-        b = min(b, n)
+        b = min(b, n, a + most)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

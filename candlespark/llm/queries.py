@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import html_text, kneser_ney, language, lines, minhash, quality
+from candlespark.llm import html_text, kneser_ney, language, lines, minhash, neighbours, quality
 from candlespark.llm.common import crc_of_id, table
 from candlespark.session import prepare
 
@@ -89,3 +89,13 @@ def op1_quality_rules(spark, sf_dir):
 def op9_main_text(spark, sf_dir):
     """The article of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_quality_scores(spark, sf_dir):
+    """Quality of every document by votes of labelled neighbours; every fifth by id checksum is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    space = neighbours.fit(docs, labels.where(crc_of_id() % 5 != 0).select("doc_id", F.col("quality").alias("label")))
+    scored = neighbours.score(docs, space)
+    held_out = (crc_of_id() % 5 == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
