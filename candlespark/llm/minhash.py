@@ -13,7 +13,9 @@ without a hash borrow from others in a fixed order, so short texts band too.
 4. Rest: buckets whose members are by then in one component are done.  In the
    others every pair across components is estimated from the registers, with
    the expected register collisions taken out; pairs within ``SLACK`` of the
-   threshold are verified on full sets.  Large buckets are cut into blocks.
+   threshold put their documents into one group.  Within a group all pairs are
+   verified on full sets.  Large buckets and groups are cut into blocks, and
+   tasks compare two blocks; they name one link per document, not all pairs.
 5. Classes are the components of all verified links.
 
 With 32 bands of 4 registers a pair of similarity 0.8 shares none with a
@@ -40,10 +42,12 @@ from candlespark.llm.graph import components
 BUCKETS = 128
 MANTISSA = 10
 ROWS = 4  #: registers of a band: four of 16 bits make its key
-#: Pairs whose estimate lies this far below the threshold are ruled out: over four standard errors of 128 registers.
-SLACK = 0.15
-#: Members of a bucket, and partners of a hub, that meet in one task.
+#: Pairs whose estimate lies this far below the threshold are ruled out: about four standard errors of 128 registers.
+SLACK = 0.13
+#: Members of a bucket, and partners of a hub, in one block.
 BLOCK = 512
+#: Documents in one block where whole texts are compared.
+TEXT_BLOCK = 128
 
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, registers binary"
 
@@ -145,61 +149,132 @@ def estimate(same: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (same / BUCKETS - chance) / (1 - chance)
 
 
-def estimated_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs ``hub, doc`` across components within one ``key``, whose estimate is at least ``least``.
+def _dealt(rows: DataFrame, size: int, *carry: str) -> DataFrame:
+    """Each row of a group (``key``, ``n_members``) once for every pair of blocks it belongs to: ``key, i, j`` and ``carry``.
 
-    ``members``: key, n_members, doc_id, component, n_shingles, registers.
+    A block has about ``size`` rows, so a cell (two blocks, or one) fits a task however large its group is.
     """
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("n_members") / F.lit(size)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks")).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", own)
+    placed = rows.withColumn("blocks", blocks).withColumn("own", own)
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))
-    dealt = placed.withColumn("cell", F.explode(others)).select("key", "cell.i", "cell.j", "own", "doc_id", "component", "n_shingles", "registers")
+    dealt = placed.withColumn("cell", F.explode(others)).select("key", "cell.i", "cell.j", "doc_id", *carry)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+
+
+def _cells(batches) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in tables of whole cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        names = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
+        begun = int(np.argmax(np.all([c == c[-1] for c in names], axis=0)))  # the last cell may go on
+        if begun:
+            yield rows.slice(0, begun).combine_chunks()
+            held = rows.slice(begun).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _cuts(rows: pa.Table) -> np.ndarray:
+    """Bounds of the cells in ``rows``."""
+    names = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
+    fresh = np.any([c[1:] != c[:-1] for c in names], axis=0)
+    return np.concatenate([[0], np.flatnonzero(fresh) + 1, [rows.num_rows]])
+
+
+def _roots(near: np.ndarray) -> np.ndarray:
+    """The first member of each member's component in a symmetric matrix of links."""
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def estimated_groups(members: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that join documents of different components whose estimate is at least ``least``.
+
+    ``members``: key, n_members, doc_id, component, n_shingles, registers.  A
+    cell names only one link per document, to the first of its group, so the
+    rows made are as many as the rows read and not as the pairs compared.
+    """
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-
-        def pairs(rows: pa.Table):
-            cell = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
-            own, ids, comp, n = (rows.column(c).to_numpy() for c in ("own", "doc_id", "component", "n_shingles"))
-            regs = _matrix(rows.column("registers"))
-            fresh = np.any([c[1:] != c[:-1] for c in cell], axis=0)
-            cut = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(ids)]])
-            left, right = [], []
+        for rows in _cells(batches):
+            ids, comp, n = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+            regs, cut = _matrix(rows.column("registers")), _cuts(rows)
+            left, right = [np.empty(0, int)], [np.empty(0, int)]
             twos = cut[:-1][np.diff(cut) == 2]
-            left.append(twos)
-            right.append(twos + 1)
+            same = (regs[twos] == regs[twos + 1]).sum(axis=1)
+            good = (estimate(same, n[twos].astype(float), n[twos + 1].astype(float)) >= least) & (comp[twos] != comp[twos + 1])
+            left.append(twos[good])
+            right.append(twos[good] + 1)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if b - a > 2:
-                    for k in range(a, b - 1):
-                        rest = np.arange(k + 1, b)
-                        rest = rest[comp[rest] != comp[k]]
-                        if cell[1][a] != cell[2][a]:
-                            rest = rest[own[rest] != own[k]]
-                        rest = rest[(regs[rest] == regs[k]).mean(axis=1) >= least - 0.01]
-                        left.append(np.full(len(rest), k))
-                        right.append(rest)
-            x, y = np.concatenate(left), np.concatenate(right)
-            same = (regs[x] == regs[y]).sum(axis=1)
-            good = (estimate(same, n[x].astype(float), n[y].astype(float)) >= least) & (comp[x] != comp[y])
-            x, y = ids[x[good]], ids[y[good]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["hub", "doc"])
+                    own, size = regs[a:b], n[a:b].astype(float)
+                    same = np.zeros((b - a, b - a), np.int16)
+                    for k in range(BUCKETS):
+                        same += own[:, None, k] == own[None, :, k]
+                    near = (estimate(same, size[:, None], size[None, :]) >= least) & (comp[a:b, None] != comp[None, a:b])
+                    root = _roots(near)
+                    at = np.flatnonzero(root != np.arange(b - a))
+                    left.append(a + root[at])
+                    right.append(a + at)
+            x, y = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return _dealt(members, BLOCK, "component", "n_shingles", "registers").mapInArrow(compare, "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over the shingles that two sets or more have."""
+    g = len(sets)
+    row = np.repeat(np.arange(g), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    keep, place = often[column], np.cumsum(often) - 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((g, g), np.float32)
+    width = 1 << 13
+    for low in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        part = np.zeros((g, width), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held).combine_chunks()
-            last = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
-            begun = int(np.argmax(np.all([c == c[-1] for c in last], axis=0)))  # the last cell may go on
-            if begun:
-                yield pairs(rows.slice(0, begun).combine_chunks())
-                held = rows.slice(begun).combine_chunks().to_batches()
-        if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
-
-    cells = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    return cells.mapInArrow(compare, "hub long, doc long").distinct()
+
+def exact_groups(grouped: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """``a, b``: links that join the documents of each group as their full sets do.
+
+    ``grouped``: key, n_members, doc_id, text.  All pairs of a cell are
+    compared on full sets; one link per document is returned.
+    """
+
+    def compare(batches):
+        for rows in _cells(batches):
+            ids, cut = rows.column("doc_id").to_numpy(), _cuts(rows)
+            left, right = [], []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                sets = [s for _, some in _sets(rows.column("text").slice(a, b - a), size) for s in some]
+                n = np.array([len(s) for s in sets], np.int64)
+                both = shared_counts(sets).astype(np.int64) if b - a > 1 else np.zeros((1, 1), np.int64)
+                near = (both > 0) & (share[1] * both >= share[0] * (n[:, None] + n[None, :] - both))
+                root = _roots(near)
+                at = np.flatnonzero(root != np.arange(b - a))
+                left += ids[a + root[at]].tolist()
+                right += ids[a + at].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], ["a", "b"])
+
+    return _dealt(grouped, TEXT_BLOCK, "text").mapInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
@@ -262,9 +337,10 @@ def classes(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) ->
     # Bands often group the same documents; one bucket of each group is enough.
     apart = shared.join(mixed, "key", "left_semi").groupBy("n_members", "x1", "x2").agg(F.min("key").alias("key"))
     open_ = placed.join(apart.select("key", "n_members"), "key").join(single.select("doc_id", "n_shingles", "registers"), "doc_id")
-    rest = saved(estimated_pairs(open_, share[0] / share[1] - SLACK), "rest-pairs")
-    rest = rest.join(asked.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")), ["hub", "doc"], "left_anti")
-    more = saved(verified(rest, texts, size, share), "links")
+    groups = components(estimated_groups(open_, share[0] / share[1] - SLACK)).withColumnRenamed("component", "key")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n_members"))
+    grouped = groups.join(sizes, "key").select("key", "n_members", F.col("id").alias("doc_id")).join(texts, "doc_id")
+    more = saved(exact_groups(grouped, size, share), "links")
     final = components(links.unionByName(more))
 
     named = sketched.join(first, ["n_shingles", "s1", "s2"], "left").join(final, F.col("first_id") == F.col("id"), "left")
