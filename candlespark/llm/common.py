@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.session import shared_dir
+from candlespark.session import prepare, shared_dir
 
 # The white space that parts words, and the letters that are folded.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -26,6 +26,16 @@ UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SWEEP = 1 << 20
 
 
+#: Rows of an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
+BATCH_ROWS = 1000
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """What these jobs ask of a session: UTC, and Arrow batches that fit a small worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return prepare(spark)
+
+
 def shipped(module: str) -> None:
     """Functions of ``module`` travel with the task, so executors need no copy of the repository."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -46,8 +46,8 @@ BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
 #: Text bytes per hash range: bounds the arrays that one merging task holds.
 RANGE_BYTES = 24 << 20
 #: Pairs that a task gathers before it packs them.
-GATHER = 1 << 21
-SWEEP_BYTES = 2 << 20
+GATHER = 1 << 20
+SWEEP_BYTES = 1 << 20
 
 PAIR = np.dtype([("hash", "<u8"), ("n", "<u4")])
 WORD = np.dtype([("hash", "<u8"), ("n", "<f8"), ("n1", "<f8"), ("n2", "<f8"), ("n3", "<f8"), ("cont", "<f8")])
@@ -301,7 +301,7 @@ def train(docs: DataFrame, learn: str = "learn") -> Model:
             held_k.append(keys)
             held_v.append(rows)
             n += len(keys)
-            if n >= GATHER // 4:
+            if n >= GATHER // 2:
                 yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
                 held_k, held_v, n = [], [], 0
         if held_k:

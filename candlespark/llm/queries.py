@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlespark.llm import html_text, kneser_ney, language, lines, minhash, neighbours, quality
-from candlespark.llm.common import crc_of_id, table
-from candlespark.session import prepare
+from candlespark.llm.common import crc_of_id, session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +20,7 @@ def query(fn=None, *, sql: str | None = None):
         return lambda f: query(f, sql=sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+        return fn(session(spark), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
