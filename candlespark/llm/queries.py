@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import html_text, kneser_ney, language, lines, minhash, neighbours, quality
+from candlespark.llm import decontaminate, html_text, kneser_ney, language, lines, minhash, neighbours, quality
 from candlespark.llm.common import crc_of_id, session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8_quality_scores(spark, sf_dir):
     scored = neighbours.score(docs, space)
     held_out = (crc_of_id() % 5 == 0).alias("held_out")
     return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_benchmark_leaks(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item, the similarity and the place."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
