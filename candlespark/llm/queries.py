@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import decontaminate, html_text, kneser_ney, language, lines, minhash, mixing, neighbours, quality
+from candlespark.llm import decontaminate, html_text, kneser_ney, language, licenses, lines, minhash, mixing, neighbours, quality
 from candlespark.llm.common import crc_of_id, session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,9 @@ JOIN slots s ON s.from_cycle = b.from_cycle AND s.source IS NOT DISTINCT FROM p.
 def op7_source_mix(spark, sf_dir):
     """The slot of every document's block when sources are mixed by the square roots of their sizes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_spans(spark, sf_dir):
+    """License notices in every document, with coverage and spans."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
