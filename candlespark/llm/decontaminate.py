@@ -208,26 +208,32 @@ def matches_of(texts: list[tuple], ix: Index, share: tuple[int, int]) -> list[tu
 MATCH = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """:data:`MATCH` rows of ``docs`` (doc_id, text) against ``benchmark`` (item_id, text)."""
+def _indexes(benchmark: DataFrame, share: tuple[int, int]):
+    """A broadcast index for every part of the benchmark."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    context = docs.sparkSession.sparkContext
-    out = None
     for part in range(parts):
         # At most about PART_BYTES of item texts come to the driver at a time.
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         rows = sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        shared = context.broadcast(index([r.item_id for r in rows], [r.text for r in rows], share))
+        yield benchmark.sparkSession.sparkContext.broadcast(index([r.item_id for r in rows], [r.text for r in rows], share))
+
+
+def _matched(batch: pa.RecordBatch, ix: Index, share: tuple[int, int]) -> list[tuple]:
+    return matches_of(list(_suspects(batch.column("text"), ix)), ix, share) if ix.ids else []
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """:data:`MATCH` rows of ``docs`` (doc_id, text) against ``benchmark`` (item_id, text)."""
+    out = None
+    for shared in _indexes(benchmark, share):
 
         def search(batches, shared=shared):
             ix = shared.value
             for batch in batches:
-                ids, found = batch.column("doc_id"), []
-                if ix.ids:
-                    held = matches_of(list(_suspects(batch.column("text"), ix)), ix, share)
-                    found = [(ids[i].as_py(), ix.ids[k], both / joint, d, r, w) for i, k, both, joint, d, r, w in held]
+                ids = batch.column("doc_id")
+                found = [(ids[i].as_py(), ix.ids[k], both / joint, d, r, w) for i, k, both, joint, d, r, w in _matched(batch, ix, share)]
                 columns = list(zip(*found, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
                 names = ["doc_id", "item_id", "similarity", "distance", "first_word", "n_words"]
@@ -238,4 +244,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (4,
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs`` (any columns, one of them ``text``) that match no item; a map, without a join."""
+    for shared in _indexes(benchmark, share):
+
+        def keep(batches, shared=shared):
+            ix = shared.value
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                good[[m[0] for m in _matched(batch, ix, share)]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 shipped(__name__)

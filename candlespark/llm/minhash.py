@@ -345,7 +345,14 @@ def classes(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) ->
 
     named = sketched.join(first, ["n_shingles", "s1", "s2"], "left").join(final, F.col("first_id") == F.col("id"), "left")
     component = F.coalesce("component", "first_id", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row of ``docs`` (any columns) for each class; rows without an id stay."""
+    kept = classes(docs, size, share).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 shipped(__name__)

@@ -18,7 +18,7 @@ the bucket, so a source with a third of all rows is spread over many tasks.
 
 Defined results: null source is a source of its own; sources without a given
 weight get one part; repeated ids take adjacent positions; an empty table gives
-no rows; other columns are carried by the caller, not read here.
+no rows; other columns are read only when asked for.
 """
 
 from __future__ import annotations
@@ -36,17 +36,17 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, key, place``: the position of each document in its source, from 0."""
+def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, key, place`` and ``carry``: the position of each document in its source, from 0."""
     order = F.md5(F.col("doc_id").cast("string"))
-    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), F.coalesce(order, F.lit("")).alias("order"))
+    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), F.coalesce(order, F.lit("")).alias("order"), *carry)
     rows = rows.withColumn("bucket", F.substring("order", 1, 3))
     counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("order", "doc_id")) - 1
     placed = rows.withColumn("own", own).join(starts, ["key", "bucket"])
-    return placed.select("doc_id", "source", "key", (F.col("start") + F.col("own")).alias("place"))
+    return placed.select("doc_id", "source", *carry, "key", (F.col("start") + F.col("own")).alias("place"))
 
 
 def root_parts(sources: DataFrame, total: int = PARTS) -> DataFrame:
@@ -117,12 +117,12 @@ def plans(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """``doc_id, source, block, slot, release, deadline, place`` of every row of ``docs``.
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, block, slot, release, deadline, place`` of every row of ``docs``, and its columns in ``carry``.
 
     ``slot`` orders the blocks of all sources, ``place`` the documents in a block.
     """
-    placed = saved(numbered(docs), "numbered")
+    placed = saved(numbered(docs, carry), "numbered")
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
     sources = saved(root_parts(sizes) if weights is None else given_parts(sizes, weights), "sources")
     slots = saved(plans(sources, block), "slots").withColumnRenamed("key", "slot_key")
@@ -133,6 +133,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
     return rows.join(slots, on).select(
         "doc_id",
         "source",
+        *carry,
         "block",
         (first + F.col("slot")).alias("slot"),
         (first + F.floor(F.col("k") * F.col("length") / F.col("n_blocks"))).alias("release"),
