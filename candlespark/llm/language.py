@@ -35,6 +35,10 @@ SAMPLE_BYTES = 2048
 PIECE = 8000
 #: Texts of one piece up to this length are measured a second time with shorter matches, for a finer total.
 SHORT = 1024
+#: The shortest texts are a few bytes whatever the dictionary; they are also measured from each of their first bytes on.
+TAILS = 16
+#: Goes before a short text: a block that gains too little is stored as it is, whatever the dictionary holds.
+FILLER = bytes(256)
 MIN_MARGIN = 0.0005
 
 VERDICT = [("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())]
@@ -105,7 +109,8 @@ def predict(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN_
                 pieces = [raw[a : a + PIECE] for a in range(0, len(raw), PIECE)]
                 sizes = [sum(len(c.compress(p)) for p in pieces) for c in coders]
                 if len(raw) <= SHORT:
-                    sizes = [s + len(c.compress(raw)) for s, c in zip(sizes, fine, strict=True)]
+                    tails = range(0, TAILS if len(raw) <= 4 * TAILS else 1)
+                    sizes = [s + sum(len(c.compress(FILLER + raw[k:])) for k in tails) for s, c in zip(sizes, fine, strict=True)]
                 order = sorted(range(len(names)), key=lambda k: sizes[k])
                 margin = 1 - sizes[order[0]] / sizes[order[1]] if len(names) > 1 else 1.0
                 langs.append(names[order[0]])
