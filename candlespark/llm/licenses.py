@@ -125,14 +125,22 @@ def found(text: np.ndarray, at: np.ndarray, entry: np.ndarray, known: Templates,
     out = []
     which = known.template[entry]
     for k in np.unique(which).tolist():
-        pattern, diagonals = known.words[k], np.unique((at - known.place[entry])[which == k])
+        places = at[which == k]
+        of_place = places - known.place[entry][which == k]
+        pattern, diagonals = known.words[k], np.unique(of_place)
         spots = []
         a = 0
         while a < len(diagonals):
             b = int(np.searchsorted(diagonals, diagonals[a] + BAND, "right"))
-            hit = aligned(pattern, text, int(diagonals[a]) - BAND, int(diagonals[b - 1]) + BAND)
-            if hit and hit[0] >= min_coverage * len(pattern):
+            # Notices that follow each other closely lie in one band: what was found is blanked and the rest looked at again.
+            rest, left = text.copy(), places[np.isin(of_place, diagonals[a:b])]
+            while len(left):
+                hit = aligned(pattern, rest, int(diagonals[a]) - BAND, int(diagonals[b - 1]) + BAND)
+                if not hit or hit[0] < min_coverage * len(pattern):
+                    break
                 spots.append(hit)
+                rest[hit[1] : hit[2] + 1] = 0
+                left = left[(left < hit[1]) | (left > hit[2])]
             a = b
         taken: list[tuple[int, int, int]] = []
         for n, first, last in sorted(set(spots), key=lambda s: (-s[0], s[1])):
