@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     label, so paths shrink by half; each round is written to the shared folder.
     An id with very many neighbours costs one combined row per task.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = saved(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct(), "links")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("least"))

@@ -44,8 +44,12 @@ MANTISSA = 10
 ROWS = 4  #: registers of a band: four of 16 bits make its key
 #: Pairs whose estimate lies this far below the threshold are ruled out: about four standard errors of 128 registers.
 SLACK = 0.13
-#: Members of a bucket, and partners of a hub, in one block.
-BLOCK = 512
+#: Members of a bucket in one block.
+BLOCK = 1024
+#: Partners of a hub that meet in one task.
+HUB_BLOCK = 128
+#: Rows of a matrix of pairs that are worked on at a time.
+STRIPE = 128
 #: Documents in one block where whole texts are compared.
 TEXT_BLOCK = 128
 
@@ -188,9 +192,13 @@ def _cuts(rows: pa.Table) -> np.ndarray:
 
 def _roots(near: np.ndarray) -> np.ndarray:
     """The first member of each member's component in a symmetric matrix of links."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
+    far = np.int32(len(near))
     while True:
-        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        low = label.copy()
+        for at in range(0, len(near), STRIPE):
+            part = slice(at, at + STRIPE)
+            low[part] = np.minimum(low[part], np.where(near[part], label[None, :], far).min(axis=1))
         low = low[low]
         if (low == label).all():
             return label
@@ -217,11 +225,15 @@ def estimated_groups(members: DataFrame, least: float) -> DataFrame:
             right.append(twos[good] + 1)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if b - a > 2:
-                    own, size = regs[a:b], n[a:b].astype(float)
-                    same = np.zeros((b - a, b - a), np.int16)
-                    for k in range(BUCKETS):
-                        same += own[:, None, k] == own[None, :, k]
-                    near = (estimate(same, size[:, None], size[None, :]) >= least) & (comp[a:b, None] != comp[None, a:b])
+                    own, size = np.ascontiguousarray(regs[a:b].T), n[a:b].astype(np.float32)
+                    near = np.zeros((b - a, b - a), bool)
+                    for low in range(0, b - a, STRIPE):
+                        part = slice(low, low + STRIPE)
+                        same = np.zeros((len(size[part]), b - a), np.uint8)
+                        for register in own:
+                            same += register[part, None] == register[None, :]
+                        near[part] = estimate(same, size[part, None], size[None, :]) >= least
+                        near[part] &= comp[a:b][part, None] != comp[None, a:b]
                     root = _roots(near)
                     at = np.flatnonzero(root != np.arange(b - a))
                     left.append(a + root[at])
@@ -280,9 +292,9 @@ def exact_groups(grouped: DataFrame, size: int, share: tuple[int, int]) -> DataF
 def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs ``a, b`` of ``pairs`` (hub, doc) whose full sets reach ``share[0] / share[1]``.
 
-    A hub's text is sent once for every ``BLOCK`` partners, a partner's once per pair.
+    A hub's text is sent once for every ``HUB_BLOCK`` partners, a partner's once per pair.
     """
-    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("salts"))
+    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(HUB_BLOCK)).alias("salts"))
     salted = pairs.join(degree, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.col("salts")).alias("salt"))
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     parts = salted.select(F.col("doc").alias("doc_id"), "hub", "salt", F.lit(1).alias("part")).unionByName(
