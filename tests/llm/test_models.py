@@ -1,0 +1,171 @@
+"""Kneser-Ney model, page extraction, mixing, and the pipeline as a whole."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from candlespark.llm import html_text, kneser_ney, mixing, queries
+from candlespark.llm.common import table
+
+SMALL = "/root/testdata/sf0.001"
+LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def tokens(text):
+    return [*(text or "").encode().translate(LOW).split(), "end"]
+
+
+def brute_scores(texts, learned):
+    pairs, single = Counter(), Counter()
+    for t in learned:
+        before = "begin"
+        for w in tokens(t):
+            pairs[before, w] += 1
+            single[w] += 1
+            before = w
+    n, v = sum(single.values()), len(single)
+    context, follow, cont = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
+    for (a, b), c in pairs.items():
+        context[a] += c
+        follow[a][min(c, 3) - 1] += 1
+        cont[b] += 1
+    classes = [Counter(pairs.values()), Counter(cont.values())]
+    high, low = (kneser_ney.discounts([c[k] for k in (1, 2, 3, 4)]) for c in classes)
+    off = lambda c, d: d[min(c, 3) - 1] if c else 0
+    spare = sum(off(c, low) for c in cont.values()) / len(pairs) if pairs else 1.0
+
+    def p(a, b):
+        lower = (max(cont[b] - off(cont[b], low), 0) / len(pairs) if pairs else 0) + spare / (v + 1)
+        if not context[a]:
+            return lower
+        c = pairs[a, b]
+        return max(c - off(c, high), 0) / context[a] + sum(x * y for x, y in zip(high, follow[a], strict=True)) / context[a] * lower
+
+    out = []
+    for t in texts:
+        before, total, plain, known = "begin", 0.0, 0.0, 0
+        for w in tokens(t):
+            total += math.log10(p(before, w))
+            plain += math.log10((single[w] + 0.5) / (n + 0.5 * (v + 1)))
+            known += single[w] > 0
+            before = w
+        out.append((len(tokens(t)), known, n, pytest.approx(plain, rel=1e-9), pytest.approx(total, rel=1e-9)))
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    rows = table(spark, SMALL, "documents").select("doc_id", "text").orderBy("doc_id").collect()
+    held = [zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows]
+    want = brute_scores([r.text for r in rows], [r.text for r, h in zip(rows, held, strict=True) if not h])
+    got = queries.QUERIES["op2_lm_scores"](spark, SMALL).orderBy("doc_id").collect()
+    assert [g.held_out for g in got] == held
+    assert [(g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got] == want
+    # On held-out text the model beats the smoothed word frequencies.
+    assert sum(g.score for g in got if g.held_out) > sum(g.base_score for g in got if g.held_out)
+
+
+@pytest.mark.parametrize("frame", ["odd", "nothing"])
+def test_scores_of_odd_rows(spark, frame, request, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 50_000)
+    docs = request.getfixturevalue(frame).drop("learn").withColumn("learn", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
+    rows = docs.select("text", "learn").collect()
+    got = kneser_ney.score(docs, kneser_ney.train(docs)).collect()
+    want = brute_scores([r.text for r in rows], [r.text for r in rows if r.learn])
+    assert sorted((g.n_tokens, g.n_known, g.score) for g in got) == sorted((w[0], w[1], w[4].expected) for w in want) or [
+        (g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got
+    ] == want
+
+
+PAGES = {
+    "": "",
+    "<script>var a='<p>no</p>'": "",
+    "just text": "just text",
+    "<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Head &amp; tail</h1>"
+    "<p>First   paragraph,\n with commas, and &eacute;.<br>still first<p>Second one is not closed<div class='share'>Share me</div></article>"
+    "<footer>foot</footer>": "Head & tail\n\nFirst paragraph, with commas, and é. still first\n\nSecond one is not closed",
+    "<div id=page><div class=side-bar><a href=a>menu one</a> <a href=b>menu two</a></div><div class=content><p>A long paragraph, that has commas, and goes on and on.</p>"
+    "<p>Another long paragraph, also with commas, to be kept here.</p><ul><li>An item of a list</li></ul></div>"
+    "<div class='comments'><p>I am a reader, and I comment at length, as readers do.</p></div></div>": "A long paragraph, that has commas, and goes on and on.\n\n"
+    "Another long paragraph, also with commas, to be kept here.\n\nAn item of a list",
+    "<main><section><p>One section of text, with a comma, long enough.</p></section><aside><p>Aside, with a comma, long enough to count too.</p></aside>"
+    "<section><h2>Two</h2><p>Second section of text, with a comma, long enough.</p></section><form><p>Write to us, please, and tell us your name.</p></form></main>": "One section of text, "
+    "with a comma, long enough.\n\nTwo\n\nSecond section of text, with a comma, long enough.",
+    "<body><p>Short.</p><p>Also short.</p></body>": "Short.\n\nAlso short.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_main_text(page):
+    assert html_text.main_text(page) == PAGES[page]
+
+
+def test_pages_of_given_table(spark):
+    pages = table(spark, SMALL, "pages")
+    got = html_text.extract(pages).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert r.n_chars == len(r.text) and "<p>" not in r.text and "©" not in r.text and "track(" not in r.text
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 6), (1, "u", "<p>" * 5000 + "deep", 7), (1, "u", "<b>" + "x " * 300_000, 8)], "page_id long, url string, html string, text int")
+    got = {(r.page_id, r.url, r.n_chars) for r in html_text.extract(pages).collect()}
+    assert got == {(1, None, 0), (None, "u", 0), (1, "u", 4), (1, "u", 599_999)}
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_pfair_slots(spark, make):
+    """Over several plans: slots are a permutation, within release and deadline, and shares are off by less than a block."""
+    sizes = {"a": 97, "b": 31, "c": 8, "d": 1}
+    texts = [s for s, n in sizes.items() for _ in range(n)]
+    docs = make(texts, source=[None if s == "d" else s for s in texts])
+    weights = {"a": 5, "b": 3, "c": 2}
+    got = mixing.mix(docs, weights, block=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    blocks = {(r.source, r.block): r for r in got}
+    assert sorted(b.slot for b in blocks.values()) == list(range(len(blocks)))
+    assert all(b.release <= b.slot < b.deadline for b in blocks.values())
+    order = [b.source for b in sorted(blocks.values(), key=lambda b: b.slot)]
+    share = {"a": 5 / 11, "b": 3 / 11, "c": 2 / 11}
+    for t in range(1, 22):  # two whole cycles of all sources hold the given weights
+        for s, w in share.items():
+            assert abs(order[:t].count(s) - t * w) < (1 if t <= 11 else 2)
+    assert mixing.mix(docs.limit(0), weights).count() == 0
+
+
+def test_mix_of_odd_rows(spark, odd):
+    got = mixing.mix(odd, carry=("text",)).collect()
+    assert len(got) == odd.count() and sum(r.text is None for r in got) == 1
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Every stage on the output of the one before, against its own definition."""
+    from test_pairs import brute_classes
+
+    steps = [table(spark, SMALL, "documents").select(*corpus_pipeline.COLUMNS)]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, steps[-1], SMALL)
+        steps.append(spark.createDataFrame(out.collect(), out.schema))
+    start, known, lined, single, clean, mixed = [{r.doc_id: r for r in s.collect()} for s in steps]
+    assert all(s.columns == corpus_pipeline.COLUMNS for s in steps[:-1])
+    assert len(known) >= 0.98 * len(start) and all(known[i].text == start[i].text for i in known)
+    assert set(lined) == set(known) and all(r.n_chars == len(r.text) for r in lined.values())
+    assert any(lined[i].text != known[i].text for i in lined)
+    classes, _ = brute_classes({i: r.text for i, r in lined.items()}, 5, (4, 5))
+    assert set(single) == set(classes.values())
+    low = lambda t: f" {' '.join(x.decode() for x in t.encode().translate(LOW).split())} "
+    items = [low(r.text) for r in table(spark, SMALL, "benchmark").collect()]
+    leaked = {i for i, r in single.items() if any(x in low(r.text) for x in items)}
+    assert leaked and set(clean) == set(single) - leaked
+    assert set(mixed) == set(clean) and len({(r.slot, r.place) for r in mixed.values()}) == len(mixed)
+
+
+def test_pipeline_of_odd_rows(spark, odd, nothing):
+    for docs in (odd, nothing):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            docs = spark.createDataFrame(out.collect(), out.schema)
