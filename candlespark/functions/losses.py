@@ -1,8 +1,15 @@
 """Per-row training losses as column expressions.
 
-``czar_*`` work on the prediction turned into the outcome's direction: with
-outcome size a = |z_true| and u = sign(z_true) * z_pred, the loss has three
-parts: wrong side (u <= 0), short of the outcome (u <= a), beyond it.
+The zero-agnostic return loss is defined by its slope along the prediction.
+With outcome size a = |z_true| and u = sign(z_true) * z_pred it falls from the
+far wrong side to u = a, where it is 0, and rises beyond:
+
+* wrong side, u < 0: slope -(1 - rise * u);
+* short of the outcome, 0 < u < a: slope -w(u), w(x) = k / (1 + (x + shift)^2);
+* beyond it, u > a: slope w(a) + min(|w'(a)|, rise) * (u - a);
+
+``shift`` = alpha / sqrt(3), k = 1 + shift^2 (so w(0) = 1), rise = |w'(0)|.
+The loss is the area below the slope between u and a.
 """
 
 from __future__ import annotations
@@ -15,83 +22,85 @@ from pyspark.sql import functions as F
 from candlespark.functions.safe import _c
 
 
-def _slope(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + x * x)
+class Weight:
+    """The slope weight w for one ``alpha``: its values, steepness and area, for columns and for constants."""
 
+    def __init__(self, alpha: float):
+        if not 0 <= alpha <= 1:
+            raise ValueError(f"alpha must lie in [0, 1], got {alpha}")
+        self.shift = alpha / math.sqrt(3.0)
+        self.k = 1.0 + self.shift**2
+        self.rise = 2.0 * self.shift / self.k
 
-def _bend(x: Column) -> Column:
-    return 2.0 * F.abs(x) * _slope(x) * _slope(x)
+    def at(self, x: Column) -> Column:
+        return self.k / (1.0 + (x + self.shift) * (x + self.shift))
 
+    def steepness(self, x: Column) -> Column:
+        """|w'(x)| for x >= 0, no more than at 0."""
+        return F.least(2.0 * (x + self.shift) * self.at(x) * self.at(x) / self.k, F.lit(self.rise))
 
-class _Shape:
-    """Constants of the loss for one ``alpha``, and its row variables."""
+    def area(self, x: Column) -> Column:
+        """The area below w from 0 to ``x``."""
+        return self.k * (F.atan(x + self.shift) - math.atan(self.shift))
 
-    def __init__(self, y, p, std, mean, alpha: float):
-        if not 0 <= alpha <= 1:
-            raise ValueError(f"alpha must lie in [0, 1], got {alpha}")
-        self.delta = alpha / math.sqrt(3.0)
-        self.k = 1.0 + self.delta**2
-        self.h1 = self.k * 2.0 * self.delta / self.k**2
-        self.std = _c(std)
-        self.z = (_c(y) - _c(mean)) / self.std
-        self.q = (_c(p) - _c(mean)) / self.std
-        self.s = F.when(self.z < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        self.a = F.abs(self.z)
-        self.u = self.s * self.q
-        self.da = self.a + self.delta
-        self.du = self.u + self.delta
-
-    def parts(self, wrong: Column, short: Column, beyond: Column) -> Column:
-        return F.when(self.u <= 0, wrong).when(self.u <= self.a, short).otherwise(beyond)
-
-
-def softening(z_size: Column, alpha: float, epsilon: float, tau: float) -> Column:
-    """Extra loss near a zero outcome, so that small outcomes do not matter."""
-    delta = alpha / math.sqrt(3.0)
-    k = 1.0 + delta**2
-    reach = k * (math.atan(epsilon + delta) - math.atan(delta))
-    curve = delta / k
-    eff = math.atan(epsilon) if delta == 0 else (-1.0 + math.sqrt(1.0 + 4.0 * curve * reach)) / (2.0 * curve)
-    height = 0.5 * (2.0 * delta / k) * eff**2 + eff
-    denom = eff + curve * eff**2
-    fall = F.lit(1.0) - F.lit(k / denom) * (F.atan(z_size + delta) - F.lit(math.atan(delta)))
+    def area_to(self, x: float) -> float:
+        return self.k * (math.atan(x + self.shift) - math.atan(self.shift))
+
+
+def _scaled(y, p, std, mean) -> tuple[Column, Column, Column, Column]:
+    """z_true, its direction, its size a, and the prediction u in that direction."""
+    z = (_c(y) - _c(mean)) / _c(std)
+    side = F.when(z < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return z, side, F.abs(z), side * (_c(p) - _c(mean)) / _c(std)
+
+
+def softening(size: Column, alpha: float, epsilon: float, tau: float) -> Column:
+    """Extra loss near a zero outcome, so that small outcomes do not matter.
+
+    It starts at the area E of the weight up to ``epsilon`` and follows what is
+    left of E after the outcome's own area: a ramp that reaches 0 at
+    ``epsilon``, with its corner rounded by ``tau`` relative to the ramp's limit
+    for large outcomes.
+    """
+    w = Weight(alpha)
+    full = w.area_to(epsilon)
+    left = F.lit(1.0) - w.area(size) / full
     if tau <= 0:
-        return F.greatest(fall, F.lit(0.0)) * height
-    width = abs(tau) * abs(1.0 - k * (0.5 * math.pi - math.atan(delta)) / denom)
-    x = fall / width
-    soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-    top = 1.0 / width + math.log1p(math.exp(-1.0 / width))
-    return soft * (height / top)
+        return full * F.greatest(left, F.lit(0.0))
+    corner = abs(tau) * abs(1.0 - w.area_to(math.inf) / full)
+    rounded = F.greatest(left, F.lit(0.0)) + corner * F.log1p(F.exp(-F.abs(left) / corner))
+    return rounded * (full / (1.0 + corner * math.log1p(math.exp(-1.0 / corner))))
 
 
 def czar_loss(y, p, std, mean=0.0, alpha: float = 1.0, epsilon: float = 1.0, tau: float = 0.05) -> Column:
-    """Zero-agnostic return loss."""
-    c = _Shape(y, p, std, mean, alpha)
-    drop = c.k * (F.atan(c.da) - F.lit(math.atan(c.delta)))
-    wrong = 0.5 * c.h1 * c.u * c.u - c.u + drop
-    short = c.k * (F.atan(c.da) - F.atan(c.du))
-    h3 = F.least(c.k * _bend(c.da), F.lit(c.h1))
-    past = c.u - c.a
-    beyond = 0.5 * h3 * past * past + c.k * _slope(c.da) * past
-    loss = c.parts(wrong, short, beyond)
-    return loss + softening(c.a, alpha, epsilon, tau) if epsilon > 0 else loss
+    """Zero-agnostic return loss: areas on the wrong side, short of the outcome and beyond it."""
+    w = Weight(alpha)
+    _, _, a, u = _scaled(y, p, std, mean)
+    nothing = F.lit(0.0)
+    behind, past = F.greatest(-u, nothing), F.greatest(u - a, nothing)
+    reached = F.least(F.greatest(u, nothing), a)
+    loss = behind * (1.0 + 0.5 * w.rise * behind) + w.area(a) - w.area(reached) + past * (w.at(a) + 0.5 * w.steepness(a) * past)
+    return loss + softening(a, alpha, epsilon, tau) if epsilon > 0 else loss
 
 
 def czar_gradient(y, p, std, mean=0.0, alpha: float = 1.0) -> Column:
-    c = _Shape(y, p, std, mean, alpha)
-    h3 = F.least(c.k * _bend(c.da), F.lit(c.h1))
-    out = c.parts(c.h1 * c.q - F.signum(c.z), -c.s * c.k * _slope(c.du), h3 * (c.q - c.z))
-    return out / c.std
+    """The slope used for training: past the outcome it starts from 0, and a zero outcome has no direction."""
+    w = Weight(alpha)
+    z, side, a, u = _scaled(y, p, std, mean)
+    slope = F.when(u <= 0, w.rise * u - F.abs(F.signum(z))).when(u <= a, -w.at(u)).otherwise(w.steepness(a) * (u - a))
+    return side * slope / _c(std)
 
 
 def czar_hessian(y, p, std, mean=0.0, alpha: float = 1.0) -> Column:
-    c = _Shape(y, p, std, mean, alpha)
+    """The curvature used for training, in terms of 2 x / (1 + x^2), which stays positive."""
+    w = Weight(alpha)
+    _, _, a, u = _scaled(y, p, std, mean)
 
     def pull(x: Column) -> Column:
-        return 2.0 * F.abs(x) * _slope(x)
+        return 2.0 * (x + w.shift) * w.at(x) / w.k
 
-    out = c.parts(F.lit(c.h1), pull(c.du), F.least(F.lit(c.h1), pull(c.da)))
-    return out / (c.std * c.std)
+    curve = F.when(u <= 0, F.lit(w.rise)).when(u <= a, pull(u)).otherwise(F.least(F.lit(w.rise), pull(a)))
+    return curve / (_c(std) * _c(std))
 
 
 def directional_loss(base, y, p, alpha: float = 1.0) -> Column:

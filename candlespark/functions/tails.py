@@ -17,7 +17,10 @@ from pyspark.sql.types import DoubleType
 # Ship these helpers with the query: executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """A plain function: a vectorised ufunc kept in the module could not be pickled after its first use."""
+    return np.fromiter(map(math.lgamma, x.ravel()), float, x.size).reshape(x.shape)
 
 
 def _fraction(a, b, x, steps: int = 400):
@@ -70,9 +73,3 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     some = kk > 0
     out = betainc(np.where(some, kk, 1.0), np.where(some, nn - kk + 1.0, 1.0), pp)
     return pd.Series(np.where(some, out, 1.0))
-
-
-@F.pandas_udf(DoubleType())
-def normal_tail(z: pd.Series) -> pd.Series:
-    """P(Z >= z), to full precision."""
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)))

@@ -140,3 +140,25 @@ def test_loss_gradient_between_zero_and_outcome(spark):
     up, down = (L.czar_loss("y", F.col("p") + s * h, 1.0, epsilon=0) for s in (1, -1))
     for r in df.select(((up - down) / (2 * h)).alias("n"), L.czar_gradient("y", "p", 1.0).alias("g")).collect():
         assert r.n == pytest.approx(r.g, rel=1e-6)
+
+
+def test_tails_can_be_sent_after_use():
+    """The helpers are pickled by value with the query, also once the driver has called them."""
+    from pyspark import cloudpickle
+
+    from candlespark.functions import tails
+
+    assert tails.betainc([2.0], [3.0], [0.5])[0] == pytest.approx(0.6875)
+    cloudpickle.dumps(tails.binomial_tail.func)
+
+
+def test_return_loss_is_an_area(spark):
+    """Zero at the outcome, continuous at both joints, slope 1 through zero, and a softening that starts at the area up to epsilon."""
+    from candlespark.functions import losses as L
+
+    rows = [(1.3, 1.3), (1.3, 1e-9), (1.3, -1e-9), (1.3, 1.3 + 1e-9), (-0.4, -0.4), (0.0, 0.0)]
+    got = [r.x for r in spark.createDataFrame(rows, "y double, p double").select(L.czar_loss("y", "p", F.lit(1.0), epsilon=0).alias("x")).collect()]
+    assert got[0] == pytest.approx(0, abs=1e-12) and got[3] == pytest.approx(0, abs=1e-8) and got[4] == pytest.approx(0, abs=1e-12) and got[5] == 0
+    assert got[1] == pytest.approx(got[2], abs=1e-8) and (got[2] - got[1]) / 2e-9 == pytest.approx(1, rel=1e-4)
+    soft = spark.range(1).select(L.softening(F.lit(0.0), 1.0, 1.0, 0.05).alias("x"), L.softening(F.lit(1.0), 1.0, 1.0, 0.0).alias("z")).first()
+    assert soft.x == pytest.approx(L.Weight(1.0).area_to(1.0)) and soft.z == pytest.approx(0, abs=1e-12)
