@@ -113,6 +113,13 @@ def features_at(
     return asof_join(times, features, keys, time, "open_time", value, cell_s=cell_s)
 
 
+def look_back_hours(freq: str, n: int) -> int:
+    """Hours of history that hold ``n`` bars of ``freq``, with room for alignment."""
+    from candlespark.functions.times import interval_minutes
+
+    return -(-n * interval_minutes(freq) // 60) + 2
+
+
 def live_features(
     bars: DataFrame, freq: str, n: int, as_of: Column, keys: Sequence[str] = KEYS,
     all_intervals: bool = False, cell_s: int = DAY,
@@ -122,10 +129,8 @@ def live_features(
     Runs the training code over a bounded look-back.  Keys with fewer than
     ``n`` bars come out with ``enough = false`` and no window.
     """
-    from candlespark.functions.times import MICRO, interval_minutes, micros
-
-    hours = -(-n * interval_minutes(freq) // 60) + 2
-    recent = bars.where(micros("open_time") > micros(as_of) - hours * 3600 * MICRO)
+    # The bare column against a literal, so that the bound reaches the scan.
+    recent = bars.where(F.col("open_time") > as_of - F.expr(f"INTERVAL {look_back_hours(freq, n)} HOURS"))
     fine = resample_live(recent, freq, as_of, keys, all_intervals=all_intervals)
     newest = window_features(fine, n, keys, cell_s).groupBy(*keys).agg(
         F.max_by(F.struct("open_time", "close", "window"), "open_time").alias("_row"),

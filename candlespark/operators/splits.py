@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,18 +98,27 @@ def walk_forward(
     return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_i", "_n", "_t")
 
 
-def three_stage(df: DataFrame, evaluation_start, deployment_start, end, gap_s: int, time: str = "open_time") -> DataFrame:
-    """Label rows inner / evaluation / deployment with gaps between the stages.
+def stage_bounds(df: DataFrame, stage_s: int, time: str = "open_time"):
+    """Starts of evaluation and deployment when both take ``stage_s`` seconds and deployment ends with the data."""
+    newest = df.agg(F.max(time).alias("t")).first()["t"]
+    if newest is None:
+        return None, None
+    end = newest + timedelta(microseconds=1)
+    return end - timedelta(seconds=2 * stage_s), end - timedelta(seconds=stage_s)
 
-    Evaluation and deployment must be equally long, their gap included.
+
+def three_stage(df: DataFrame, evaluation_start, deployment_start, gap_s: int, time: str = "open_time") -> DataFrame:
+    """Label rows inner / evaluation / deployment with a gap before each of the last two.
+
+    Deployment runs to the newest row; evaluation should be as long, its gap included.
     """
-    e, d, z = (F.lit(x).cast("timestamp_ntz") for x in (evaluation_start, deployment_start, end))
+    e, d = (F.lit(x).cast("timestamp_ntz") for x in (evaluation_start, deployment_start))
     gap = gap_s * MICRO
     us = micros(time)
     stage = (
         F.when(us < micros(e) - gap, "inner")
         .when((us >= micros(e)) & (us < micros(d) - gap), "evaluation")
-        .when((us >= micros(d)) & (us < micros(z) - gap), "deployment")
+        .when(us >= micros(d), "deployment")
     )
     return df.withColumn("stage", stage).where(F.col("stage").isNotNull())
 

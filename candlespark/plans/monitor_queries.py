@@ -8,6 +8,8 @@ from candlespark.operators import monitor as E
 from candlespark.plans.feature_queries import _as_of
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import MONITOR, monitor_events, monitor_targets, table
+from candlespark.session import shared_dir
+from candlespark.sources.events import advance_cursors, append_events, scan_events
 
 NOW = MONITOR + ", nw AS (SELECT max(ts) AS t FROM events)"
 
@@ -34,6 +36,28 @@ def _(spark, sf):
     return out.select("topic_id", "address", "event_id", "event_type", "value_num", "observed_at")
 
 
+@query("event_store_syncs", f"""
+WITH {MONITOR}, n AS (SELECT topic_id, address, count(*) AS fetched FROM mon GROUP BY ALL)
+SELECT n.*, i AS sync, CASE WHEN i = 1 THEN fetched ELSE 0 END AS inserted FROM n, (SELECT unnest([1, 2]) AS i)""")
+def _(spark, sf):
+    """The same events fetched twice: all inserted by the first sync, none by the second."""
+    path, e = shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    syncs = [append_events(e, path).withColumn("sync", F.lit(i)) for i in (1, 2)]
+    return syncs[0].unionByName(syncs[1])
+
+
+@query("event_store_rows", f"""
+WITH {MONITOR} SELECT topic_id, address, count(*) AS n_stored, max(observed_at) AS last_sync_at FROM mon GROUP BY ALL""")
+def _(spark, sf):
+    """Late days and repeats appended in three syncs; what is stored, and the cursors after it."""
+    path, e = shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    late = F.col("observed_at") < F.lit("2024-01-08").cast("timestamp_ntz")
+    for batch in (e.where(~late), e.where(late).unionByName(e.where(~late & (F.col("event_type") == "score"))), e.where(late)):
+        append_events(batch, path)
+    stored = scan_events(spark, path).groupBy("topic_id", "address").agg(F.count(F.lit(1)).alias("n_stored"))
+    return advance_cursors(e.select("topic_id", "address").distinct(), path).join(stored, ["topic_id", "address"])
+
+
 @query("event_fingerprints", f"""
 WITH {MONITOR} SELECT topic_id, address, topic_id || '|' || address || '|' || event_type || '|' || coalesce(tx_hash, '') || '|'
   || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || value_text AS event_id FROM mon""")

@@ -66,13 +66,15 @@ def _(spark, sf):
     return V.integrity(V.walk_forward(bars_1d(spark, sf), 0.1, 4, 20, cell_s=YEAR), 5 * 86_400)
 
 
-STAGES = PAIRS + """, sg AS (SELECT *, CASE WHEN open_time < TIMESTAMP '2024-01-15' - INTERVAL 12 HOUR THEN 'inner'
-  WHEN open_time >= TIMESTAMP '2024-01-15' AND open_time < TIMESTAMP '2024-01-22' - INTERVAL 12 HOUR THEN 'evaluation'
-  WHEN open_time >= TIMESTAMP '2024-01-22' AND open_time < TIMESTAMP '2024-01-29' - INTERVAL 12 HOUR THEN 'deployment' END AS stage FROM pairs)"""
+STAGES = PAIRS + """, ends AS (SELECT max(open_time) + INTERVAL 1 MICROSECOND AS z FROM pairs),
+sg AS (SELECT pairs.*, CASE WHEN open_time < z - INTERVAL 14 DAY - INTERVAL 12 HOUR THEN 'inner'
+  WHEN open_time >= z - INTERVAL 14 DAY AND open_time < z - INTERVAL 7 DAY - INTERVAL 12 HOUR THEN 'evaluation'
+  WHEN open_time >= z - INTERVAL 7 DAY THEN 'deployment' END AS stage FROM pairs, ends)"""
 
 
 def _stages(spark, sf):
-    return V.three_stage(pairs(spark, sf), "2024-01-15", "2024-01-22", "2024-01-29", 12 * 3600)
+    rows = pairs(spark, sf)
+    return V.three_stage(rows, *V.stage_bounds(rows, 7 * 86_400), 12 * 3600)
 
 
 @query("three_stage_partition", f"""

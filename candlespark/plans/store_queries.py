@@ -44,13 +44,24 @@ def _(spark, sf):
     return B.scan_bars(spark, path).select("symbol", "open_time", "close", "volume")
 
 
+@query("upsert_tied_versions", f"""
+WITH {BARS} SELECT symbol, open_time, {r("close + CASE WHEN open_time < TIMESTAMP '2024-01-10' THEN 2 ELSE 1 END AS close")} FROM bars""")
+def _(spark, sf):
+    """Batches without a version number: the later one wins; copies within a batch: the one of more trades, then the larger."""
+    path, bars = shared_dir(spark, "store"), bars_1h(spark, sf)
+    B.upsert_bars(bars, path, "ticks")
+    B.upsert_bars(bars.unionByName(bars.withColumn("close", F.col("close") + 1)), path, "ticks")
+    B.upsert_bars(bars.where("open_time < TIMESTAMP_NTZ '2024-01-10 00:00:00'").withColumn("close", F.col("close") + 2), path, "ticks")
+    return B.scan_bars(spark, path).select("symbol", "open_time", "close")
+
+
 @query("sources_kept_apart", f"""
 WITH {BARS}, b2 AS (SELECT 'a' AS source, symbol, open_time, close FROM bars UNION ALL SELECT 'b', symbol, open_time, close * 2 FROM bars)
 SELECT source, symbol, count(*) AS n_bars, {r('sum(close) AS close_total')} FROM b2 GROUP BY ALL""")
 def _(spark, sf):
     """Two sources of the same symbols live in one store and do not mix."""
     path, bars = shared_dir(spark, "store"), bars_1h(spark, sf)
-    B.upsert_bars(bars, path, "a")
+    B.upsert_bars(bars, path, "a", seq=1)
     B.upsert_bars(bars.withColumn("close", F.col("close") * 2), path, "b")
     out = B.scan_bars(spark, path)
     return out.groupBy("source", "symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("close_total"))
@@ -376,8 +387,8 @@ def _(spark, sf):
 
 
 @query("source_alignment", f"""
-WITH {BARS}, sh AS (SELECT unnest([-1, 0, 1]) AS shift), a AS (SELECT symbol, shift, open_time FROM bars, sh WHERE symbol IN ('click', 'view')),
-b AS (SELECT symbol, shift, open_time + shift * INTERVAL 1 HOUR AS open_time FROM bars, sh WHERE symbol IN ('click', 'view', 'error'))
+WITH {BARS}, sh AS (SELECT unnest([-1, 0, 1]) AS shift), a AS (SELECT symbol, shift, open_time FROM bars, sh WHERE n_trades > 1),
+b AS (SELECT symbol, shift, open_time + shift * INTERVAL 1 HOUR AS open_time FROM bars, sh WHERE volume > 0)
 SELECT symbol, shift::INTEGER AS shift, count(*) FILTER (WHERE ta IS NOT NULL AND tb IS NOT NULL) AS matched, count(*) FILTER (WHERE tb IS NULL) AS only_a,
   count(*) FILTER (WHERE ta IS NULL) AS only_b
 FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.shift, b.shift) AS shift, a.open_time AS ta, b.open_time AS tb
@@ -385,7 +396,8 @@ FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.shift, b.shift)
 def _(spark, sf):
     """Do two sources share their time base?  Matches at shifts -1, 0, +1."""
     bars = bars_1h(spark, sf)
-    return alignment(bars.where("symbol IN ('click', 'view')"), bars.where("symbol IN ('click', 'view', 'error')"), ["symbol"], "open_time", 3600)
+    # One source lacks the hours of a single trade, the other those without volume.
+    return alignment(bars.where("n_trades > 1"), bars.where("volume > 0"), ["symbol"], "open_time", 3600)
 
 
 @query("price_sanity", f"""

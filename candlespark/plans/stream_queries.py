@@ -12,6 +12,7 @@ from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, MONITOR, PAIRS, TICKS, bars_1h, monitor_events, pairs, table
 from candlespark.session import shared_dir
 from candlespark.sources.bars import scan_bars
+from candlespark.sources.events import scan_events
 from candlespark.streaming import barrier as SB
 from candlespark.streaming import bars as B
 from candlespark.streaming import cache as C
@@ -43,25 +44,32 @@ def _ntz(df, *names):
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def _messages(spark, sf):
-    """Hourly bars as stream messages in files: each closed candle twice and once still open."""
-    b = bars_1h(spark, sf)
+def _messages(spark, *parts):
+    """Bars as stream messages, one file per part, read in that order: each closed candle twice and once still open."""
+    path = shared_dir(spark, "messages")
+    for i, b in enumerate(parts):
+        _write_messages(b, f"{path}/part={i}")
+    return B.messages_from_files(spark, f"{path}/*", 1)
+
+
+def _write_messages(b, path):
     txt = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.col("symbol").alias("s"), F.unix_millis(F.col("open_time").cast("timestamp")).alias("t"), txt("open").alias("o"), txt("high").alias("h"),
         txt("low").alias("l"), txt("close").alias("c"), txt("volume").alias("v"), txt("quote_volume").alias("q"), F.col("n_trades").alias("n"), F.col("x"),
     )
     each = b.withColumn("x", F.explode(F.array(F.lit(True), F.lit(True), F.lit(False))))
-    path = shared_dir(spark, "messages")
-    each.select(F.to_json(F.struct(F.struct(k.alias("k")).alias("data"))).alias("value")).write.text(path)
-    return B.messages_from_files(spark, path)
+    each.select(F.to_json(F.struct(F.struct(k.alias("k")).alias("data"))).alias("value")).coalesce(1).write.text(path)
 
 
 @query("stream_closed_candles", f"WITH {BARS} SELECT symbol, open_time, {r('open', 'high', 'low', 'close', 'volume')}, n_trades FROM bars")
 def _(spark, sf):
-    """Messages -> closed candles, open and repeated ones dropped, merged into the store."""
-    store = shared_dir(spark, "store")
-    stream = B.closed_bars(_messages(spark, sf), "40 days")
+    """Messages in three files -> store: weeks-late candles are added, corrected ones replace what came before."""
+    store, bars = shared_dir(spark, "store"), bars_1h(spark, sf)
+    late, wrong = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-03", "2024-01-20"))
+    first = bars.where(F.col("open_time") >= late).withColumn("close", F.when(F.col("open_time") >= wrong, -F.col("close")).otherwise(F.col("close")))
+    newest = bars.where(F.col("open_time") >= wrong)
+    stream = B.closed_bars(_messages(spark, first, newest, bars.where(F.col("open_time") < late)))
     B.run_batches(stream, B.upsert_batches(store, "live"), shared_dir(spark, "state"), mode="append")
     return scan_bars(spark, store).select("symbol", "open_time", "open", "high", "low", "close", "volume", "n_trades")
 
@@ -160,13 +168,14 @@ def _(spark, sf):
 
 @query("stream_event_sync", f"WITH {MONITOR} SELECT topic_id, address, event_id, event_type, {r('value_num')}, observed_at FROM mon")
 def _(spark, sf):
-    """Event log with repeats, synced once."""
-    path = shared_dir(spark, "events")
-    e = monitor_events(spark, sf).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    e.unionByName(e).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = _run(spark, L.sync_events(stream), "sync")
-    return _ntz(out.select("topic_id", "address", "event_id", "event_type", "value_num", "observed_at"), "observed_at")
+    """Event log in three files, with repeats in a later one and events days late, synced into the store."""
+    path, store, e = shared_dir(spark, "events"), shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    late = F.col("observed_at") < F.lit("2024-01-05").cast("timestamp_ntz")
+    for i, part in enumerate((e.where(~late), e.where(~late).unionByName(e.where(~late)), e.where(late))):
+        part.coalesce(1).write.parquet(f"{path}/part={i}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    B.run_batches(stream, L.sync_batches(store), shared_dir(spark, "state"), mode="append")
+    return scan_events(spark, store).select("topic_id", "address", "event_id", "event_type", "value_num", "observed_at")
 
 
 @query("stream_live_accuracy", f"""
@@ -186,15 +195,17 @@ def _(spark, sf):
 WITH {BARS} SELECT symbol, date_trunc('day', open_time)::TIMESTAMP AS open_time, {r('max(high) AS high', 'min(low) AS low', 'last(close ORDER BY open_time) + 1 AS close', 'sum(volume) AS volume')}
 FROM bars WHERE open_time >= TIMESTAMP '2024-01-10' AND open_time < TIMESTAMP '2024-01-13' GROUP BY ALL""")
 def _(spark, sf):
-    """A late batch overwrites stored bars; the buckets it touched come out again."""
-    from candlespark.sources.bars import upsert_bars
-
-    store, bars = shared_dir(spark, "store"), bars_1h(spark, sf)
-    upsert_bars(bars, store, "live", seq=1)
+    """A stream whose second file corrects old candles: they overwrite stored bars, and the days they touched come out again."""
+    store, out, bars = shared_dir(spark, "store"), shared_dir(spark, "corrected"), bars_1h(spark, sf)
     late = bars.where("open_time >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND open_time < TIMESTAMP_NTZ '2024-01-13 00:00:00'")
-    late = late.withColumn("close", F.col("close") + 1)
-    upsert_bars(late, store, "live", seq=2)
-    return B.corrections(late, store, "live", "1d").select("symbol", "open_time", "high", "low", "close", "volume")
+    stream = B.closed_bars(_messages(spark, bars, late.withColumn("close", F.col("close") + 1)))
+
+    def emit(batch, batch_id):
+        B.corrections(batch, store, "live", "1d").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    B.run_batches(stream, B.upsert_batches(store, "live", emit), shared_dir(spark, "state"), mode="append")
+    rows = spark.read.option("basePath", out).parquet(out)
+    return rows.where("batch = 1").select("symbol", "open_time", "high", "low", "close", "volume")
 
 
 @query("stream_live_scores", f"""
@@ -204,12 +215,27 @@ WITH {BARS}, l AS (SELECT symbol, open_time, close, volume, list(close) OVER w A
 SELECT symbol, open_time, {r('close AS current_price', 'list_avg(cl) / close - 1 AS prediction')} FROM l WHERE k = 1 AND nb >= 12 AND volume <> 0""")
 def _(spark, sf):
     """Micro-batches scored on the newest windows, with the training feature code."""
+    return _live_scores(spark, sf, "1h", 12)
+
+
+@query("stream_live_scores_daily", f"""
+WITH {BARS}, d AS (SELECT symbol, date_trunc('day', open_time)::TIMESTAMP AS open_time, last(close ORDER BY open_time) AS close, sum(volume) AS volume FROM bars
+   WHERE open_time > (SELECT max(open_time) FROM bars) + INTERVAL 1 MINUTE - INTERVAL 122 HOUR GROUP BY ALL),
+l AS (SELECT *, list(close) OVER w AS cl, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k, count(*) OVER (PARTITION BY symbol) AS nb FROM d
+   WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT symbol, open_time, {r('close AS current_price', 'list_avg(cl) / close - 1 AS prediction')} FROM l WHERE k = 1 AND nb >= 5 AND volume <> 0""")
+def _(spark, sf):
+    """Daily windows: the look-back follows from the bar width and the number of bars."""
+    return _live_scores(spark, sf, "1d", 5)
+
+
+def _live_scores(spark, sf, freq, n):
     store, out = shared_dir(spark, "store"), shared_dir(spark, "scores")
 
     def score(rows):
-        mean = F.aggregate(F.transform("window", lambda b: b["close"]), F.lit(0.0), lambda a, x: a + x) / 12
+        mean = F.aggregate(F.transform("window", lambda b: b["close"]), F.lit(0.0), lambda a, x: a + x) / n
         return rows.select("symbol", "open_time", "current_price", (mean - 1).alias("prediction"))
 
-    fn = L.scoring_batches(store, "live", out, "1h", 12, score, look_back_days=31)
+    fn = L.scoring_batches(store, "live", out, freq, n, score)
     B.run_batches(_hour_stream(spark, sf), fn, shared_dir(spark, "state"), mode="append")
     return spark.read.option("basePath", out).parquet(out).drop("batch")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,6 +14,10 @@ from pyspark.sql import SparkSession
 CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
 
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what results depend on: bar times are UTC wall-clock times."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -39,18 +45,33 @@ def local_session(cpus: int | str = 8, app: str = "candlespark") -> SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session that names no such folder (tests, a laptop) gets one of
-    its own, since executors on other machines could not read it.
+    Only a local session (tests, a laptop) that names no such folder gets one
+    of its own.  Elsewhere executors on other machines could not read it, so
+    the setting must be there.
     """
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        # The setting belongs to Spark's core and can't be changed once a session runs.
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of ``path`` and its handle there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder once nothing reads it any more."""
+    fs, target = hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
 def cut_lineage(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` to the shared folder and read it back.
 

@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 from candlespark.functions.names import symbol_key
 from candlespark.operators.blocks import DAY
 from candlespark.schema import BAR_SCHEMA
-from candlespark.session import cut_lineage
+from candlespark.session import hadoop_path, remove_dir, shared_dir
 
 PARTITIONS = ["source", "symbol_key", "dt"]
+#: Versions of a bar: the later batch wins; within a batch the one of more trades, then the larger values.
+VERSION = ["ingested_at", "n_trades", "volume", "close", "high", "low", "open"]
+#: Folders named one by one in a filter; beyond that a range of days is.
+NAMED = 500
 BAR_COLUMNS = BAR_SCHEMA.fieldNames()
 STORED = T.StructType(
     [
@@ -71,20 +75,25 @@ def time_range(df: DataFrame, start=None, end=None, time: str = "open_time") ->
 
 def scan_bars(
     spark: SparkSession, path: str, symbols: Sequence[str] | None = None, start=None, end=None,
-    source: str | None = None, skip_corrupt: bool = False,
+    source: str | None = None, skip_corrupt: bool = False, within: Column | None = None,
 ) -> DataFrame:
-    """Read bars; symbol and time conditions prune partitions and row groups."""
+    """Read bars; symbol and time conditions prune partitions and row groups.
+
+    ``within``: a further condition on the stored columns, partition columns included.
+    """
     reader = spark.read.schema(STORED).option("ignoreCorruptFiles", str(skip_corrupt).lower())
     df = reader.parquet(path)
     if source is not None:
         df = df.where(F.col("source") == source)
+    if within is not None:
+        df = df.where(within)
     if symbols is not None:
         df = df.where(F.col("symbol_key").isin(*[_key(s) for s in symbols]) & F.col("symbol").isin(*symbols))
     if start is not None:
         df = df.where(F.col("dt") >= F.to_date(F.lit(start).cast("timestamp_ntz")))
     if end is not None:
         df = df.where(F.col("dt") <= F.to_date(F.lit(end).cast("timestamp_ntz")))
-    return dedupe(time_range(df, start, end), ["source", "symbol", "open_time"])
+    return dedupe(time_range(df, start, end), ["source", "symbol", "open_time"], VERSION)
 
 
 def _key(symbol: str) -> str:
@@ -94,37 +103,75 @@ def _key(symbol: str) -> str:
     return re.sub(r"[/\\:\- ]", "", symbol)
 
 
-def upsert_bars(new: DataFrame, path: str, source: str, seq: Column | int = 0) -> None:
+def touched(bars: DataFrame) -> Column | None:
+    """A literal condition on the partition columns that holds for every folder ``bars`` (with layout) touches.
+
+    The driver gets one row: bounds, and at most ``NAMED`` names of each kind,
+    beyond which days become a range and symbols are left to the join that
+    follows.  None if there are no rows.
+    """
+    few = [F.slice(F.sort_array(F.collect_set(c)), 1, NAMED + 1).alias(f"{c}_set") for c in ("symbol_key", "dt")]
+    keys = bars.select("symbol_key", "dt").distinct()
+    row = keys.agg(F.min("dt").alias("low"), F.max("dt").alias("high"), *few).first()
+    if row.low is None:
+        return None
+    days = F.col("dt").isin(*row.dt_set) if len(row.dt_set) <= NAMED else F.col("dt").between(row.low, row.high)
+    return days & F.col("symbol_key").isin(*row.symbol_key_set) if len(row.symbol_key_set) <= NAMED else days
+
+
+def next_version(spark: SparkSession, path: str, source: str, where: Column) -> int:
+    """One more than the newest version stored in the folders of ``where``."""
+    if not _exists(spark, path):
+        return 1
+    old = spark.read.schema(STORED).parquet(path).where((F.col("source") == source) & where)
+    return (old.agg(F.max("ingested_at").alias("v")).first().v or 0) + 1
+
+
+def upsert_bars(new: DataFrame, path: str, source: str, seq: Column | int | None = None) -> None:
     """Merge bars into the store, rewriting the touched (source, symbol, day) folders.
 
-    Old rows of those folders are found by a semi join on the partition
-    columns, so only their files are read.  The merged rows are written to the
-    shared folder first: a lost executor or a failed overwrite never leaves the
-    store as the only, half-written copy.
+    ``seq`` is the version of the batch, or of each row; without it the batch
+    is one version newer than what its folders hold.  Only the touched folders
+    are read: their names are literals in the scan.  Both the batch and the
+    merged rows are staged in the shared folder, so a failed overwrite never
+    leaves the store as the only, half-written copy; staged copies go when the
+    store is written.
     """
     spark = new.sparkSession
-    marked = with_layout(reconcile(new), source).withColumn(
-        "ingested_at", F.lit(seq).cast("long") if isinstance(seq, int) else seq.cast("long")
-    ).select(*STORED.fieldNames())
-    merged = dedupe(marked, ["source", "symbol", "open_time"])
-    if _exists(spark, path):
-        old = spark.read.schema(STORED).parquet(path).join(marked.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
-        merged = dedupe(old.unionByName(marked), ["source", "symbol", "open_time"])
-    staged = cut_lineage(merged, "upsert")
-    (
-        staged.repartition(*PARTITIONS)
-        .sortWithinPartitions(*PARTITIONS, "open_time")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    if seq is None or isinstance(seq, int):
+        version = F.lit(seq).cast("long")
+    else:
+        version = seq.cast("long")
+    staged, merged_path = shared_dir(spark, "batch"), shared_dir(spark, "upsert")
+    marked = with_layout(reconcile(new), source).withColumn("ingested_at", version).select(*STORED.fieldNames())
+    key = ["source", "symbol", "open_time"]
+    dedupe(marked, key, VERSION).write.parquet(staged)
+    marked = spark.read.schema(STORED).parquet(staged)
+    where = touched(marked)
+    if where is not None:
+        if seq is None:
+            marked = marked.withColumn("ingested_at", F.lit(next_version(spark, path, source, where)).cast("long"))
+        merged = marked
+        if _exists(spark, path):
+            old = spark.read.schema(STORED).parquet(path).where((F.col("source") == source) & where)
+            old = old.join(marked.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+            merged = dedupe(old.unionByName(marked), key, VERSION)
+        merged.write.parquet(merged_path)
+        (
+            spark.read.schema(STORED).parquet(merged_path)
+            .repartition(*PARTITIONS)
+            .sortWithinPartitions(*PARTITIONS, "open_time")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PARTITIONS)
+            .parquet(path)
+        )
+        remove_dir(spark, merged_path)
+    remove_dir(spark, staged)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = hadoop_path(spark, path)
     return fs.exists(target) and bool(fs.listStatus(target))
 
 

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 
 from candlespark.functions.times import interval_minutes, is_ntz
 from candlespark.operators.resample import OHLCV_TRADES, resample
-from candlespark.sources.bars import reconcile, scan_bars, upsert_bars
+from candlespark.sources.bars import reconcile, scan_bars, touched, upsert_bars, with_layout
 from candlespark.sources.payloads import land_stream_klines
 
-KEY = ["symbol", "open_time"]
-
 
 def messages_from_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Text files of JSON messages, one per line, as a stream."""
@@ -29,9 +27,13 @@ def messages_from_files(spark: SparkSession, path: str, files_per_batch: int | N
     return reader.format("text").load(path)
 
 
-def closed_bars(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Closed candles, each (symbol, open_time) once within the watermark."""
-    return land_stream_klines(messages).withWatermark("open_time", delay).dropDuplicatesWithinWatermark(KEY)
+def closed_bars(messages: DataFrame) -> DataFrame:
+    """Closed candles, however late, with every corrected copy.
+
+    No state and no watermark: the upsert keeps one row per candle, the latest,
+    so nothing needs to be dropped here.  Aggregations add their own watermark.
+    """
+    return land_stream_klines(messages)
 
 
 def stream_resample(bars: DataFrame, freq: str, time: str = "open_time") -> DataFrame:
@@ -88,16 +90,15 @@ def corrections(batch: DataFrame, path: str, source: str, freq: str) -> DataFram
     versions of bars that were emitted before.
     """
     spark = batch.sparkSession
-    touched = resample(batch, freq).select("symbol", F.col("open_time").alias("_b"))
-    minutes = interval_minutes(freq)
-    bounds = touched.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).first()
-    if bounds["lo"] is None:
+    buckets = resample(batch, freq).select("symbol", "open_time")
+    # The days that the touched buckets cover, of the touched symbols only.
+    span = F.sequence(F.to_date("open_time"), F.to_date(F.col("open_time") + F.expr(f"INTERVAL {interval_minutes(freq) - 1} MINUTES")))
+    days = with_layout(buckets, source).withColumn("dt", F.explode(span))
+    where = touched(days)
+    if where is None:
         return resample(batch, freq)
-    from datetime import timedelta
-
-    stored = scan_bars(spark, path, start=bounds["lo"], end=bounds["hi"] + timedelta(minutes=minutes), source=source)
-    fresh = resample(stored, freq, aggs=OHLCV_TRADES)
-    return fresh.join(touched.withColumnRenamed("_b", "open_time"), ["symbol", "open_time"], "left_semi")
+    fresh = resample(scan_bars(spark, path, source=source, within=where), freq, aggs=OHLCV_TRADES)
+    return fresh.join(buckets, ["symbol", "open_time"], "left_semi")
 
 
 def snapshots(bars: DataFrame, time: str = "open_time") -> DataFrame:

@@ -3,51 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.operators.features import live_features
-from candlespark.schema import EVENT_KEY
+from candlespark.operators.features import live_features, look_back_hours
 from candlespark.sources.bars import scan_bars
+from candlespark.sources.events import append_events
 from candlespark.streaming.bars import as_batch, upsert_bars
 
 
-def scoring_batches(
-    store: str, source: str, out: str, freq: str, n: int, score: Callable[[DataFrame], DataFrame],
-    look_back_days: int = 3,
-):
+def scoring_batches(store: str, source: str, out: str, freq: str, n: int, score: Callable[[DataFrame], DataFrame]):
     """A ``foreachBatch`` function for live scoring.
 
     Each batch is merged into the store; the symbols it brought are scored on
-    their newest windows, by the code that builds training features.  Symbols
-    with too few bars are left out.  Output goes to a folder per batch, so a
-    repeated batch overwrites its own rows.
+    their newest windows, by the code that builds training features.  The scan
+    reads the look-back that ``n`` bars of ``freq`` need, of those symbols and
+    days only.  Symbols with too few bars for a window go to ``<out>-short``.
+    Output goes to a folder per batch, so a repeated batch overwrites its own rows.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        from datetime import timedelta
-
         spark = batch.sparkSession
         bars = as_batch(batch)
         upsert_bars(bars, store, source, seq=batch_id + 1)
         newest = bars.agg(F.max("open_time").alias("t")).first()["t"]
         if newest is None:
             return
-        touched = bars.select("symbol").distinct()
-        recent = scan_bars(spark, store, start=newest - timedelta(days=look_back_days), source=source)
-        recent = recent.join(touched, "symbol", "left_semi")
         # The newest minute has closed: messages of open candles were dropped.
-        as_of = F.lit(newest + timedelta(minutes=1)).cast("timestamp_ntz")
-        rows = live_features(recent, freq, n, as_of).where("enough AND window IS NOT NULL")
-        score(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        now = newest + timedelta(minutes=1)
+        recent = scan_bars(spark, store, start=now - timedelta(hours=look_back_hours(freq, n)), source=source)
+        recent = recent.join(bars.select("symbol").distinct(), "symbol", "left_semi")
+        rows = live_features(recent, freq, n, F.lit(now).cast("timestamp_ntz"))
+        usable = F.coalesce(F.col("enough") & F.col("window").isNotNull(), F.lit(False))
+        score(rows.where(usable)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows.where(~usable).drop("window").write.mode("overwrite").parquet(f"{out}-short/batch={batch_id}")
 
     return run
 
 
-def sync_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Event log without repeats: each (topic, address, event) once within the watermark."""
-    return events.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(EVENT_KEY)
+def sync_batches(path: str):
+    """A ``foreachBatch`` function that appends what the event store lacks.
+
+    The store is the memory of what was seen, for ever: an event counts once
+    however late it comes or is repeated, and no state grows in the stream.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        append_events(batch, path)
+
+    return run
 
 
 def live_accuracy(pairs: DataFrame, keys: Sequence[str], size: str, gate: float, time: str = "open_time") -> DataFrame:

@@ -39,6 +39,32 @@ def test_restart_and_late_rows(spark):
     assert got == {m: m for m in range(9)}
 
 
+def test_very_late_and_corrected_candles(spark):
+    """A candle an hour behind all others is stored, and the newer copy of a candle wins."""
+    src, store, state = (shared_dir(spark, n) for n in ("src", "store", "state"))
+    drop(src, "1", [message("a", m, m) for m in range(50, 62)])
+    drop(src, "2", [message("a", m, m) for m in range(62, 120)])
+    drop(src, "3", [message("a", 5, 5), message("a", 61, 9)])
+    for i in range(1, 4):
+        os.utime(f"{src}/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    B.run_batches(B.closed_bars(B.messages_from_files(spark, src, 1)), B.upsert_batches(store, "x"), state, "append")
+    got = {r.open_time.minute + 60 * r.open_time.hour: r.close for r in scan_bars(spark, store).collect()}
+    assert got == {5: 5.0, **{m: float(m) for m in range(50, 120)}, 61: 9.0}
+
+
+def test_short_histories_are_reported(spark):
+    from candlespark.streaming.live import scoring_batches
+
+    store, out = shared_dir(spark, "store"), shared_dir(spark, "scores")
+    rows = [(s, dt.datetime(2024, 1, d), float(d), 1.0) for s, days in (("a", range(1, 8)), ("b", range(6, 8))) for d in days]
+    bars = spark.createDataFrame(rows, "symbol string, open_time timestamp, close double, volume double")
+    for c in ("open", "high", "low"):
+        bars = bars.withColumn(c, F.col("close"))
+    scoring_batches(store, "x", out, "1d", 5, lambda r: r.select("symbol", "current_price"))(bars, 0)
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/batch=0").collect()] == [("a", 7.0)]
+    assert [(r.symbol, r.enough) for r in spark.read.parquet(f"{out}-short/batch=0").collect()] == [("b", False)]
+
+
 def test_repeated_batch_changes_nothing(spark):
     store = shared_dir(spark, "store")
     bars = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1.0)], "symbol string, open_time timestamp, close double")
@@ -85,7 +111,7 @@ def test_stream_bars_equal_batch_bars(spark):
     for i in range(4):
         drop(src, str(i), [message("a", m, m % 7) for m in range(i * 30, i * 30 + 30)])
         os.utime(f"{src}/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
-    bars = B.closed_bars(B.messages_from_files(spark, src, 1), "1 minute")
+    bars = B.closed_bars(B.messages_from_files(spark, src, 1)).withWatermark("open_time", "1 minute")
     B.run_available(B.stream_resample(bars, "15m"), out, state)
     from candlespark.operators.resample import resample
 
