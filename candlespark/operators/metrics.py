@@ -41,18 +41,21 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
     return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _cells(pairs: DataFrame, keys: Sequence[str], time: str, cell_s: int) -> DataFrame:
-    """Partial results per (keys, cell), with the last hit of earlier cells."""
+def _cells(pairs: DataFrame, keys: Sequence[str], time: str, cell_s: int, pool: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Partial results per (keys, cell), with the last hit of earlier cells.
+
+    A pooled series is ordered by ``pool`` and then time; rows of one time by ``ties``.
+    """
     Y, P = _yp()
-    on = [*keys, "_cell"]
+    on = [*keys, *pool, "_cell"]
     moved = Y != 0
     same = F.signum(Y) == F.signum(P)
     hit = F.when(moved, same.cast("long"))
-    past = Window.partitionBy(*on).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*on).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = pairs.withColumn("_cell", cell(time, cell_s)).withColumn("_hit", hit)
     rows = rows.withColumn("_last", F.last("_hit", ignorenulls=True).over(past))
     err, size = Y - P, F.abs(Y)
-    at = F.when(moved, F.col(time))
+    at = F.when(moved, F.struct(*pool, time, *ties))
     up, call = Y > 0, P > 0
     out = rows.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n"),
@@ -75,7 +78,7 @@ def _cells(pairs: DataFrame, keys: Sequence[str], time: str, cell_s: int) -> Dat
         F.count_if(up & call).alias("tp"), F.count_if(~up & ~call).alias("tn"),
         F.count_if(~up & call).alias("fp"), F.count_if(up & ~call).alias("fn"),
     )
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*pool, "_cell").rowsBetween(Window.unboundedPreceding, -1)
     edge = F.last("last_hit", ignorenulls=True).over(before)
     return out.withColumn("edge_pair", F.coalesce(edge * F.col("first_hit"), F.lit(0)))
 
@@ -151,13 +154,17 @@ def evaluate(
     epoch_minutes: int = 60,
     n_expected: int | None = None,
     cell_s: int = DAY,
+    pool: Sequence[str] = (),
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """One row per group: all metrics, pass flags, score and grade.
 
-    ``pairs`` holds (keys, time, y_true, y_pred) with one row per time.
+    ``pairs`` holds (keys, time, y_true, y_pred).  ``pool`` names columns whose
+    series are graded as one, each after the other; without it, rows of one
+    time are ordered by ``ties``, which must then tell them apart.
     """
     keys = list(keys)
-    d = _moments(_directional(_merge(_cells(pairs, keys, time, cell_s), keys)))
+    d = _moments(_directional(_merge(_cells(pairs, keys, time, cell_s, pool, ties), keys)))
     zero, one, n = F.lit(0.0), F.lit(1.0), F.col("n_samples")
     varied = F.col("std_true") > 0
     defined = varied & (F.col("std_pred") > 0)

@@ -75,6 +75,10 @@ def scan_since(events: DataFrame, targets: DataFrame, since: str | None = None)
     """
     start = F.coalesce(F.lit(since).cast("timestamp_ntz"), "last_sync_at", "deployed_at")
     cursors = targets.select(*TARGET, add_seconds(start, -OVERLAP_S).alias("_from"))
+    # The oldest cursor, one value, bounds the scan; each target's own follows after the join.
+    oldest = cursors.agg(F.min("_from").alias("t")).first()["t"]
+    if oldest is not None:
+        events = events.where(F.col("observed_at") >= F.lit(oldest).cast(events.schema["observed_at"].dataType))
     return events.join(cursors, TARGET).where(F.col("observed_at") >= F.col("_from")).drop("_from")
 
 
@@ -251,7 +255,9 @@ def period_metrics(events: DataFrame, targets: DataFrame, as_of: Column, periods
         names = list(made)
         aggs.append(F.struct(F.lit(label).alias("period"), *[c.alias(n) for n, c in made.items()]).alias(f"_p_{label}"))
     longest = max(periods.values())
-    recent = events.where(micros("observed_at") >= now - longest * MICRO)
+    # The bare column against a literal, so that the bound reaches the scan.
+    kind = events.schema["observed_at"].dataType
+    recent = events.where(F.col("observed_at") >= as_of.cast(kind) - F.expr(f"INTERVAL {longest} SECONDS"))
     per = recent.groupBy(*TARGET, "deployment_id").agg(*aggs)
     per = per.select(*TARGET, "deployment_id", F.explode(F.array(*[F.col(f"_p_{p}") for p in periods])).alias("m")).select(*TARGET, "deployment_id", "m.*")
     own = targets.select(*TARGET, F.col("deployment_id").alias("_dep"))

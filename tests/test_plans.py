@@ -45,3 +45,9 @@ def test_windows_are_cut_into_blocks(spark, small):
 def test_columns_are_pruned(spark, small):
     text = QUERIES["bars_1h"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "user_id" not in re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
+
+
+@pytest.mark.parametrize("name", ["period_metrics", "incremental_scan"])
+def test_time_bounds_reach_the_scan(spark, small, name):
+    text = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan(OrEqual)?\(ts,", text)
