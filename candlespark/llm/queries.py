@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import decontaminate, html_text, kneser_ney, language, licenses, lines, minhash, mixing, neighbours, quality
+from candlespark.llm import decontaminate, html_text, kneser_ney, language, licenses, lines, minhash, mixing, neighbours, quality, twins
 from candlespark.llm.common import crc_of_id, session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,25 +45,7 @@ def op10_language_id(spark, sf_dir):
     return judged.select("doc_id", (~F.col("learn")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-LINES_SQL = """
-WITH lines AS (
-  SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
-  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i) AS n
-), keyed AS (
-  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
-), often AS (
-  SELECT key, max(doc_id) AS newest FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
-), judged AS (
-  SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.newest AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
-)
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
-"""
-
-
-@query(sql=LINES_SQL)
+@query(sql=twins.LINES)
 def op3_line_dedup(spark, sf_dir):
     """Lines that many documents share are dropped from all but one of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,13 +53,13 @@ def op3_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query
+@query(sql=twins.NEAR)
 def op5_near_dedup(spark, sf_dir):
     """Classes of documents whose sets of 3-word shingles overlap by 85 in 100 or more."""
     return minhash.classes(table(spark, sf_dir, "documents"), size=3, share=(85, 100))
 
 
-@query
+@query(sql=twins.QUALITY)
 def op1_quality_rules(spark, sf_dir):
     """Base counts, and the verdict of fences that follow each language's and source's own sketch."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -106,55 +88,7 @@ def op4_benchmark_leaks(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-MIX_SQL = """
-WITH RECURSIVE rows_ AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents
-), sized AS (
-  SELECT source, count(*) AS n, (count(*) + 7) // 8 AS blocks, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM documents GROUP BY source
-), sources AS (
-  SELECT source, blocks, greatest(1, CAST(100 * root // sum(root) OVER () AS BIGINT)) AS parts FROM sized
-), cut AS (
-  SELECT *, blocks // parts AS whole, blocks % parts AS rest FROM sources
-), starts AS (
-  SELECT DISTINCT c AS from_cycle FROM (SELECT 0 AS c UNION ALL SELECT whole FROM cut UNION ALL SELECT whole + 1 FROM cut) AS x
-  WHERE c < (SELECT max(whole + CAST(rest > 0 AS BIGINT)) FROM cut)
-), counts AS (
-  SELECT from_cycle, source, CASE WHEN from_cycle < whole THEN parts WHEN from_cycle = whole THEN rest ELSE 0 END AS c FROM starts, cut
-), kinds AS (
-  SELECT from_cycle, CAST(sum(c) AS BIGINT) AS length,
-         coalesce(lead(from_cycle) OVER (ORDER BY from_cycle), (SELECT max(whole + CAST(rest > 0 AS BIGINT)) FROM cut)) AS to_cycle
-  FROM counts GROUP BY from_cycle
-), bases AS (
-  SELECT *, coalesce(sum((to_cycle - from_cycle) * length) OVER (ORDER BY from_cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM kinds
-), lists AS (
-  SELECT b.from_cycle, b.length, list(c.source ORDER BY c.source) AS names, list(c.c ORDER BY c.source) AS counts
-  FROM counts c JOIN bases b ON c.from_cycle = b.from_cycle GROUP BY b.from_cycle, b.length
-), edf AS (
-  SELECT from_cycle, length, names, counts, CAST(-1 AS BIGINT) AS now, list_transform(counts, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick
-  FROM lists
-  UNION ALL
-  SELECT from_cycle, length, names, counts, now + 1,
-         list_transform(range(1, len(done) + 1), lambda i: done[i] + CAST(i = chosen AS BIGINT)), chosen
-  FROM (
-    SELECT *, CAST(list_min(list_transform(list_filter(range(1, len(done) + 1), lambda i: done[i] < counts[i] AND done[i] * length // counts[i] <= now + 1),
-                   lambda i: ((done[i] + 1) * length + counts[i] - 1) // counts[i] * 100000 + i)) % 100000 AS BIGINT) AS chosen
-    FROM edf WHERE now + 1 < length
-  ) AS step
-), slots AS (
-  SELECT from_cycle, names[pick] AS source, now AS slot, counts[pick] AS c, row_number() OVER (PARTITION BY from_cycle, pick ORDER BY now) - 1 AS k
-  FROM edf WHERE pick IS NOT NULL
-), placed AS (
-  SELECT r.doc_id, r.source, r.place // 8 AS block, r.place % 8 AS place, s.parts FROM rows_ r JOIN sources s ON r.source IS NOT DISTINCT FROM s.source
-)
-SELECT p.doc_id, p.source, p.block, CAST(b.base + (p.block // p.parts - b.from_cycle) * b.length + s.slot AS BIGINT) AS slot,
-       CAST(b.base + (p.block // p.parts - b.from_cycle) * b.length + s.k * b.length // s.c AS BIGINT) AS release,
-       CAST(b.base + (p.block // p.parts - b.from_cycle) * b.length + ((s.k + 1) * b.length + s.c - 1) // s.c AS BIGINT) AS deadline, p.place
-FROM placed p JOIN bases b ON p.block // p.parts >= b.from_cycle AND p.block // p.parts < b.to_cycle
-JOIN slots s ON s.from_cycle = b.from_cycle AND s.source IS NOT DISTINCT FROM p.source AND s.k = p.block % p.parts
-"""
-
-
-@query(sql=MIX_SQL)
+@query(sql=twins.MIX)
 def op7_source_mix(spark, sf_dir):
     """The slot of every document's block when sources are mixed by the square roots of their sizes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
