@@ -19,6 +19,7 @@ from candlespark.operators.asof import asof_join
 from candlespark.operators.blocks import DAY, HOUR, over_blocks
 from candlespark.operators.resample import drop_incomplete, resample, resample_live
 from candlespark.schema import BAR_FIELDS
+from candlespark.sources.bars import time_range
 
 KEYS = ("symbol",)
 
@@ -81,15 +82,19 @@ def long_form(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def training_table(
-    bars: DataFrame, freq: str, n: int, h: int, keys: Sequence[str] = KEYS, cell_s: int = DAY
+    bars: DataFrame, freq: str, n: int, h: int, keys: Sequence[str] = KEYS, cell_s: int = DAY, start=None, end=None
 ) -> DataFrame:
-    """Resampled bars with window features and target: one block pass for all symbols."""
+    """Resampled bars with window features and target: one block pass for all symbols.
+
+    ``start`` and ``end`` bound the rows returned; their windows and targets
+    reach beyond.
+    """
 
     def columns(d, w):
         return target_columns(window_columns(d, w, n), w, h)
 
     fine = resample(bars, freq, keys)
-    return over_blocks(fine, keys, "open_time", n - 1, h, columns, cell_s=cell_s)
+    return time_range(over_blocks(fine, keys, "open_time", n - 1, h, columns, cell_s=cell_s), start, end)
 
 
 def complete_rows(rows: DataFrame, columns: Sequence[str] = ("window", "target")) -> DataFrame:
@@ -347,13 +352,14 @@ def target_family(d: DataFrame, w: WindowSpec, h: int) -> DataFrame:
     return d.drop("_r", "_n")
 
 
-def cross_asset(left: DataFrame, right: DataFrame, k: int, cell_s: int = DAY) -> DataFrame:
-    """Step spread, rolling correlation and its change between two aligned series.
+def cross_asset(left: DataFrame, right: DataFrame, k: int, cell_s: int = DAY, keys: Sequence[str] = ()) -> DataFrame:
+    """Step spread, rolling correlation and its change between aligned series.
 
-    Both inputs hold (open_time, close) with one row per time; they are aligned
-    by an equi join on time and then windowed in blocks.
+    ``right`` holds (open_time, close) with one row per time, ``left`` the same
+    for each of ``keys``; they are aligned by an equi join on time and then
+    windowed in blocks.
     """
-    both = left.select("open_time", F.col("close").alias("close_a")).join(
+    both = left.select(*keys, "open_time", F.col("close").alias("close_a")).join(
         right.select("open_time", F.col("close").alias("close_b")), "open_time"
     )
 
@@ -368,7 +374,7 @@ def cross_asset(left: DataFrame, right: DataFrame, k: int, cell_s: int = DAY) ->
         )
         return d.withColumn("corr_change", F.col("rolling_corr") - F.lag("rolling_corr", k).over(w)).drop("_a", "_b")
 
-    return over_blocks(both, [], "open_time", 2 * k + 1, 0, columns, cell_s=cell_s)
+    return over_blocks(both, list(keys), "open_time", 2 * k + 1, 0, columns, cell_s=cell_s)
 
 
 def excess_target(bars: DataFrame, benchmark: DataFrame, h: int, keys: Sequence[str] = KEYS, cell_s: int = DAY) -> DataFrame:

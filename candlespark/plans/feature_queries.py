@@ -506,6 +506,39 @@ def _(spark, sf):
     return X.cross_asset(bars.where("symbol = 'click'"), bars.where("symbol = 'view'"), 24, cell_s=MONTH)
 
 
+def _each_sql(k: int) -> str:
+    """The pair twin, with every symbol against one."""
+    text = _pair_sql(k).replace("SELECT open_time, a.close", "SELECT a.symbol, open_time, a.close").replace("a.symbol = 'click'", "a.symbol <> 'view'")
+    return text.replace("(ORDER BY open_time", "(PARTITION BY symbol ORDER BY open_time")
+
+
+@query("cross_asset_each", f"""
+WITH {_each_sql(24)} SELECT symbol, open_time, {r('ca AS close_a', 'cb AS close_b', 'x - y AS step_spread', 'rc AS rolling_corr',
+'rc - lag(rc, 24) OVER (PARTITION BY symbol ORDER BY open_time) AS corr_change')} FROM c""")
+def _(spark, sf):
+    """Step spread and rolling correlation of every symbol with a benchmark symbol."""
+    bars = bars_1h(spark, sf)
+    return X.cross_asset(bars.where("symbol <> 'view'"), bars.where("symbol = 'view'"), 24, cell_s=MONTH, keys=["symbol"])
+
+
+@query("training_table_range", f"""
+WITH {TRAINING} SELECT symbol, open_time, {r('last_close', 'target', digits=8)}, has_window FROM train
+WHERE open_time >= TIMESTAMP '2024-01-10' AND open_time <= TIMESTAMP '2024-01-20'""", digits=8)
+def _(spark, sf):
+    """Training rows of a range; windows reach back beyond its start and targets beyond its end."""
+    out = X.training_table(bars_1h(spark, sf), "1h", 12, 1, cell_s=MONTH, start="2024-01-10", end="2024-01-20")
+    return out.select("symbol", "open_time", F.col("window")[11]["close"].alias("last_close"), "target", F.col("window").isNotNull().alias("has_window"))
+
+
+@query("registered_features", f"""
+WITH {BARS} SELECT symbol, open_time, {r('(high + low) / 2 AS mid', '(close - (high + low) / 2) / ((high + low) / 2) AS off_mid')} FROM bars""")
+def _(spark, sf):
+    """Features that a user registers by name, one built on the other."""
+    X.register_feature("mid", lambda d: d.withColumn("mid", (F.col("high") + F.col("low")) / 2))
+    X.register_feature("off_mid", lambda d: d.withColumn("off_mid", (F.col("close") - F.col("mid")) / F.col("mid")))
+    return X.apply_features(bars_1h(spark, sf), ["mid", "off_mid"]).select("symbol", "open_time", "mid", "off_mid")
+
+
 @query("target_family", f"""
 WITH {STEPS}, t AS (SELECT *, ln(lead(close, 6) OVER w) - ln(close) AS tr, count(*) OVER f AS nf, sum(r * r) OVER f AS ss FROM st
  WINDOW w AS (PARTITION BY symbol ORDER BY open_time),

@@ -296,6 +296,30 @@ def _(spark, sf):
     return plan.select("symbol", "kind", "from_time", "to_time", F.size("days").alias("n_days"))
 
 
+@query("backfill_first_requests", """
+SELECT DISTINCT o_orderpriority AS symbol, 'full' AS kind, TIMESTAMP '2023-12-20' AS from_time, (SELECT max(ts) FROM events) AS to_time, 0::INTEGER AS n_days FROM orders
+WHERE o_orderpriority NOT IN (SELECT event_type FROM events)""")
+def _(spark, sf):
+    """Whole-history requests for wanted symbols without any bar: the daily symbols have none at one hour."""
+    wanted = bars_1d(spark, sf).select("symbol").unionByName(bars_1h(spark, sf).select("symbol")).distinct()
+    plan = Q.first_request(wanted, bars_1h(spark, sf), "2023-12-20", _as_of(spark, sf))
+    return plan.select("symbol", "kind", "from_time", "to_time", F.size("days").alias("n_days"))
+
+
+@query("registered_source_bars", f"""
+WITH {BARS} SELECT symbol, open_time, {r('close', 'volume')} FROM bars
+WHERE symbol IN ('click', 'view') AND open_time >= TIMESTAMP '2024-01-08' AND open_time <= TIMESTAMP '2024-01-25'""")
+def _(spark, sf):
+    """A user's bar source by name: two overlapping ranges fetched and merged into the store."""
+    from candlespark.sources.registry import register_source, sync_source
+
+    register_source("hourly", lambda spark, symbols, start, end: bars_1h(spark, sf).withColumnRenamed("n_trades", "trades_done"))
+    path = shared_dir(spark, "store")
+    for span in (("2024-01-08", "2024-01-18"), ("2024-01-15", "2024-01-25")):
+        sync_source(spark, "hourly", path, ["click", "view"], *span)
+    return B.scan_bars(spark, path, source="hourly").select("symbol", "open_time", "close", "volume")
+
+
 @query("chunk_ranges", f"""
 WITH {BARS_1D}, sp AS (SELECT symbol, min(open_time) AS lo, max(open_time) AS hi FROM bars GROUP BY 1),
 s AS (SELECT symbol, hi, unnest(generate_series(lo, hi, INTERVAL '30 days 1 second')) AS chunk_start FROM sp)

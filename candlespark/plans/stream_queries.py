@@ -74,6 +74,33 @@ def _(spark, sf):
     return scan_bars(spark, store).select("symbol", "open_time", "open", "high", "low", "close", "volume", "n_trades")
 
 
+@query("stream_resumed", f"WITH {BARS} SELECT symbol, open_time, {r('close', 'volume')} FROM bars")
+def _(spark, sf):
+    """A stream that stops and goes on from its checkpoint, twice, the second time without news."""
+    path, store, state, bars = shared_dir(spark, "messages"), shared_dir(spark, "store"), shared_dir(spark, "state"), bars_1h(spark, sf)
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    for i, part in enumerate((bars.where(F.col("open_time") < half), bars.where(F.col("open_time") >= half), None)):
+        if part is not None:
+            _write_messages(part, f"{path}/part={i}")
+        stream = B.closed_bars(B.messages_from_files(spark, f"{path}/*", 1))
+        B.run_batches(stream, B.upsert_batches(store, "live"), state, mode="append")
+    return scan_bars(spark, store).select("symbol", "open_time", "close", "volume")
+
+
+@query("stream_snapshots", f"WITH {BARS} SELECT open_time, count(*)::INTEGER AS n_symbols, {r('sum(close) AS close_total')} FROM bars GROUP BY 1")
+def _(spark, sf):
+    """A user's callback after each batch gets the bars of every open time together."""
+    store, out = shared_dir(spark, "store"), shared_dir(spark, "snapshots")
+
+    def after(bars, batch_id):
+        total = F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["close"])
+        rows = B.snapshots(bars).select("open_time", F.size("bars").alias("n_symbols"), total.alias("close_total"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    B.run_batches(_hour_stream(spark, sf), B.upsert_batches(store, "live", after), shared_dir(spark, "state"), mode="append")
+    return spark.read.option("basePath", out).parquet(out).drop("batch")
+
+
 END = "(SELECT date_trunc('milliseconds', max(ts)) FROM events)"
 
 
