@@ -59,6 +59,7 @@ class Model:
 
     folder: str
     ranges: int
+    written: dict[str, set[int]] = field(default_factory=dict)  #: by table, the ranges that hold anything
     tokens: int = 0  #: training tokens, ends included
     vocabulary: int = 0  #: distinct training tokens
     texts: int = 0
@@ -106,16 +107,11 @@ def _put(path: str, data: np.ndarray) -> None:
 
 
 def _map(path: str, kind: np.dtype) -> np.ndarray:
-    """The array in ``path``, memory-mapped; an absent file is an empty range."""
+    """The array in ``path``, memory-mapped; a file that should be there and isn't is an error."""
     plain = _plain(path)
     if plain is not None:
-        if not os.path.exists(plain) or not os.path.getsize(plain):
-            return np.empty(0, kind)
         return np.memmap(plain, kind, "r")
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    info = fs.get_file_info(at)
-    if not info.size:
-        return np.empty(0, kind)
     with tempfile.TemporaryFile() as scratch, fs.open_input_stream(at) as stream:
         while block := stream.read(8 << 20):
             scratch.write(block)
@@ -131,7 +127,8 @@ class Arrays:
 
     def part(self, k: int) -> np.ndarray:
         if k not in self.open:
-            self.open[k] = _map(f"{self.model.folder}/{self.name}-{k:06d}", self.kind)
+            path = f"{self.model.folder}/{self.name}-{k:06d}"
+            self.open[k] = _map(path, self.kind) if k in self.model.written[self.name] else np.empty(0, self.kind)
         return self.open[k]
 
     def find(self, keys: np.ndarray, columns: list[str]) -> list[np.ndarray]:
@@ -220,18 +217,20 @@ def _sweeps(batches, only_learned: bool):
             yield batch, a, b, _pairs_of(words(data, bounds, t))
 
 
-def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int, report: str) -> DataFrame:
-    """Run ``put(range, keys, summed values)`` once for every range."""
+def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) -> DataFrame:
+    """Run ``put(range, keys, summed values)`` for every range that has blocks: ``part, sums``, the numbers it gives."""
 
     def merge(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
+        done: list[int] = []
         out: list[list[float]] = []
 
         def close():
             if held:
                 keys, values = _summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
                 out.append(put(now, keys, values))
+                done.append(now)
                 held.clear()
 
         for batch in batches:
@@ -243,16 +242,16 @@ def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int, rep
                 if len(held) > 64:
                     held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))]
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], ["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["part", "sums"])
 
     parts = packed.repartition(ranges, "part").sortWithinPartitions("part")
-    return parts.mapInArrow(merge, report)
+    return parts.mapInArrow(merge, "part int, sums array<double>")
 
 
-def _total(report: DataFrame, width: int) -> list[float]:
-    """Column sums of the few numbers that every range reports."""
-    row = report.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)]).first()
-    return [float(x or 0) for x in row]
+def _total(report: DataFrame, width: int) -> tuple[list[float], set[int]]:
+    """Column sums of the few numbers that every range reports, and which ranges did."""
+    row = report.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)], F.collect_set("part").alias("parts")).first()
+    return [float(x or 0) for x in row[:width]], set(row["parts"])
 
 
 def train(docs: DataFrame, learn: str = "learn") -> Model:
@@ -282,7 +281,7 @@ def train(docs: DataFrame, learn: str = "learn") -> Model:
         return [float((rows["n"] == k).sum()) for k in (1, 2, 3, 4)] + [float(len(keys))]
 
     packed = docs.mapInArrow(pairs, "part int, block binary")
-    of_counts = _total(_merged(packed, ranges, put_pairs, np.dtype("<u4"), 1, "sums array<double>"), 5)
+    of_counts, model.written["pair"] = _total(_merged(packed, ranges, put_pairs, np.dtype("<u4"), 1), 5)
     model.pair_discounts, model.continuations = discounts(of_counts[:4]), of_counts[4]
 
     def vocabulary(batches):
@@ -322,7 +321,7 @@ def train(docs: DataFrame, learn: str = "learn") -> Model:
         return [float(seen["n"].sum()), float(len(seen)), *classes, more, *marks, texts]
 
     packed = docs.mapInArrow(vocabulary, "part int, block binary")
-    sums = _total(_merged(packed, ranges, put_words, np.dtype("<f8"), 5, "sums array<double>"), 11)
+    sums, model.written["word"] = _total(_merged(packed, ranges, put_words, np.dtype("<f8"), 5), 11)
     model.tokens, model.vocabulary = round(sums[0]), round(sums[1])
     model.word_discounts = d = discounts(sums[2:6])
     if model.continuations:
