@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlespark.functions.safe import div
 from candlespark.functions.times import MICRO, from_micros, micros
-from candlespark.operators.blocks import DAY, over_blocks
+from candlespark.operators.blocks import DAY, over_blocks, value_ranks
 from candlespark.operators.metrics import safe_corr
 
 KEYS = ("symbol",)
@@ -151,11 +151,12 @@ def profile(bars: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS)
     return bars.groupBy(*keys).agg(*aggs)
 
 
-def quantiles(bars: DataFrame, column: str, shares: Sequence[float], keys: Sequence[str] = KEYS, accuracy: int = 10000) -> DataFrame:
-    """Quantiles as order statistics from a mergeable sketch (exact on small groups)."""
-    return bars.groupBy(*keys).agg(F.percentile_approx(column, list(shares), accuracy).alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(f"q{round(s * 100)}") for i, s in enumerate(shares)]
-    )
+def quantiles(bars: DataFrame, column: str, shares: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Quantiles as exact order statistics, however large a group is: the least value that enough rows do not exceed."""
+    ranks = value_ranks(bars.where(F.col(column).isNotNull()), keys, column)
+    upto = F.col("n_less") + F.col("n_equal")
+    picks = [F.min(F.when(upto >= s * F.col("n_group"), F.col(column))).alias(f"q{round(s * 100)}") for s in shares]
+    return ranks.groupBy(*keys).agg(*picks)
 
 
 def autocorrelation(
