@@ -51,7 +51,10 @@ def test_fences_are_exact_quartiles_of_cells(spark, make):
         assert r.c == r.v >> bits << bits
 
 
-def test_line_dedup(spark, make):
+@pytest.mark.parametrize("run", [2, lines.RUN])
+def test_line_dedup(spark, make, monkeypatch, run):
+    """Also when the documents of one key lie in many runs."""
+    monkeypatch.setattr(lines, "RUN", run)
     shared = "  This line is shared by very many documents, Truly."
     texts = [f"{shared}\nown line number {k} that is quite long enough to count" for k in range(6)]
     texts[2] += "\n" + shared.upper().replace("É", "é") + "\t"
