@@ -11,8 +11,9 @@ largest id.  Keys travel as two 64-bit hashes, never as text:
    a third of all documents share lies in many partitions; within a partition
    they are sorted by hash, descending id and position, and a window streams
    over them and marks the first row of every document;
-3. the marked rows are counted per key, combined before the shuffle; only keys
-   with enough documents go on, with the document of the first occurrence;
+3. the marked rows are counted per key and run, then per key, combined before
+   each shuffle; only keys with enough documents go on, with the document of
+   the first occurrence, one row for each run;
 4. the other rows of these keys clear bits in a keep bitmap per document,
    stored sparsely: one 64-bit word for each 64 lines that drop any.
 
@@ -33,7 +34,7 @@ from candlespark.llm.common import WHITE, ascii_lower, saved
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Ids in one run; bounds the rows of one key that are sorted together.
-RUN = 1 << 14
+RUN = 1 << 11
 
 
 def split_lines(text: Column) -> Column:
@@ -62,9 +63,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = seen.repartitionByRange("h1", "h2", "run")
     before = F.lag("doc_id").over(Window.partitionBy("h1", "h2", "run").orderBy(F.desc("doc_id"), "pos"))
     streamed = saved(ranged.withColumn("fresh", before.isNull() | (before != F.col("doc_id"))), "line-keys")
-    runs = streamed.where("fresh").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("first_doc"))
-    keys = runs.where(F.col("n") >= min_docs).select("h1", "h2", "first_doc")
-    gone = streamed.join(keys, ["h1", "h2"]).where(F.col("doc_id") != F.col("first_doc"))
+    runs = streamed.where("fresh").groupBy("h1", "h2", "run").agg(F.count("*").alias("n"), F.max("doc_id").alias("first_doc"))
+    keys = runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("first_doc").alias("first_doc")).where(F.col("n") >= min_docs)
+    # One row per key and run, so that a key of very many documents is joined in many tasks.
+    often = runs.select("h1", "h2", "run").join(keys.select("h1", "h2", "first_doc"), ["h1", "h2"])
+    gone = streamed.join(often, ["h1", "h2", "run"]).where(F.col("doc_id") != F.col("first_doc"))
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pos % 64 AS INT))")
     words = gone.groupBy("doc_id", F.expr("CAST(pos DIV 64 AS INT)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
     return words.groupBy("doc_id").agg(
