@@ -55,7 +55,8 @@ def _cells(pairs: DataFrame, keys: Sequence[str], time: str, cell_s: int, pool:
     rows = pairs.withColumn("_cell", cell(time, cell_s)).withColumn("_hit", hit)
     rows = rows.withColumn("_last", F.last("_hit", ignorenulls=True).over(past))
     err, size = Y - P, F.abs(Y)
-    at = F.when(moved, F.struct(*pool, time, *ties))
+    # Time alone stays in the hash aggregate; a struct would sort the rows.
+    at = F.when(moved, F.struct(*pool, time, *ties) if pool or ties else F.col(time))
     up, call = Y > 0, P > 0
     out = rows.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n"),
