@@ -3,8 +3,9 @@
 Texts and templates are cut to words (white space and ASCII punctuation part
 them, A-Z count as a-z) and three-word shingles.  Of every ``WINDOW``
 neighbouring shingles the one of least hash is a fingerprint, so any common run
-of ``WINDOW + SHINGLE - 1`` words shares one.  An inverted index of the
-templates' fingerprints gives places in the text; places of one template on
+of ``WINDOW + SHINGLE - 1`` words shares one; a template of fewer words is
+looked up at every shingle.  An inverted index of the templates' fingerprints
+gives places in the text; places of one template on
 about the same diagonal are aligned with it by local alignment (match 1,
 mismatch and gap -1) in a band around them.  The result is the share of the
 template's words that matched, and the span from the first to the last of them.
@@ -14,8 +15,10 @@ texts are independent, so the scan is one map.
 
 Defined results: one row per place where at least ``min_coverage`` of a
 template matched; of overlapping places of one template the one with more
-matched words, the first of equals; null, empty and blank texts give no row; a
-text repeated in several rows is reported for each; extra columns are not read.
+matched words, the first of equals; notices that share wording (GPL, LGPL and
+AGPL, say) each give a row, of which the right one has most matched words;
+null, empty and blank texts give no row; a text repeated in several rows is
+reported for each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -62,20 +65,27 @@ class Templates:
         t = tables(also_apart=PUNCTUATION)
         column = pa.array([texts[n] for n in self.names], pa.string())
         self.words: list[np.ndarray] = []
-        entries = []
+        entries, short = [], []
         for _, _, data, bounds in runs(column):
             w = words(data, bounds, t)
             hashes, cut = shingles(w, SHINGLE)
             at = fingerprints(hashes, cut)
             doc = np.searchsorted(cut, at, "right") - 1
             entries += list(zip(hashes[at].tolist(), (doc + len(self.words)).tolist(), (at - cut[doc]).tolist(), strict=True))
+            short.append(hashes[np.repeat(np.diff(cut) < WINDOW, np.diff(cut))])
             self.words += [w.hash[w.first[k] : w.first[k + 1]] for k in range(len(bounds) - 1)]
+        self.short = np.unique(np.concatenate(short)) if short else np.empty(0, np.uint64)  #: no run of WINDOW shingles holds these
         entries.sort()
         self.hashes = np.array([e[0] for e in entries], np.uint64)
         self.template, self.place = np.array([e[1] for e in entries], int), np.array([e[2] for e in entries], int)
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[self.hashes & np.uint64((1 << SIEVE) - 1)] = True
 
+    def marks(self, hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Places to look up: the fingerprints of each text, and every shingle of a template too short to share one for sure."""
+        own = fingerprints(hashes, cut)
+        return np.union1d(own, np.flatnonzero(np.isin(hashes, self.short))) if len(self.short) else own
+
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a place in ``hashes`` and an entry of the index with that fingerprint."""
         at = np.flatnonzero(self.sieve[hashes & np.uint64((1 << SIEVE) - 1)])
@@ -168,7 +178,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, min_coverage: flo
             for a, _, data, bounds in runs(batch.column("text")):
                 w = words(data, bounds, t)
                 hashes, cut = shingles(w, SHINGLE)
-                mark = fingerprints(hashes, cut)
+                mark = known.marks(hashes, cut)
                 at, entry = known.hits(hashes[mark])
                 at = mark[at]
                 edges = np.searchsorted(at, cut)

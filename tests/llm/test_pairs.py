@@ -1,6 +1,7 @@
 """Near-duplicates, benchmark leaks, licenses: against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,6 +173,34 @@ def test_license_lines_of_given_table(spark):
     assert queries.QUERIES["op6_license_spans"](spark, SMALL).where("coverage = 1").count() == want
 
 
+def test_every_license_line_of_the_data_is_found(spark):
+    """The lines are taken from the documents: prose there is invented, so a line that speaks of rights is a planted notice."""
+    want = Counter()
+    for r in table(spark, "/root/testdata/sf0.01", "documents").collect():
+        for line in (r.text or "").splitlines():
+            if re.search(r"licens|rights reserved|copyright", line, re.I):
+                want[r.doc_id, line.strip(" .")] += 1
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    rows = queries.QUERIES["op6_license_spans"](spark, "/root/testdata/sf0.01").where("coverage = 1").collect()
+    assert len({line for _, line in want}) == 5 and Counter((r.doc_id, docs[r.doc_id][r.first_char : r.last_char]) for r in rows) == want
+
+
+def test_short_and_whole_notices(spark, make):
+    """Three words are found in whatever surroundings; a notice counts as whole only with all of its sentences."""
+    rng = random.Random(5)
+    texts = [" ".join([*words(rng, rng.randrange(30)), "All rights reserved.", *words(rng, rng.randrange(30))]) for _ in range(200)]
+    assert licenses.scan(make(texts)).where("license = 'All rights reserved line' AND coverage = 1").count() == 200
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0 notice", "GPL-2.0 notice", "GPL-3.0 notice", "LGPL-2.1 notice", "LGPL-3.0 notice", "AGPL-3.0 notice"]
+    got = defaultdict(dict)
+    for r in licenses.scan(make([f"before {TEMPLATES[n]} after" for n in names])).collect():
+        got[names[r.doc_id]][r.license] = r
+    for n in names:
+        assert got[n][n].coverage == 1 and max(got[n].values(), key=lambda r: r.n_matched).license == n
+    assert "BSD-3-Clause" not in got["BSD-2-Clause"] and "BSD-3-Clause third clause" not in got["BSD-2-Clause"]
+    for n, said in {"MIT": "LIABLE FOR ANY CLAIM", "BSD-3-Clause": "SUCH DAMAGE", "ISC": "DISCLAIMS ALL WARRANTIES", "Unlicense": "relinquishment"}.items():
+        assert said in TEMPLATES[n]
+
+
 @pytest.mark.parametrize("frame", ["odd", "nothing"])
 def test_odd_rows(spark, frame, request):
     docs = request.getfixturevalue(frame)
