@@ -103,6 +103,29 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+PROSE = "A paragraph of the article, with commas, that goes on for quite a while."
+OTHER = "A reader or an advert speaks here, at some length, about other things."
+NAMED = {
+    '<div class="content has-sidebar"><p>{0}</p><p>{0}</p></div><div class="sidebar"><p>{1}</p></div>': "{0}\n\n{0}",
+    '<article class="post no-comments"><p>{0}</p><div class="comments-area"><p>{1}</p></div></article>': "{0}",
+    '<article><h2 id="market-share">Market share</h2><p>{0}</p><section id="related-work"><h2>Related work</h2><p>{0}</p></section></article>': "Market share\n\n{0}\n\nRelated work\n\n{0}",
+    '<article><p>{0}</p><section id="discussion"><h2>Discussion</h2><p>{0}</p></section><div class="related-posts"><a href=a>One of the other posts</a></div></article>': "{0}\n\nDiscussion\n\n{0}",
+    '<article><p>{0}</p><ol><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ol></article>': "{0}\n\nFirst source\n\nSecond source",
+    '<div><p>{0}</p><p>{0}</p><ol><li><a href=a>{1}</a></li></ol><ul><li><a href=b>Home</a></li></ul></div>': "{0}\n\n{0}\n\n{1}",
+    '<div class="overlay"><div class="widget"><p>{0}</p></div></div><p>Foot</p>': "{0}\n\nFoot",
+    '<div class="overlay"><article><p>{0}</p></article></div><div><p>{1}</p></div>': "{0}",
+    '<div class="ad">{1}</div><article><h1>Head</h1><p>Short.</p></article>': "Head\n\nShort.",
+    '<div class="ad">{1}</div><article><h1>Head</h1><div class="overlay"><p>{0}</p></div></article>': "Head\n\n{0}",
+    '<article><p>{0} <span class="share-price">12</span></p><table><tr><td class="ad-spend">5</td></tr></table><p class="ad">{1}</p></article>': "{0} 12\n\n5",
+    '<article><p>{0}</p><div id="comments"><article class="comment-body"><p>{1}</p></article></div></article>': "{0}",
+}
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_cut_only_what_is_no_article(page):
+    assert html_text.main_text(page.format(PROSE, OTHER)) == NAMED[page].format(PROSE, OTHER)
+
+
 def test_pages_of_given_table(spark):
     pages = table(spark, SMALL, "pages")
     got = html_text.extract(pages).collect()
