@@ -13,7 +13,10 @@ weight, at least ``share``.
 A window whose shingles in common with all items weigh too little to reach
 ``share`` with any item of its length cannot match, so it is not hashed; this
 bound loses nothing.  Items go to workers in parts of at most ``PART_BYTES`` of
-text, one pass over the documents per part, so the broadcast has a fixed bound.
+text, one pass over the documents per part.  Weights follow the whole
+benchmark, so results do not depend on the parts: with several of them, Spark
+counts the items of every shingle, and each part also has the weights of the
+other shingles that two items or more hold, at 12 bytes each.
 
 Defined results: one row per document and item that match, with the window of
 the highest similarity, the first of equals; null, empty and blank texts and
@@ -64,6 +67,8 @@ class Index:
     rare: int  #: weight of a shingle that no item has
     sieve: np.ndarray
     lengths: dict[int, Length]
+    others: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  #: shingles of other parts that weigh less than ``rare``, ascending
+    other_weight: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -87,13 +92,27 @@ def _of(texts: pa.Array):
             yield a + k, int(n[k]), hashes[cut[k] : cut[k + 1]]
 
 
-def index(ids: list, texts: list[str | None], share: tuple[int, int]) -> Index:
-    """The index of a bounded list of items."""
+def _weights(total: int, df: np.ndarray) -> np.ndarray:
+    return np.rint(16 * np.log2(1 + total / np.maximum(df, 1))).astype(np.int64)
+
+
+def index(ids: list, texts: list[str | None], share: tuple[int, int], whole: tuple[int, np.ndarray, np.ndarray] | None = None) -> Index:
+    """The index of a bounded list of items.
+
+    ``whole``: of the benchmark that they are a part of, the number of items
+    with words, and the shingles of two items or more with their counts.
+    """
     items = [(i, n, h) for i, n, h in _of(pa.array(texts, pa.string())) if len(h)]
     known, df = np.unique(np.concatenate([np.unique(h) for _, _, h in items] or [np.empty(0, np.uint64)]), return_counts=True)
-    total = max(len(items), 1)
-    weight = np.rint(16 * np.log2(1 + total / np.maximum(df, 1))).astype(np.int64)
-    out = Index([ids[i] for i, _, _ in items], [], known, weight, int(np.rint(16 * np.log2(1 + total))), np.zeros(1 << SIEVE, bool), {})
+    total, others = max(len(items), 1), {}
+    if whole:
+        total, common, counts = whole
+        foreign = ~np.isin(common, known)
+        others = {"others": common[foreign], "other_weight": _weights(total, counts[foreign]).astype(np.int32)}
+        df = np.ones(len(known), np.int64)
+        df[np.searchsorted(known, common[~foreign])] = counts[~foreign]
+    weight = _weights(total, df)
+    out = Index([ids[i] for i, _, _ in items], [], known, weight, int(np.rint(16 * np.log2(1 + total))), np.zeros(1 << SIEVE, bool), {}, **others)
     out.sieve[known & np.uint64((1 << SIEVE) - 1)] = True
     prints, sums = [], []
     for _, _, h in items:
@@ -163,6 +182,9 @@ def matches_of(texts: list[tuple], ix: Index, share: tuple[int, int]) -> list[tu
     weights, windows = [], {length: [] for length in ix.lengths}
     for k, (_, _, hashes, at, own) in enumerate(texts):
         weight = np.full(len(hashes), ix.rare, np.int64)
+        if len(ix.others):
+            place = np.minimum(np.searchsorted(ix.others, hashes), len(ix.others) - 1)
+            weight = np.where(ix.others[place] == hashes, ix.other_weight[place], weight)
         weight[at] = own
         weights.append(weight)
         common = np.zeros(len(hashes) + 1, np.int64)
@@ -208,16 +230,35 @@ def matches_of(texts: list[tuple], ix: Index, share: tuple[int, int]) -> list[tu
 MATCH = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
 
+def _common(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and the shingles of two or more of them, ascending, with their counts."""
+
+    def distinct(batches):
+        for batch in batches:
+            # One row per item without a hash counts the items.
+            own = [np.unique(h).view(np.int64) for _, _, h in _of(batch.column("text")) if len(h)]
+            hashes = pa.array(np.concatenate([*own, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([hashes, pa.nulls(len(own), pa.int64())])], ["hash"])
+
+    counts = items.select("text").mapInArrow(distinct, "hash long").groupBy("hash").count().where("hash IS NULL OR count > 1").toArrow()
+    none = counts["hash"].is_null().to_numpy()
+    df = counts["count"].to_numpy()
+    hashes = counts.filter(pa.array(~none))["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return max(int(df[none].sum()), 1), hashes[order], df[~none][order]
+
+
 def _indexes(benchmark: DataFrame, share: tuple[int, int]):
     """A broadcast index for every part of the benchmark."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
+    whole = _common(items) if parts > 1 else None
     for part in range(parts):
         # At most about PART_BYTES of item texts come to the driver at a time.
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         rows = sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield benchmark.sparkSession.sparkContext.broadcast(index([r.item_id for r in rows], [r.text for r in rows], share))
+        yield benchmark.sparkSession.sparkContext.broadcast(index([r.item_id for r in rows], [r.text for r in rows], share, whole))
 
 
 def _matched(batch: pa.RecordBatch, ix: Index, share: tuple[int, int]) -> list[tuple]:

@@ -134,6 +134,25 @@ def test_leaks_by_brute_force():
     assert len(want) > 100 and got == pytest.approx(want)
 
 
+def test_parts_of_the_benchmark_match_as_one(spark, make, monkeypatch):
+    """Items that share passages fall into different parts; similarities stay those of one index."""
+    rng = random.Random(3)
+    shared = [" ".join(words(rng, 12)) for _ in range(4)]
+    items = [" ".join([rng.choice(shared), *words(rng, 20), rng.choice(shared)]) for _ in range(40)]
+    texts = []
+    for k in range(240):
+        own = items[k % 40].split()
+        for _ in range(k % 4):
+            own[rng.randrange(len(own))] = "changed"
+        texts.append(" ".join([rng.choice(shared), *own, rng.choice(shared)]))
+    docs, benchmark = make(texts), make([*items, None, " "]).selectExpr("doc_id AS item_id", "text")
+    want = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, benchmark).collect()}
+    kept = {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "PART_BYTES", sum(map(len, items)) // 5)
+    assert len(want) > 50 and {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, benchmark).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == kept
+
+
 def test_block_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 256, (50, 16), np.uint8)
