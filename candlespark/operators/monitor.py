@@ -139,16 +139,20 @@ def snapshot_signals(signals: DataFrame) -> DataFrame:
     """Point-in-time signals (topic, address, at, score, reward_fraction,
     whitelisted, can_submit) -> event rows; NULL signals give none.
 
+    ``signals`` may also hold ``inference`` and ``block_height``, the newest
+    value and its block: its id carries the block, its details too.
     Score and reward ids carry the five-minute bucket, so repeated reads of
     one bucket collapse at ingest.
     """
     bucket = F.floor(micros("at") / F.lit(BUCKET_S * MICRO)).cast("long").cast("string")
     who = [F.col("topic_id").cast("string"), F.col("address")]
 
+    def made(kind: str, event_id: Column, value: Column, text: Column, more: Column) -> Column:
+        return F.struct(event_id.alias("event_id"), F.lit(kind).alias("event_type"), value.alias("value_num"), text.alias("value_text"), more.alias("details_json"))
+
     def row(kind: str, value: Column, text: Column, bucketed: bool) -> Column:
         event_id = F.concat_ws(":", F.lit(SIGNAL_IDS[kind]), *who, *([bucket] if bucketed else []))
-        made = F.struct(event_id.alias("event_id"), F.lit(kind).alias("event_type"), value.alias("value_num"), text.alias("value_text"))
-        return F.when(value.isNotNull(), made)
+        return F.when(value.isNotNull(), made(kind, event_id, value, text, F.lit(None).cast("string")))
 
     def flag(name: str) -> tuple[Column, Column]:
         return F.col(name).cast("int").cast("double"), F.col(name).cast("string")
@@ -156,7 +160,14 @@ def snapshot_signals(signals: DataFrame) -> DataFrame:
     def number(name: str) -> tuple[Column, Column]:
         return F.col(name).cast("double"), F.col(name).cast("string")
 
+    inferences = []
+    if "inference" in signals.columns:
+        text, block = F.col("inference").cast("string"), F.col("block_height").cast("long")
+        event_id = F.concat_ws(":", F.lit("latest_inference"), F.coalesce(block.cast("string"), F.lit("")), F.col("address"))
+        more = F.to_json(F.struct(F.coalesce(block, F.lit(0)).alias("block_height")))
+        inferences = [F.when(text.isNotNull(), made("inference", event_id, text.try_cast("double"), text, more))]
     rows = F.array(
+        *inferences,
         row("score", *number("score"), True),
         row("reward", *number("reward_fraction"), True),
         row("whitelist", *flag("whitelisted"), False),
@@ -308,13 +319,14 @@ def submission_timeline(events: DataFrame, slots: DataFrame, as_of: Column, max_
     if deployment:
         own = slots.select(*TARGET, F.col("deployment_id").alias("_dep"))
         subs = subs.join(own, TARGET).where(F.col("deployment_id").isNull() | (F.col("deployment_id") == F.col("_dep")))
-    fields = ["observed_at", "status", "value_text", "tx_hash", "code"]
+    fields = ["observed_at", "status", "value_text", "tx_hash", "code", "extra_data"]
     newest = subs.groupBy(*TARGET, "nonce").agg(F.max_by(F.struct(*fields), F.struct("observed_at", "event_id")).alias("_s"))
     hit = F.col("_s")
     status = F.when(hit.isNull(), "missed").when(F.col("_s.status") == "success", "success").otherwise("error")
     return expected.join(newest, [*TARGET, "nonce"], "left").select(
         *TARGET, "slot", "nonce", "ts", status.alias("status"), F.col("_s.observed_at").alias("observed_at"),
         F.col("_s.value_text").alias("value_text"), F.col("_s.tx_hash").alias("tx_hash"), F.col("_s.code").alias("code"),
+        F.col("_s.extra_data").alias("extra_data"),
     )
 
 

@@ -133,7 +133,7 @@ def _(spark, sf):
         F.when(F.col("event_type") == "view", F.col("value")).alias("score"), F.when(F.col("event_type") == "signup", F.col("value")).alias("reward_fraction"),
         (k < 50).alias("whitelisted"), (k % 2 == 0).alias("can_submit"),
     )
-    return E.snapshot_signals(signals).drop("value_text")
+    return E.snapshot_signals(signals).drop("value_text", "details_json")
 
 
 COUNTS = """count(*) AS events_total, count(*) FILTER (WHERE event_type = 'inference') AS inference_count, count(*) FILTER (WHERE event_type = 'reward') AS reward_count,
@@ -246,13 +246,13 @@ def _slots(spark, sf):
 @query("submission_timeline", f"WITH {TIMELINE.replace('{dep}', '')}")
 def _(spark, sf):
     """The last 25 expected nonces per target: success, error or missed."""
-    return E.submission_timeline(monitor_events(spark, sf), _slots(spark, sf), _as_of(spark, sf))
+    return E.submission_timeline(monitor_events(spark, sf), _slots(spark, sf), _as_of(spark, sf)).drop("extra_data")
 
 
 @query("submission_timeline_deployment", f"WITH {TIMELINE.replace('{dep}', 'AND mon.deployment_id = sl.dep')}")
 def _(spark, sf):
     """The same, counting one deployment only."""
-    return E.submission_timeline(monitor_events(spark, sf), _slots(spark, sf), _as_of(spark, sf), deployment=True)
+    return E.submission_timeline(monitor_events(spark, sf), _slots(spark, sf), _as_of(spark, sf), deployment=True).drop("extra_data")
 
 
 @query("merged_targets", f"""
