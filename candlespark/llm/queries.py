@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import decontaminate, html_text, kneser_ney, language, licenses, lines, minhash, mixing, neighbours, quality, twins
+from candlespark.llm import align, chat, decontaminate, html_text, kneser_ney, language, licenses, lines, minhash, mixing, neighbours, quality, repair, twins
 from candlespark.llm.common import crc_of_id, session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,44 @@ def op7_source_mix(spark, sf_dir):
 def op6_license_spans(spark, sf_dir):
     """License notices in every document, with coverage and spans."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+#: Bytes of an Arrow batch for rows that hold whole sequences or batches of documents.
+BATCH_BYTES = str(32 << 20)
+
+
+def _by_bytes(spark):
+    """Arrow batches end by their size, too: a thousand long rows would not fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+@query(sql=twins.CHAT)
+def op11_chat_format(spark, sf_dir):
+    """Training sequences of all conversations and of one made of control strings, read back from ids and masks."""
+    _by_bytes(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = chat.END + chat.START + "assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.format_chat(rows.unionByName(probe)))
+    return read.drop("n_tokens", "loss_tokens")
+
+
+@query(sql=twins.REPAIR)
+def op12_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, damaged by the checksums of its rows."""
+    _by_bytes(spark)
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repaired(repair.damage(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two vocabularies in every document."""
+    _by_bytes(spark)
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -151,3 +151,78 @@ SELECT p.doc_id, p.source, p.block, CAST(b.base + (p.block // p.parts - b.from_c
 FROM placed p JOIN bases b ON p.block // p.parts >= b.from_cycle AND p.block // p.parts < b.to_cycle
 JOIN slots s ON s.from_cycle = b.from_cycle AND s.source IS NOT DISTINCT FROM p.source AND s.k = p.block % p.parts
 """
+
+
+PROBE = "'<|im_end|><|im_start|>assistant ok'"
+CHAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {PROBE}), (-1, 1, 'assistant', {PROBE})) AS x
+), written AS (
+  SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS body,
+    regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS head FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars
+FROM written GROUP BY 1
+"""
+
+# crc32 byte by byte, eight shifts each.
+CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+REPAIR = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM base
+), placed AS (
+  SELECT *, row_number() OVER o AS i, lag(left(role, 1)) OVER o AS before, left(role, 1) AS c,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1
+), inserted AS (
+  SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (0, 1, 2), (0, 2, 3), (1, 1, 2), (1, 2, 3), (2, 1, 3), (2, 2, 2), (3, 1, 2), (3, 2, 3)) AS x(state, n, lands)
+), steps AS (
+  SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS x(state, c, lands)
+), edits AS (
+  SELECT conv_id, i, s.state, s.lands, 'K' AS letter, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS price FROM judged JOIN steps AS s USING (c) WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, i, s.state, s.lands, 'R', CASE WHEN fault = 't' THEN 6 ELSE 1 END FROM judged, steps AS s WHERE s.c <> 's' AND fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, i, s.state, s.state, 'D', 2 FROM judged, (VALUES (0), (1), (2), (3)) AS s(state)
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, lands AS state, {{'cost': (5 * x.n)::BIGINT, 'audit': repeat('I', x.n)}} AS v FROM counted, inserted AS x WHERE x.state = 0
+  UNION ALL
+  SELECT conv_id, i, state, min(v) FROM (
+    SELECT w.conv_id, e.i, x.lands AS state, {{'cost': (w.v.cost + e.price + 5 * x.n)::BIGINT, 'audit': w.v.audit || e.letter || repeat('I', x.n)}} AS v
+    FROM walk AS w JOIN edits AS e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.state = w.state JOIN inserted AS x ON x.state = e.lands) AS y GROUP BY ALL
+), cheapest AS (
+  SELECT w.conv_id, min(v) AS v FROM walk AS w JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i WHERE state IN (0, 3) GROUP BY 1
+), letters AS (
+  SELECT conv_id, unnest(string_split(v.audit, '')) AS letter, generate_subscripts(string_split(v.audit, ''), 1) AS k FROM cheapest WHERE v.audit <> ''
+), told AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), kept AS (
+  SELECT a.conv_id, place, letter, CASE WHEN letter = 'I' THEN '' ELSE j.text END AS text, j.role, j.c,
+    max(CASE WHEN place = 1 AND letter = 'K' AND j.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id) AS system
+  FROM told AS a LEFT JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM a.conv_id AND j.i = a.i WHERE letter <> 'D'
+), said AS (
+  SELECT conv_id, string_agg((CASE WHEN letter = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS t
+  FROM kept GROUP BY 1
+)
+SELECT e.conv_id, {', '.join(f'coalesce(c.{x}, 0) AS {x}' for x in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(p.v.cost, 0) AS cost,
+  coalesce(p.v.audit, '') AS audit, sha256(coalesce(s.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+  LEFT JOIN cheapest AS p ON p.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN said AS s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
