@@ -52,14 +52,16 @@ def _messages(spark, *parts):
     return B.messages_from_files(spark, f"{path}/*", 1)
 
 
-def _write_messages(b, path):
+def _write_messages(b, path, sent=None):
+    """``sent``: the time of each message in milliseconds."""
     txt = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.col("symbol").alias("s"), F.unix_millis(F.col("open_time").cast("timestamp")).alias("t"), txt("open").alias("o"), txt("high").alias("h"),
         txt("low").alias("l"), txt("close").alias("c"), txt("volume").alias("v"), txt("quote_volume").alias("q"), F.col("n_trades").alias("n"), F.col("x"),
     )
     each = b.withColumn("x", F.explode(F.array(F.lit(True), F.lit(True), F.lit(False))))
-    each.select(F.to_json(F.struct(F.struct(k.alias("k")).alias("data"))).alias("value")).coalesce(1).write.text(path)
+    data = F.struct(k.alias("k")) if sent is None else F.struct(sent.alias("E"), k.alias("k"))
+    each.select(F.to_json(F.struct(data.alias("data"))).alias("value")).coalesce(1).write.text(path)
 
 
 @query("stream_closed_candles", f"WITH {BARS} SELECT symbol, open_time, {r('open', 'high', 'low', 'close', 'volume')}, n_trades FROM bars")
@@ -87,6 +89,34 @@ def _(spark, sf):
     return scan_bars(spark, store).select("symbol", "open_time", "close", "volume")
 
 
+@query("stream_over_backfill", f"""
+WITH {BARS} SELECT symbol, open_time, {r("CASE WHEN open_time >= TIMESTAMP '2024-01-22' THEN -close WHEN open_time >= TIMESTAMP '2024-01-16' THEN close * 7 "
+  "WHEN open_time >= TIMESTAMP '2024-01-10' THEN close * 9 ELSE close * 3 END AS close")} FROM bars""")
+def _(spark, sf):
+    """Three backfills, a stream of corrections, a fourth backfill, and the same stream going on: the last to write wins, and in one batch the last to arrive."""
+    path, store, state, bars = shared_dir(spark, "messages"), shared_dir(spark, "store"), shared_dir(spark, "state"), bars_1h(spark, sf)
+
+    def since(day):
+        return bars.where(F.col("open_time") >= F.lit(day).cast("timestamp_ntz"))
+
+    def times(b, n):
+        return b.withColumn("close", F.col("close") * n)
+
+    def stream(part, i):
+        # The larger, older copy of each correction arrives first.
+        both = times(part, 100).withColumn("sent", F.lit(1).cast("long")).unionByName(part.withColumn("sent", F.lit(2).cast("long")))
+        _write_messages(both, f"{path}/part={i}", F.col("sent"))
+        messages = B.messages_from_files(spark, f"{path}/*", 1)
+        B.run_batches(B.closed_bars(messages), B.upsert_batches(store, "live"), state, mode="append")
+
+    for n in (1, 2, 3):
+        B.upsert_bars(times(bars, n), store, "live")
+    stream(times(since("2024-01-10"), 9), 0)
+    B.upsert_bars(times(since("2024-01-16"), 7), store, "live")
+    stream(times(since("2024-01-22"), -1), 1)
+    return scan_bars(spark, store).select("symbol", "open_time", "close")
+
+
 @query("stream_snapshots", f"WITH {BARS} SELECT open_time, count(*)::INTEGER AS n_symbols, {r('sum(close) AS close_total')} FROM bars GROUP BY 1")
 def _(spark, sf):
     """A user's callback after each batch gets the bars of every open time together."""

@@ -12,10 +12,11 @@ from candlespark.functions.names import symbol_key
 from candlespark.operators.blocks import DAY
 from candlespark.schema import BAR_SCHEMA
 from candlespark.session import hadoop_path, remove_dir, shared_dir
+from candlespark.sources import versions
 
 PARTITIONS = ["source", "symbol_key", "dt"]
-#: Versions of a bar: the later batch wins; within a batch the one of more trades, then the larger values.
-VERSION = ["ingested_at", "n_trades", "volume", "close", "high", "low", "open"]
+#: Versions of a bar: the later batch wins (``versions.py``); within a batch the last to arrive, then the one of more trades, then the larger values.
+VERSION = ["ingested_at", "arrival", "n_trades", "volume", "close", "high", "low", "open"]
 #: Folders named one by one in a filter; beyond that a range of days is.
 NAMED = 500
 BAR_COLUMNS = BAR_SCHEMA.fieldNames()
@@ -23,6 +24,7 @@ STORED = T.StructType(
     [
         *BAR_SCHEMA.fields,
         T.StructField("ingested_at", T.LongType()),
+        T.StructField("arrival", T.LongType()),
         T.StructField("source", T.StringType()),
         T.StructField("symbol_key", T.StringType()),
         T.StructField("dt", T.DateType()),
@@ -35,13 +37,17 @@ def reconcile(df: DataFrame) -> DataFrame:
 
     ``trades_done`` is read as ``n_trades``; missing columns become NULL.
     """
+    return df.select(*reconcile_columns(df))
+
+
+def reconcile_columns(df: DataFrame) -> list[Column]:
     have = {c.lower(): c for c in df.columns}
     renamed = {"n_trades": have.get("n_trades") or have.get("trades_done")}
     out = []
     for f in BAR_SCHEMA.fields:
         src = renamed.get(f.name) or have.get(f.name)
         out.append((F.col(src) if src else F.lit(None)).cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    return out
 
 
 def with_layout(bars: DataFrame, source: str) -> DataFrame:
@@ -119,38 +125,47 @@ def touched(bars: DataFrame) -> Column | None:
     return days & F.col("symbol_key").isin(*row.symbol_key_set) if len(row.symbol_key_set) <= NAMED else days
 
 
-def next_version(spark: SparkSession, path: str, source: str, where: Column) -> int:
-    """One more than the newest version stored in the folders of ``where``."""
-    if not _exists(spark, path):
-        return 1
-    old = spark.read.schema(STORED).parquet(path).where((F.col("source") == source) & where)
-    return (old.agg(F.max("ingested_at").alias("v")).first().v or 0) + 1
+def _taken(spark: SparkSession, path: str) -> int:
+    """The newest version of a store that has rows but no clock yet, as stores of explicit versions may be."""
+    if versions.newest(spark, path) or not _exists(spark, path):
+        return 0
+    return spark.read.schema(STORED).parquet(path).agg(F.max("ingested_at").alias("v")).first().v or 0
 
 
-def upsert_bars(new: DataFrame, path: str, source: str, seq: Column | int | None = None) -> None:
+def upsert_bars(
+    new: DataFrame, path: str, source: str, seq: Column | int | None = None, writer: str | None = None, batch: int = 0,
+) -> None:
     """Merge bars into the store, rewriting the touched (source, symbol, day) folders.
 
-    ``seq`` is the version of the batch, or of each row; without it the batch
-    is one version newer than what its folders hold.  Only the touched folders
-    are read: their names are literals in the scan.  Both the batch and the
-    merged rows are staged in the shared folder, so a failed overwrite never
-    leaves the store as the only, half-written copy; staged copies go when the
-    store is written.
+    The version is the next tick of the store's clock, so the last to write
+    wins, whoever it is; ``writer`` and ``batch`` name a batch that may be
+    repeated and then keeps its version.  ``seq`` sets versions by hand, of the
+    batch or of each row; the clock goes on after them.  Within a batch a column
+    ``arrival`` (a number, larger is later) decides between copies of a bar.
+    Only the touched folders are read: their names are literals in the scan.
+    Both the batch and the merged rows are staged in the shared folder, so a
+    failed overwrite never leaves the store as the only, half-written copy;
+    staged copies go when the store is written.  Two writers must not rewrite
+    one folder at the same time.
     """
     spark = new.sparkSession
-    if seq is None or isinstance(seq, int):
-        version = F.lit(seq).cast("long")
-    else:
-        version = seq.cast("long")
     staged, merged_path = shared_dir(spark, "batch"), shared_dir(spark, "upsert")
-    marked = with_layout(reconcile(new), source).withColumn("ingested_at", version).select(*STORED.fieldNames())
+    have = {c.lower(): c for c in new.columns}
+    arrival = F.col(have["arrival"]) if "arrival" in have else F.lit(None)
+    version = seq if isinstance(seq, Column) else F.lit(seq)
+    extra = [version.cast("long").alias("ingested_at"), arrival.cast("long").alias("arrival")]
+    # Versions and arrivals are read beside the declared fields, before anything is renamed.
+    rows = with_layout(new.select(*reconcile_columns(new), *extra), source).select(*STORED.fieldNames())
     key = ["source", "symbol", "open_time"]
-    dedupe(marked, key, VERSION).write.parquet(staged)
+    dedupe(rows, key, VERSION).write.parquet(staged)
     marked = spark.read.schema(STORED).parquet(staged)
     where = touched(marked)
     if where is not None:
         if seq is None:
-            marked = marked.withColumn("ingested_at", F.lit(next_version(spark, path, source, where)).cast("long"))
+            version = versions.claim(spark, path, writer, batch, _taken(spark, path))
+            marked = marked.withColumn("ingested_at", F.lit(version).cast("long"))
+        else:
+            versions.advance(spark, path, max(marked.agg(F.max("ingested_at").alias("v")).first().v or 0, _taken(spark, path)))
         merged = marked
         if _exists(spark, path):
             old = spark.read.schema(STORED).parquet(path).where((F.col("source") == source) & where)
@@ -172,7 +187,7 @@ def upsert_bars(new: DataFrame, path: str, source: str, seq: Column | int | None
 
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, target = hadoop_path(spark, path)
-    return fs.exists(target) and bool(fs.listStatus(target))
+    return fs.exists(target) and any(s.getPath().getName()[0] not in "._" for s in fs.listStatus(target))
 
 
 def latest(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

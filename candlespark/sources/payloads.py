@@ -15,7 +15,7 @@ ROW_SCHEMA = (
     "trades_done: DOUBLE>, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, trades_done DOUBLE"
 )
 STREAM_SCHEMA = (
-    "data STRUCT<k: STRUCT<s: STRING, t: BIGINT, o: STRING, h: STRING, l: STRING, c: STRING, "
+    "data STRUCT<E: BIGINT, k: STRUCT<s: STRING, t: BIGINT, o: STRING, h: STRING, l: STRING, c: STRING, "
     "v: STRING, q: STRING, n: BIGINT, x: BOOLEAN>>"
 )
 
@@ -61,14 +61,18 @@ def land_rows(payloads: DataFrame, symbol: str = "symbol", payload: str = "paylo
 
 
 def land_stream_klines(messages: DataFrame, payload: str = "value") -> DataFrame:
-    """Stream messages -> bars with TIMESTAMP times; candles still open are dropped."""
-    k = messages.select(F.from_json(F.col(payload).cast("string"), STREAM_SCHEMA).alias("m")).select("m.data.k.*")
+    """Stream messages -> bars with TIMESTAMP times; candles still open are dropped.
+
+    ``arrival`` is the time at which the exchange sent the message, in milliseconds.
+    """
+    k = messages.select(F.from_json(F.col(payload).cast("string"), STREAM_SCHEMA).alias("m")).select("m.data.k.*", F.col("m.data.E").alias("arrival"))
     num = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v", "quote_volume": "q"}
     return k.where("x").select(
         F.col("s").alias("symbol"),
         F.timestamp_millis("t").alias("open_time"),
         *[F.col(c).try_cast("double").alias(n) for n, c in num.items()],
         F.col("n").alias("n_trades"),
+        "arrival",
     )
 
 

@@ -8,6 +8,7 @@ at most the last batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from candlespark.functions.times import interval_minutes, is_ntz
 from candlespark.operators.resample import OHLCV_TRADES, resample
-from candlespark.sources.bars import reconcile, scan_bars, touched, upsert_bars, with_layout
+from candlespark.sources.bars import reconcile_columns, scan_bars, touched, upsert_bars, with_layout
 from candlespark.sources.payloads import land_stream_klines
+from candlespark.sources.versions import stream_of
 
 
 def messages_from_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,22 +63,24 @@ def stream_sliding(bars: DataFrame, size: str, slide: str, time: str = "open_tim
 
 
 def as_batch(bars: DataFrame) -> DataFrame:
-    """Stream rows -> stored bar columns (UTC wall-clock times)."""
+    """Stream rows -> stored bar columns (UTC wall-clock times), with their arrival if they have one."""
     ntz = bars if is_ntz(bars, "open_time") else bars.withColumn("open_time", F.col("open_time").cast("timestamp_ntz"))
-    return reconcile(ntz)
+    return ntz.select(*reconcile_columns(ntz), *[c for c in ntz.columns if c == "arrival"])
 
 
 def upsert_batches(path: str, source: str, after: Callable[[DataFrame, int], None] | None = None):
     """A ``foreachBatch`` function: merge each batch into the store, then call
     ``after(batch, batch_id)``.
 
-    The batch number is the version, so a repeated batch changes nothing and
-    late candles overwrite older versions of their bars.
+    A batch takes the next version of the store and keeps it if it is repeated:
+    it overwrites what backfills and other streams wrote before it, and a
+    repetition changes nothing, even if others have written since.
     """
+    alone = uuid.uuid4().hex
 
     def run(batch: DataFrame, batch_id: int) -> None:
         bars = as_batch(batch)
-        upsert_bars(bars, path, source, seq=batch_id + 1)
+        upsert_bars(bars, path, source, writer=stream_of(batch, alone), batch=batch_id)
         if after:
             after(bars, batch_id)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from candlespark.operators.features import live_features, look_back_hours
 from candlespark.sources.bars import scan_bars
 from candlespark.sources.events import append_events
+from candlespark.sources.versions import stream_of
 from candlespark.streaming.bars import as_batch, upsert_bars
 
 
@@ -23,11 +25,12 @@ def scoring_batches(store: str, source: str, out: str, freq: str, n: int, score:
     days only.  Symbols with too few bars for a window go to ``<out>-short``.
     Output goes to a folder per batch, so a repeated batch overwrites its own rows.
     """
+    alone = uuid.uuid4().hex
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bars = as_batch(batch)
-        upsert_bars(bars, store, source, seq=batch_id + 1)
+        upsert_bars(bars, store, source, writer=stream_of(batch, alone), batch=batch_id)
         newest = bars.agg(F.max("open_time").alias("t")).first()["t"]
         if newest is None:
             return
