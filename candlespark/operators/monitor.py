@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlespark.functions.safe import div
 from candlespark.functions.times import MICRO, add_seconds, micros
 from candlespark.operators.asof import interval_join
 from candlespark.operators.blocks import DAY, MINUTE, over_blocks
-from candlespark.schema import EVENT_KEY
+from candlespark.schema import EVENT_KEY, EVENT_SCHEMA
 
 TARGET = ["topic_id", "address"]
 
@@ -219,10 +220,14 @@ def _newest(prefer: Column, order: Sequence[str]) -> Column:
     return F.max_by(F.struct(*_SHOWN), F.struct(prefer, *order))
 
 
+def _sure() -> Column:
+    """A value that is confirmed: success, with a hash, or not zero."""
+    return F.coalesce((F.col("status") == "success") | F.col("tx_hash").isNotNull() | (F.col("value_num") != 0), F.lit(False))
+
+
 def latest_inference(events: DataFrame, targets: DataFrame) -> DataFrame:
     """Newest confirmed inference (success, with a hash, or non-zero), else the newest."""
-    sure = (F.col("status") == "success") | F.col("tx_hash").isNotNull() | (F.col("value_num") != 0)
-    prefer = F.coalesce(sure, F.lit(False)).alias("sure")
+    prefer = _sure().alias("sure")
     per = events.where(_is("inference")).groupBy(*TARGET, "deployment_id").agg(
         F.max_by(F.struct(F.struct(prefer, "observed_at", "event_id").alias("rank"), *_SHOWN), F.struct(prefer, "observed_at", "event_id")).alias("_v")
     )
@@ -242,44 +247,57 @@ def latest_value(events: DataFrame, targets: DataFrame, kind: str) -> DataFrame:
     return best.select(*TARGET, *[F.col(f"_v.{c}").alias(c) for c in _SHOWN])
 
 
-def period_metrics(events: DataFrame, targets: DataFrame, as_of: Column, periods: Mapping[str, int] = PERIODS) -> DataFrame:
-    """Long form (topic, address, period, ...) of trailing-window metrics.
+PERIOD_SUMS = ["submission_success", "submission_error", "inference_count", "score_samples", "score_sum", "reward_fraction_samples", "reward_fraction_sum"]
+
+
+def _by_period(rows: DataFrame, inside: Mapping[str, Column], n: Column, n_values: Column, values: Column) -> DataFrame:
+    """Sums per (target, deployment, period) of rows that stand for ``n`` events each, in one pass."""
+
+    def count(what: Column, size: Column) -> Column:
+        return F.coalesce(F.sum(F.when(what, size)), F.lit(0)).cast("long")
+
+    def total(what: Column) -> Column:
+        return F.coalesce(F.sum(F.when(what, values)), F.lit(0.0))
+
+    aggs = []
+    for label, within in inside.items():
+        sub, score, reward = (within & _is(kind) for kind in ("submission", "score", "reward"))
+        made = [
+            count(sub & (F.col("status") == "success"), n), count(sub & (F.col("status") == "error"), n), count(within & _is("inference"), n),
+            count(score, n_values), total(score), count(reward, n_values), total(reward),
+        ]
+        aggs.append(F.struct(F.lit(label).alias("period"), *[c.alias(name) for c, name in zip(made, PERIOD_SUMS)]).alias(f"_p_{label}"))
+    per = rows.groupBy(*TARGET, "deployment_id").agg(*aggs)
+    return per.select(*TARGET, "deployment_id", F.explode(F.array(*[F.col(f"_p_{p}") for p in inside])).alias("m")).select(*TARGET, "deployment_id", "m.*")
+
+
+def sums_of_periods(events: DataFrame, inside: Mapping[str, Column]) -> DataFrame:
+    """Sums of the events that lie ``inside`` each period."""
+    return _by_period(events, inside, F.lit(1), F.col("value_num").isNotNull().cast("long"), F.col("value_num"))
+
 
-    All windows come from one scan by conditional aggregates.  A target whose
-    deployment has no score or reward in any window falls back to all of its
-    deployments.
+def period_report(sums: DataFrame, targets: DataFrame, periods: Sequence[str]) -> DataFrame:
+    """Sums per deployment (several rows each are added up) -> one row per target and period.
+
+    A target whose deployment has no score or reward in any window falls back
+    to all of its deployments.
     """
-    now = micros(as_of)
-    aggs, names = [], []
-    for label, seconds in periods.items():
-        inside = micros("observed_at") >= now - seconds * MICRO
-        sub, value = inside & _is("submission"), F.col("value_num")
-        made = {
-            "submission_success": F.count_if(sub & (F.col("status") == "success")),
-            "submission_error": F.count_if(sub & (F.col("status") == "error")),
-            "inference_count": F.count_if(inside & _is("inference")),
-            "score_samples": F.count_if(inside & _is("score") & value.isNotNull()),
-            "score_sum": F.coalesce(F.sum(F.when(inside & _is("score"), value)), F.lit(0.0)),
-            "reward_fraction_samples": F.count_if(inside & _is("reward") & value.isNotNull()),
-            "reward_fraction_sum": F.coalesce(F.sum(F.when(inside & _is("reward"), value)), F.lit(0.0)),
-        }
-        names = list(made)
-        aggs.append(F.struct(F.lit(label).alias("period"), *[c.alias(n) for n, c in made.items()]).alias(f"_p_{label}"))
-    longest = max(periods.values())
-    # The bare column against a literal, so that the bound reaches the scan.
-    kind = events.schema["observed_at"].dataType
-    recent = events.where(F.col("observed_at") >= as_of.cast(kind) - F.expr(f"INTERVAL {longest} SECONDS"))
-    per = recent.groupBy(*TARGET, "deployment_id").agg(*aggs)
-    per = per.select(*TARGET, "deployment_id", F.explode(F.array(*[F.col(f"_p_{p}") for p in periods])).alias("m")).select(*TARGET, "deployment_id", "m.*")
+    names = PERIOD_SUMS
     own = targets.select(*TARGET, F.col("deployment_id").alias("_dep"))
-    marked = per.join(own, TARGET).withColumn("_mine", F.coalesce(F.col("_dep").isNull() | (F.col("deployment_id") == F.col("_dep")), F.lit(False)))
+    marked = sums.join(own, TARGET).withColumn("_mine", F.coalesce(F.col("_dep").isNull() | (F.col("deployment_id") == F.col("_dep")), F.lit(False)))
     mine = F.col("_mine")
     signal = F.sum(F.when(mine, F.col("score_samples") + F.col("reward_fraction_samples")).otherwise(0))
-    use_all = marked.groupBy(*TARGET).agg((signal == 0).alias("_all"))
-    used = marked.join(use_all, TARGET).where(mine | F.col("_all"))
-    total = used.groupBy(*TARGET, "period").agg(*[F.sum(n).alias(n) for n in names])
+    # Both sums of every period in one aggregate: the choice between them needs all periods of the target.
+    both = marked.groupBy(*TARGET, "period").agg(
+        signal.alias("_signal"), F.struct(*[F.coalesce(F.sum(F.when(mine, F.col(n))), F.lit(0)).alias(n) for n in names]).alias("_own"),
+        F.struct(*[F.sum(n).alias(n) for n in names]).alias("_any"),
+    )
+    every = both.groupBy(*TARGET).agg(F.sum("_signal").alias("_s"), F.collect_list(F.struct("period", "_own", "_any")).alias("_p"))
+    used = every.select(*TARGET, "_s", F.explode("_p").alias("p")).select(
+        *TARGET, "p.period", *[F.when(F.col("_s") == 0, F.col(f"p._any.{n}")).otherwise(F.col(f"p._own.{n}")).alias(n) for n in names]
+    )
     grid = targets.select(*TARGET, F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"))
-    out = grid.join(total, [*TARGET, "period"], "left").na.fill(0, names)
+    out = grid.join(used, [*TARGET, "period"], "left").na.fill(0, names)
     return out.select(
         *TARGET, "period", *[n for n in names if n != "score_sum"],
         div("score_sum", "score_samples").alias("score_avg"),
@@ -287,6 +305,83 @@ def period_metrics(events: DataFrame, targets: DataFrame, as_of: Column, periods
     )
 
 
+def period_metrics(events: DataFrame, targets: DataFrame, as_of: Column, periods: Mapping[str, int] = PERIODS) -> DataFrame:
+    """Long form (topic, address, period, ...) of trailing-window metrics, from one scan of the log.
+
+    ``sources.events.stored_period_metrics`` gives the same from partials.
+    """
+    now = micros(as_of)
+    inside = {label: micros("observed_at") >= now - seconds * MICRO for label, seconds in periods.items()}
+    # The bare column against a literal, so that the bound reaches the scan.
+    kind = events.schema["observed_at"].dataType
+    recent = events.where(F.col("observed_at") >= as_of.cast(kind) - F.expr(f"INTERVAL {max(periods.values())} SECONDS"))
+    return period_report(sums_of_periods(recent, inside), targets, list(periods))
+
+
+# Partial aggregates per hour, which syncs write and reports merge.
+_NEWEST = ("observed_at", "event_id", "value_text", "value_num", "tx_hash")
+PARTIAL = T.StructType(
+    [
+        *[f for f in EVENT_SCHEMA.fields if f.name in ("topic_id", "address", "deployment_id", "event_type", "status")],
+        T.StructField("sure", T.BooleanType()),
+        T.StructField("hour", T.TimestampNTZType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("n_values", T.LongType()),
+        T.StructField("value_sum", T.DoubleType()),
+        T.StructField("newest", T.StructType([EVENT_SCHEMA[c] for c in _NEWEST])),
+    ]
+)
+
+
+def partials(events: DataFrame) -> DataFrame:
+    """Counts, sums and the newest row per target, deployment, kind, status, certainty and hour.
+
+    All parts merge by adding or by taking the newest, so partials of disjoint
+    sets of events can be put together in any order.
+    """
+    keys = [f.name for f in PARTIAL.fields[:6]]
+    rows = events.withColumn("sure", _sure()).withColumn("hour", F.date_trunc("hour", "observed_at").cast("timestamp_ntz"))
+    newest = F.struct(*[f.name for f in PARTIAL["newest"].dataType.fields])
+    out = rows.groupBy(*keys, "hour").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"), F.coalesce(F.sum("value_num"), F.lit(0.0)).alias("value_sum"),
+        F.max_by(newest, F.struct("observed_at", "event_id")).alias("newest"),
+    )
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PARTIAL.fields])
+
+
+def sums_of_partials(rows: DataFrame, inside: Mapping[str, Column]) -> DataFrame:
+    """As :func:`sums_of_periods`, from partials."""
+    return _by_period(rows, inside, F.col("n"), F.col("n_values"), F.col("value_sum"))
+
+
+def counts_of_partials(rows: DataFrame, keys: Sequence[str] = (*TARGET, "deployment_id")) -> DataFrame:
+    """As :func:`counts`, from partials."""
+
+    def count(what: Column) -> Column:
+        return F.coalesce(F.sum(F.when(what, F.col("n"))), F.lit(0)).cast("long")
+
+    sub = _is("submission")
+    return rows.groupBy(*keys).agg(
+        F.sum("n").alias("events_total"), count(_is("inference")).alias("inference_count"), count(_is("reward")).alias("reward_count"),
+        count(_is("score")).alias("score_count"), count(sub & (F.col("status") == "success")).alias("submission_success"),
+        count(sub & (F.col("status") == "error")).alias("submission_error"),
+        F.coalesce(F.sum(F.when(_is("reward"), F.col("value_sum"))), F.lit(0.0)).alias("rewards_total"),
+    )
+
+
+def latest_of_partials(rows: DataFrame, targets: DataFrame, kind: str) -> DataFrame:
+    """As :func:`latest_inference` for inferences and :func:`latest_value` for other kinds, from partials."""
+    own = targets.select(*TARGET, F.col("deployment_id").alias("_dep"))
+    mine = F.coalesce(F.col("_dep").isNull() | (F.col("deployment_id") == F.col("_dep")), F.lit(False))
+    marked = rows.where(_is(kind)).join(own, TARGET)
+    if kind == "inference":
+        marked, prefer = marked.where(mine), F.col("sure")
+    else:
+        prefer = mine
+    best = marked.groupBy(*TARGET).agg(F.max_by("newest", F.struct(prefer.alias("p"), "newest.observed_at", "newest.event_id")).alias("_v"))
+    return best.select(*TARGET, *[F.col(f"_v.{c}").alias(c) for c in _SHOWN])
+
+
 def event_series(
     events: DataFrame, limit: int | None = 200, event_type: str | None = None, deployment_id: str | None = None,
     keys: Sequence[str] | None = TARGET, cell_s: int = MINUTE,

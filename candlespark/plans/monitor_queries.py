@@ -9,7 +9,7 @@ from candlespark.plans.feature_queries import _as_of
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import MONITOR, monitor_events, monitor_targets, table
 from candlespark.session import shared_dir
-from candlespark.sources.events import advance_cursors, append_events, scan_events
+from candlespark.sources.events import advance_cursors, append_events, scan_events, scan_partials, stored_period_metrics
 
 NOW = MONITOR + ", nw AS (SELECT max(ts) AS t FROM events)"
 
@@ -58,6 +58,24 @@ def _(spark, sf):
     return advance_cursors(e.select("topic_id", "address").distinct(), path).join(stored, ["topic_id", "address"])
 
 
+@query("event_store_reobserved", f"WITH {MONITOR} SELECT topic_id, address, event_id, event_type, {r('value_num')}, observed_at FROM mon")
+def _(spark, sf):
+    """Every event observed again weeks before and after, in later syncs: the first observation stays, alone."""
+    path, e = shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    for days in (0, 20, -30):
+        append_events(e.withColumn("observed_at", F.col("observed_at") + F.expr(f"INTERVAL {days} DAYS")), path)
+    return scan_events(spark, path).select("topic_id", "address", "event_id", "event_type", "value_num", "observed_at")
+
+
+def _synced(spark, sf):
+    """A store filled by syncs of new, late and repeated events."""
+    path, e = shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    late = F.col("observed_at") < F.lit("2024-01-12").cast("timestamp_ntz")
+    for batch in (e.where(~late), e.where(late & (F.col("event_type") != "score")), e):
+        append_events(batch, path)
+    return path
+
+
 @query("event_fingerprints", f"""
 WITH {MONITOR} SELECT topic_id, address, topic_id || '|' || address || '|' || event_type || '|' || coalesce(tx_hash, '') || '|'
   || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || value_text AS event_id FROM mon""")
@@ -211,6 +229,25 @@ def _(spark, sf):
     return E.period_metrics(monitor_events(spark, sf), monitor_targets(spark, sf), _as_of(spark, sf))
 
 
+@query("stored_period_metrics", f"WITH {PERIOD} {r('coalesce(reward_fraction_sum, 0) AS reward_fraction_sum', 'score_avg', 'reward_fraction_avg')} FROM targets t CROSS JOIN pr LEFT JOIN g ON g.topic_id = t.topic_id AND g.address = t.address AND g.period = pr.period")
+def _(spark, sf):
+    """The same from the hourly partials that syncs wrote, after late and repeated batches."""
+    now = table(spark, sf, "events").agg(F.max("ts").alias("t")).first().t
+    return stored_period_metrics(spark, _synced(spark, sf), monitor_targets(spark, sf), now)
+
+
+@query("stored_rollup", f"WITH {MONITOR} SELECT topic_id, address, deployment_id, {COUNTS} FROM mon GROUP BY ALL")
+def _(spark, sf):
+    """Counts per topic, address and deployment, merged from the partials."""
+    return E.counts_of_partials(scan_partials(spark, _synced(spark, sf)))
+
+
+@query("stored_latest_score", _latest_sql("score"))
+def _(spark, sf):
+    """Newest score per target, merged from the partials."""
+    return E.latest_of_partials(scan_partials(spark, _synced(spark, sf)), monitor_targets(spark, sf), "score")
+
+
 @query("event_series_per_target", f"""
 WITH {MONITOR}, k AS (SELECT *, row_number() OVER (PARTITION BY topic_id, address ORDER BY observed_at DESC, event_id DESC) AS k FROM mon)
 SELECT topic_id, address, event_id, event_type, status, {r('value_num')}, observed_at FROM k WHERE k <= 20""")
