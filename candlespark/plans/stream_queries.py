@@ -220,7 +220,48 @@ def _(spark, sf):
     B.run_batches(C.hot_cache(_hour_stream(spark, sf), 100), keep, shared_dir(spark, "state"))
     rows = spark.read.option("basePath", path).parquet(path)
     newest = rows.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("symbol", "batch")]), "batch").alias("v"))
-    return _ntz(newest.select("symbol", "v.*"), "first_time", "last_time")
+    names = ["n_cached", "first_time", "last_time", "last_close", "mean_close", "volume"]
+    return _ntz(newest.select("symbol", *[f"v.{n}" for n in names]), "first_time", "last_time")
+
+
+@query("stream_hot_cache_preloaded", f"""
+WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k FROM bars)
+SELECT symbol, count(*)::INTEGER AS n_cached, min(open_time) AS first_time, max(open_time) AS last_time, {r('arg_max(open, open_time) AS last_open', 'arg_max(high, open_time) AS last_high',
+  'arg_max(low, open_time) AS last_low', 'arg_max(close, open_time) + 1 AS last_close', 'max(high) AS max_high', 'min(low) AS min_low', 'avg(close) + 1.0 / count(*) AS mean_close', 'sum(volume) AS volume')},
+  arg_max(n_trades, open_time) AS last_n_trades, sum(n_trades)::BIGINT AS n_trades
+FROM k WHERE k <= 100 GROUP BY 1""")
+def _(spark, sf):
+    """The stream brings one corrected bar per symbol; the cache holds the 99 before it from the store, in its first batch."""
+    store, path, bars = shared_dir(spark, "store"), shared_dir(spark, "cache"), bars_1h(spark, sf)
+    B.upsert_bars(bars, store, "x")
+    newest = bars.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in bars.columns if c != "symbol"]), "open_time").alias("v")).select("symbol", "v.*")
+    _write_messages(newest.withColumn("close", F.col("close") + 1), f"{path}-messages")
+    stream = B.closed_bars(B.messages_from_files(spark, f"{path}-messages"))
+
+    def keep(batch, batch_id):
+        if batch_id == 0:
+            batch.write.mode("overwrite").parquet(path)
+
+    B.run_batches(C.hot_cache(stream, 100, scan_bars(spark, store)), keep, shared_dir(spark, "state"))
+    return _ntz(spark.read.parquet(path), "first_time", "last_time")
+
+
+@query("stream_barrier_stalled", f"""
+WITH {SEEN}, g AS (SELECT DISTINCT open_time FROM bars), f AS (SELECT g.open_time, s.symbol, b.open_time AS bar_time, b.close, b.n_trades
+  FROM g CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS symbol) s ASOF LEFT JOIN bars b ON b.symbol = s.symbol AND g.open_time >= b.open_time),
+a AS (SELECT open_time, count(*) FILTER (WHERE bar_time <> open_time) AS n_filled, sum(close) AS c, sum(n_trades)::BIGINT AS trades FROM f GROUP BY 1)
+SELECT m.open_time, len(syms)::INTEGER AS n_symbols, len(missing) = 0 AS complete, array_to_string(missing, ',') AS missing, n_filled::INTEGER AS n_filled, {r('c AS close_total')}, trades FROM m JOIN a USING (open_time)""")
+def _(spark, sf):
+    """A feed that stops: every open time still fires, the incomplete ones by the clock, with the last bars of the missing symbols."""
+    path, state = shared_dir(spark, "stalled"), shared_dir(spark, "state")
+    fired = SB.clock_barrier(_hour_stream(spark, sf), SYMBOLS, timeout_s=2, freq="1h", keep=100_000)
+    B.run_until_quiet(fired, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"), state, quiet_s=4)
+    total = lambda c, zero: F.aggregate("bars", zero, lambda a, b: a + b[c])
+    out = spark.read.option("basePath", path).parquet(path).select(
+        "open_time", "n_symbols", "complete", F.array_join("missing", ",").alias("missing"), F.size(F.filter("bars", lambda b: b["filled"])).alias("n_filled"),
+        total("close", F.lit(0.0)).alias("close_total"), total("n_trades", F.lit(0).cast("long")).alias("trades"),
+    )
+    return _ntz(out, "open_time")
 
 
 @query("stream_event_sync", f"WITH {MONITOR} SELECT topic_id, address, event_id, event_type, {r('value_num')}, observed_at FROM mon")

@@ -8,6 +8,8 @@ at most the last batch.
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -128,3 +130,36 @@ def run_batches(stream: DataFrame, fn, checkpoint: str, mode: str = "update") ->
         stream.writeStream.outputMode(mode).foreachBatch(fn)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     )
+
+
+def run_until_quiet(stream: DataFrame, fn, checkpoint: str, quiet_s: float, limit_s: float = 600) -> None:
+    """Run on the clock, so that timers fire, until no batch has given rows for ``quiet_s`` seconds after some did; for tests and catch-up jobs.
+
+    ``fn(batch, batch_id)`` gets the batches that have rows.  The run ends after
+    ``limit_s`` seconds in any case.
+    """
+    last: list[float] = []
+    quiet = threading.Event()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Both readers of a batch see one run of the state.
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                fn(batch, batch_id)
+                last.append(time.monotonic())
+            elif last and time.monotonic() - last[-1] >= quiet_s:
+                quiet.set()
+        finally:
+            batch.unpersist()
+
+    running = stream.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
+    end = time.monotonic() + limit_s
+    try:
+        while running.isActive and time.monotonic() < end and not quiet.wait(0.1):
+            pass
+        failure = running.exception()
+    finally:
+        running.stop()
+    if failure:
+        raise failure
