@@ -5,8 +5,7 @@ lower case.  Keys of at least ``min_chars`` code points that occur in at least
 ``min_docs`` documents lose all their lines except in the document with the
 largest id.  Keys travel as two 64-bit hashes, never as text:
 
-1. every document gives each of its long keys once, with the positions of its
-   lines;
+1. every row gives its long keys with the positions of their lines;
 2. these rows are range-partitioned by hash and by a run of ids, so a key that
    a third of all documents share lies in many partitions; within a partition
    they are sorted by hash, descending id and position, and a window streams
@@ -19,9 +18,12 @@ largest id.  Keys travel as two 64-bit hashes, never as text:
 
 Only bitmaps leave the operator.  ``apply`` cuts the lines out of the text.
 
-Defined results: null and empty text are one empty line; repeated ids share a
-bitmap only if their texts are equal, since ids are the documents' identity;
-an empty table gives no rows; extra columns are not read.
+Defined results: null and empty text are one empty line; rows of one id are one
+document for the counts, and each different text of it has a bitmap of its own,
+so equal rows lose the same lines and no text loses lines of another; the
+largest id that holds a key keeps it in all of its rows; a row without an id
+counts for no key and keeps its lines; an empty table gives no rows; extra columns are not read; a
+text is never cut, its lines are one array in memory.
 """
 
 from __future__ import annotations
@@ -46,19 +48,23 @@ def line_key(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``h1, h2, doc_id, at``: each long key of each document once, with the positions of its lines."""
-    lines = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc_id", "pos")
+    """``h1, h2, doc_id, body, pos``: the long keys of every line; ``body`` tells the texts of one id apart."""
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", body().alias("body"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keyed = lines.select("doc_id", "body", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc_id", "body", "pos")
+
+
+def body() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, n_dropped, keep``: a map from word number to the keep bits of its 64 lines.
+    """``doc_id, body, n_dropped, keep``: a map from word number to the keep bits of its 64 lines.
 
     A word that is absent keeps all its lines, and documents that keep every line have no row.
     """
     run = F.floor(F.col("doc_id") / F.lit(RUN)).alias("run")
-    seen = occurrences(docs, min_chars).select("h1", "h2", run, "doc_id", "pos")
+    seen = occurrences(docs, min_chars).select("h1", "h2", run, "doc_id", "body", "pos")
     # The window needs no exchange of its own: the ranges keep the rows of a run together, and it sorts within them.
     ranged = seen.repartitionByRange("h1", "h2", "run")
     before = F.lag("doc_id").over(Window.partitionBy("h1", "h2", "run").orderBy(F.desc("doc_id"), "pos"))
@@ -69,8 +75,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     often = runs.select("h1", "h2", "run").join(keys.select("h1", "h2", "first_doc"), ["h1", "h2"])
     gone = streamed.join(often, ["h1", "h2", "run"]).where(F.col("doc_id") != F.col("first_doc"))
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pos % 64 AS INT))")
-    words = gone.groupBy("doc_id", F.expr("CAST(pos DIV 64 AS INT)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
-    return words.groupBy("doc_id").agg(
+    words = gone.groupBy("doc_id", "body", F.expr("CAST(pos DIV 64 AS INT)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
+    return words.groupBy("doc_id", "body").agg(
         F.sum(64 - F.bit_count("bits")).cast("long").alias("n_dropped"),
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"),
     )
@@ -84,12 +90,13 @@ def keep_line(keep: Column, position: Column) -> Column:
 
 def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``kept`` (the remaining text), ``n_lines`` and ``n_dropped``; texts that lose nothing are not split."""
-    marked = docs.join(bitmaps, "doc_id", "left")
-    kept = F.array_join(F.filter(split_lines(F.col("text")), lambda line, k: keep_line(F.col("keep"), k)), "\n")
+    names = {c: f"_{c}" for c in ("doc_id", "body", "n_dropped", "keep")}
+    maps = bitmaps.withColumnsRenamed(names)
+    marked = docs.withColumn("_text_hash", body()).join(maps, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_text_hash") == F.col("_body")), "left")
+    kept = F.array_join(F.filter(split_lines(F.col("text")), lambda line, k: keep_line(F.col("_keep"), k)), "\n")
     return marked.select(
-        *[docs[c] for c in docs.columns if c != "doc_id"],
-        F.col("doc_id"),
-        F.when(F.col("n_dropped") > 0, kept).otherwise(F.coalesce("text", F.lit(""))).alias("kept"),
+        *[F.col(c) for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")],
+        F.when(F.col("_n_dropped") > 0, kept).otherwise(F.coalesce("text", F.lit(""))).alias("kept"),
         F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )

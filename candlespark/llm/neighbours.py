@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are its byte pairs, hashed to ``TERMS`` columns and weighted by
-log frequency and by the rarity of the term over all documents, and the shares
-of its words that follow a pattern (a word said twice running, a word seen
-before, a trailing symbol, a lone bar, capitals).  The space is spanned by the
-leading singular vectors of a labelled sample.
+A text has two kinds of terms: its byte trigrams, hashed to ``TERMS`` columns and
+weighted by log frequency and by the rarity of the term over all documents; and
+how far back each of its words occurred last, by powers of two (``GAPS``
+columns, the last for words that are new), which no bag of substrings shows.
+Both are directions of equal length.  The space is spanned by the leading
+singular vectors of a labelled sample.
 
 The sample has at most ``labelled`` rows, those of least hash, so the vectors
 that go to every worker have a proven size (4,096 x 32 floats: half a
@@ -14,8 +15,11 @@ Document frequencies cover all rows.
 
 Defined results: null, empty and blank texts have no direction and take the
 share of label 1 in the sample; without labelled rows every score is 0.5; a
-row labelled twice counts with its lower label; repeated ids are scored row by
-row; extra columns are not read.
+row labelled twice counts with its lower label; of several texts of a labelled
+id the least is taken; of labelled rows equally near the one with the lower id
+votes; repeated ids are scored row by row; an empty table gives no rows; extra
+columns are not read.  Texts are never cut: a text longer than a run is a block
+of its own, with memory some tens of times its bytes.
 """
 
 from __future__ import annotations
@@ -30,15 +34,13 @@ from pyspark.sql import functions as F
 from candlespark.llm.common import runs, shipped, tables, words
 
 LABELLED = 4096
-TERMS = 1024
+TERMS = 2048
+GAPS = 16
 DIMENSIONS = 32
 VOTES = 15
 SHARPNESS = 16
 #: Texts that are compared at a time.
 BLOCK = 512
-PATTERNS = 5
-#: Bytes at the end of a word that count as symbols.
-TRAILING = b"#*$%&|<>!~^=+_@"
 
 
 @dataclass
@@ -50,33 +52,24 @@ class Space:
 
 
 def _blocks(column: pa.Array):
-    """First row and term matrix (texts x terms) of each block of a text column: pair counts, then pattern shares."""
+    """First row, term counts (texts x terms), shares of recurring words by gap, and whether a text has words, of each block of a text column."""
     by_word = tables(fold=False)
-    symbol, capital = np.zeros(256, bool), np.zeros(256, bool)
-    symbol[list(TRAILING)], capital[65:91] = True, True
     for a, b, data, bounds in runs(column, most=BLOCK):
-        n, size = b - a, np.diff(bounds)
-        doc = np.repeat(np.arange(n), size)
-        pair = data[:-1].astype(np.uint32) * np.uint32(257) + data[1:]
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(32 - TERMS.bit_length() + 1)
-        inside = doc[:-1] == doc[1:]
-        counts = np.bincount(doc[:-1][inside] * TERMS + slot[inside], minlength=n * TERMS).reshape(n, TERMS)
+        n = b - a
+        doc = np.repeat(np.arange(n), np.diff(bounds))
+        wide = data.astype(np.uint64)
+        trigram = (wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:]
+        slot = ((trigram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
+        inside = doc[:-2] == doc[2:]
+        counts = np.bincount(doc[:-2][inside] * TERMS + slot[inside], minlength=n * TERMS).reshape(n, TERMS)
         w = words(data, bounds, by_word)
-        total = np.maximum(np.diff(w.first), 1)
-        order = np.lexsort((w.hash, w.doc))
-        same = np.zeros(len(w), bool)
-        same[1:] = (w.hash[order][1:] == w.hash[order][:-1]) & (w.doc[order][1:] == w.doc[order][:-1])
-        twice = np.zeros(len(w), bool)
-        twice[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-        last = data[np.maximum(w.end - 1, 0)] if len(w) else data[:0]
-        shares = [
-            np.bincount(w.doc, twice, n) / total,
-            0.3 * np.bincount(w.doc[order], same, n) / total,
-            np.bincount(w.doc, symbol[last], n) / total,
-            np.bincount(w.doc, (last == 124) & (w.end - w.start == 1), n) / total,
-            np.bincount(doc, capital[data], n) / np.maximum(size, 1),
-        ]
-        yield a, counts.astype(np.float32), np.array(shares, np.float32).T, np.diff(w.first) > 0
+        order = np.lexsort((w.hash, w.doc))  # stable: equal words stay in their order
+        again = np.append(False, (w.hash[order][1:] == w.hash[order][:-1]) & (w.doc[order][1:] == w.doc[order][:-1]))[: len(w)]
+        gap = np.maximum(np.diff(order, prepend=0), 1)
+        level = np.where(again, np.minimum(np.log2(gap).astype(np.int64), GAPS - 2), GAPS - 1)
+        gaps = np.bincount(w.doc[order] * GAPS + level, minlength=n * GAPS).reshape(n, GAPS)
+        shares = gaps / np.maximum(np.diff(w.first), 1)[:, None]
+        yield a, counts.astype(np.float32), shares.astype(np.float32), np.diff(w.first) > 0
 
 
 def _directions(counts: np.ndarray, shares: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -114,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Space:
     """The space and the labelled vectors, from ``docs`` (doc_id, text) and ``labels`` (doc_id, label)."""
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
     picks = known.orderBy(F.xxhash64(F.lit(83), "doc_id"), "doc_id").limit(labelled)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")
+    # One text per id, however often the table repeats it, so that the driver gets ``labelled`` rows at most.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def terms(batches):
         for batch in batches:
@@ -126,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Space:
     weights = rarity(docs)
     rows = chosen.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(terms, "doc_id long, label int, terms binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.label, r.terms))[:labelled]
-    width = TERMS + PATTERNS
+    width = TERMS + GAPS
     if not rows:
         return Space(weights, np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     matrix = np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.float32).reshape(-1, width)
@@ -140,6 +134,11 @@ def votes(near: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Scores from cosines (texts x labelled rows)."""
     k = min(VOTES, near.shape[1])
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, top, 1).min(axis=1, keepdims=True)
+    # Several rows as near as the last that votes: the first of them do.
+    for row in np.flatnonzero((near >= least).sum(axis=1) > k):
+        above, equal = np.flatnonzero(near[row] > least[row]), np.flatnonzero(near[row] == least[row])
+        top[row] = np.concatenate([above, equal[: k - len(above)]])
     weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS
     total = weight.sum(axis=1)
     return np.where(total > 1e-12, (weight * labels[top]).sum(axis=1) / np.maximum(total, 1e-12), labels.mean())
