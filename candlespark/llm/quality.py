@@ -9,13 +9,17 @@ does not matter, and a language's sketch is the sum of its sources'.  A group
 with fewer than ``min_group`` documents takes its language's sketch, and a
 small language that of all documents.
 
-A metric's fences are the quartiles, moved out by ``REACH`` times the distance
-between them or the metric's least spread, whichever is larger.  Documents are
-joined with their group's fences and kept when all metrics lie inside.
+A metric's upper fence lies beyond an upper quantile of the group's sketch, by
+``REACH`` times that quantile's distance from the median; the lower fence
+mirrors it.  Only where the quantile and the median are the same cell, so that
+the group shows no spread, a given spread takes the distance's place.
+Documents are joined with their group's fences and kept when all metrics lie
+inside.
 
 Defined results: null, empty and blank texts have no words and fail the base
 rules; null language or source is a group of its own; repeated ids are judged
-row by row; an empty table gives no rows; extra columns are not read.
+row by row; an empty table gives no rows; extra columns are not read; texts are
+read whole, one run of about a megabyte or one longer text at a time.
 """
 
 from __future__ import annotations
@@ -35,13 +39,14 @@ REACH = 3
 MIN_GROUP = 200
 SYMBOLS = b"#*$%&|<>"
 
-#: Metric: (integer expression, least spread).  All are ratios, per hundred or thousand.
+#: Metric: (integer expression, percentile of the upper quantile, spread where a group shows none).  All are ratios, per hundred or thousand.
+#: Values that a share of bad documents can reach in numbers use the lower percentile.
 METRICS = {
-    "word_length": ("100 * word_chars DIV n_words", 40),
-    "symbols": ("1000 * n_symbols DIV n_words", 20),
-    "dup_lines": ("1000 * n_dup_lines DIV greatest(n_lines, 1)", 150),
-    "repeats": ("1000 * n_repeat_words DIV n_words", 120),
-    "capitals": ("1000 * n_capitals DIV word_chars", 40),
+    "word_length": ("100 * word_chars DIV n_words", 90, 40),
+    "symbols": ("1000 * n_symbols DIV n_words", 90, 20),
+    "dup_lines": ("1000 * n_dup_lines DIV greatest(n_lines, 1)", 99, 150),
+    "repeats": ("1000 * n_repeat_words DIV n_words", 99, 120),
+    "capitals": ("1000 * n_capitals DIV word_chars", 99, 40),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
@@ -111,7 +116,7 @@ def base_failed() -> Column:
 
 def with_metrics(measured: DataFrame) -> DataFrame:
     failed = measured.withColumn("base_failed", base_failed())
-    return failed.withColumns({m: F.when(~F.col("base_failed"), F.expr(how)) for m, (how, _) in METRICS.items()})
+    return failed.withColumns({m: F.when(~F.col("base_failed"), F.expr(how)) for m, (how, *_) in METRICS.items()})
 
 
 def cell(value: Column) -> Column:
@@ -132,18 +137,28 @@ def sketches(metrics: DataFrame) -> DataFrame:
 
 
 def fences(sketched: DataFrame) -> DataFrame:
-    """``lang, source, level, n`` and ``<metric>_low``, ``<metric>_high`` of every sketch."""
+    """``lang, source, level, n`` and ``<metric>_low``, ``<metric>_high`` of every sketch, and whether (``_flat``) a fence had no spread to go by."""
     group = ["lang", "source", "level", "metric"]
     run = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(*group)
     summed = sketched.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(total)})
-    quarter = [F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("cell"))) for k in (1, 3)]
-    rows = summed.groupBy(*group).agg(quarter[0].alias("q1"), quarter[1].alias("q3"), F.max("all").alias("n"))
+
+    def quantile(percent) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("all"), F.col("cell")))
+
+    level = F.coalesce(*[F.when(F.col("metric") == m, F.lit(p)) for m, (_, p, _) in METRICS.items()])
+    rows = summed.withColumn("percent", level).groupBy(*group).agg(
+        quantile(100 - F.col("percent")).alias("q_low"), quantile(50).alias("q_mid"), quantile(F.col("percent")).alias("q_high"), F.max("all").alias("n")
+    )
     out = [F.max("n").alias("n")]
-    for m, (_, spread) in METRICS.items():
+    for m, (_, _, spread) in METRICS.items():
         own = F.col("metric") == m
-        wide = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
-        out += [F.max(F.when(own, F.col("q1") - wide)).alias(f"{m}_low"), F.max(F.when(own, F.col("q3") + wide)).alias(f"{m}_high")]
+        for side, sign in (("low", -1), ("high", 1)):
+            reached = F.col(f"q_{side}")
+            apart = F.abs(reached - F.col("q_mid"))
+            fence = reached + sign * REACH * F.when(apart > 0, apart).otherwise(spread)
+            out.append(F.max(F.when(own, fence)).alias(f"{m}_{side}"))
+            out.append(F.max(F.when(own, (apart == 0).cast("int"))).alias(f"{m}_{side}_flat"))
     return rows.groupBy("lang", "source", "level").agg(*out)
 
 

@@ -9,8 +9,8 @@ WORDS = "list_filter(regexp_split_to_array({}, '" + SPACE + "+'), lambda x: x <>
 
 
 def _quality() -> str:
-    metrics = ", ".join(f"CASE WHEN NOT base_failed THEN {how.replace(' DIV ', ' // ')} END AS {m}" for m, (how, _) in METRICS.items())
-    names, spreads = list(METRICS), [spread for _, spread in METRICS.values()]
+    metrics = ", ".join(f"CASE WHEN NOT base_failed THEN {how.replace(' DIV ', ' // ')} END AS {m}" for m, (how, *_) in METRICS.items())
+    names, spreads, percents = list(METRICS), [m[2] for m in METRICS.values()], [m[1] for m in METRICS.values()]
     inside = " AND ".join(f"m.{m} BETWEEN f.low[{k}] AND f.high[{k}]" for k, m in enumerate(names, 1))
     return f"""
 WITH docs AS (
@@ -36,22 +36,24 @@ WITH docs AS (
 ), measured AS (
   SELECT *, {metrics} FROM based
 ), values_ AS (
-  SELECT lang, source, unnest({names!r}) AS metric, unnest({spreads!r}) AS spread, unnest([{', '.join(names)}]) AS v FROM measured WHERE NOT base_failed
+  SELECT lang, source, unnest({names!r}) AS metric, unnest({spreads!r}) AS spread, unnest({percents!r}) AS percent, unnest([{', '.join(names)}]) AS v FROM measured WHERE NOT base_failed
 ), cells AS (
-  SELECT lang, source, metric, spread, v - v % CAST(pow(2, greatest(length(bin(v)) - {BITS}, 0)) AS BIGINT) AS cell FROM values_
+  SELECT lang, source, metric, spread, percent, v - v % CAST(pow(2, greatest(length(bin(v)) - {BITS}, 0)) AS BIGINT) AS cell FROM values_
 ), sketches AS (
-  SELECT 0 AS level, lang, source, metric, spread, cell, count(*) AS n FROM cells GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, metric, spread, cell, count(*) FROM cells GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, metric, spread, cell, count(*) FROM cells GROUP BY ALL
+  SELECT 0 AS level, lang, source, metric, spread, percent, cell, count(*) AS n FROM cells GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, spread, percent, cell, count(*) FROM cells GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, metric, spread, percent, cell, count(*) FROM cells GROUP BY ALL
 ), summed AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS whole FROM sketches
-), quartiles AS (
-  SELECT level, lang, source, metric, spread, max(whole) AS n, min(cell) FILTER (WHERE 4 * upto >= whole) AS q1, min(cell) FILTER (WHERE 4 * upto >= 3 * whole) AS q3
+), quantiles AS (
+  SELECT level, lang, source, metric, spread, max(whole) AS n, min(cell) FILTER (WHERE 100 * upto >= (100 - percent) * whole) AS q_low,
+         min(cell) FILTER (WHERE 100 * upto >= 50 * whole) AS q_mid, min(cell) FILTER (WHERE 100 * upto >= percent * whole) AS q_high
   FROM summed GROUP BY ALL
 ), fences AS (
-  SELECT level, lang, source, max(n) AS n, list(q1 - {REACH} * greatest(q3 - q1, spread) ORDER BY list_position({names!r}, metric)) AS low,
-         list(q3 + {REACH} * greatest(q3 - q1, spread) ORDER BY list_position({names!r}, metric)) AS high
-  FROM quartiles GROUP BY ALL
+  SELECT level, lang, source, max(n) AS n,
+         list(q_low - {REACH} * (CASE WHEN q_mid > q_low THEN q_mid - q_low ELSE spread END) ORDER BY list_position({names!r}, metric)) AS low,
+         list(q_high + {REACH} * (CASE WHEN q_high > q_mid THEN q_high - q_mid ELSE spread END) ORDER BY list_position({names!r}, metric)) AS high
+  FROM quantiles GROUP BY ALL
 ), chosen AS (
   SELECT a.lang, a.source, CASE WHEN a.n >= {MIN_GROUP} THEN a.low WHEN b.n >= {MIN_GROUP} THEN b.low ELSE c.low END AS low,
          CASE WHEN a.n >= {MIN_GROUP} THEN a.high WHEN b.n >= {MIN_GROUP} THEN b.high ELSE c.high END AS high
