@@ -42,7 +42,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Metric: (integer expression, percentile of the upper quantile, spread where a group shows none).  All are ratios, per hundred or thousand.
 #: Values that a share of bad documents can reach in numbers use the lower percentile.
 METRICS = {
-    "word_length": ("100 * word_chars DIV n_words", 90, 40),
+    "word_length": ("100 * word_chars DIV n_words", 95, 40),
     "symbols": ("1000 * n_symbols DIV n_words", 90, 20),
     "dup_lines": ("1000 * n_dup_lines DIV greatest(n_lines, 1)", 99, 150),
     "repeats": ("1000 * n_repeat_words DIV n_words", 99, 120),
