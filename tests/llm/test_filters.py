@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,21 @@ def test_line_dedup(spark, make, monkeypatch, run):
     assert (got[6].kept, got[6].n_lines) == ("", 1) and (got[7].kept, got[7].n_lines) == ("", 1)
 
 
+def test_line_dedup_of_repeated_ids(spark, make):
+    """Two texts of one id: neither loses a line because of where the other's lie."""
+    shared = "this line is shared by very many documents, truly it is"
+    own = "unique first line that nobody else has, and long enough to count"
+    texts = [f"{shared}\n{own} {k}" for k in range(6)] + [f"{own} six\n{shared}", f"{shared}\n{own} seven", f"{shared}\n{own} seven", shared]
+    docs = make(texts, ids=[0, 1, 2, 3, 4, 5, 5, 5, 5, None])
+    rows = lines.apply(docs, lines.keep_bitmaps(docs)).collect()
+    # The largest id keeps the line in all of its rows; a row without an id keeps everything.
+    assert sorted((r.doc_id, r.kept) for r in rows if r.doc_id is not None and r.doc_id < 5) == [(k, f"{own} {k}") for k in range(5)]
+    assert sorted(r.kept for r in rows if r.doc_id == 5) == sorted(texts[5:9]) and [r.kept for r in rows if r.doc_id is None] == [shared]
+    docs = make(texts[5:9] + texts[:5] + [shared], ids=[0, 0, 0, 0, 1, 2, 3, 4, 6, 9])
+    kept = sorted(r.kept for r in lines.apply(docs, lines.keep_bitmaps(docs)).collect() if r.doc_id == 0)
+    assert kept == sorted([f"{own} 5", f"{own} six", f"{own} seven", f"{own} seven"])
+
+
 def test_line_dedup_by_brute_force(spark):
     texts = texts_of(spark)
     white = " \t\n\x0b\x0c\r"
@@ -113,6 +129,34 @@ def test_quality_without_labels(spark, make):
     assert [r.score for r in neighbours.score(docs, space).collect()] == [0.5, 0.5]
 
 
+def test_votes_by_brute_force():
+    """The nearest by cosine, of equals those that come first; weights grow with similarity."""
+    rng = np.random.default_rng(4)
+    labels = (rng.random(60) < 0.5).astype(np.float32)
+    near = np.round(rng.random((200, 60)), 1).astype(np.float32)  # many ties
+    for row, got in zip(near, neighbours.votes(near.copy(), labels)):
+        top = sorted(range(60), key=lambda k: (-row[k], k))[: neighbours.VOTES]
+        weight = np.array([row[k] for k in top], np.float64) ** neighbours.SHARPNESS
+        assert got == pytest.approx((weight * labels[top]).sum() / weight.sum(), abs=1e-5)
+
+
+def test_terms_of_texts():
+    """Trigram counts and recurrence by gap, counted one by one."""
+    import pyarrow as pa
+
+    texts = ["one two one two two", "", "abc", "a a a a"]
+    (at, counts, gaps, full), = neighbours._blocks(pa.array(texts))
+    assert at == 0 and full.tolist() == [True, False, True, True]
+    assert counts.sum(axis=1).tolist() == [max(len(t) - 2, 0) for t in texts]
+    want = np.zeros((4, neighbours.GAPS), np.float32)
+    for i, t in enumerate(texts):
+        words, last = t.split(), {}
+        for k, w in enumerate(words):
+            want[i, min(int(np.log2(k - last[w])), neighbours.GAPS - 2) if w in last else neighbours.GAPS - 1] += 1 / len(words)
+            last[w] = k
+    assert np.allclose(gaps, want)
+
+
 @pytest.mark.parametrize("frame", ["odd", "nothing"])
 def test_odd_rows(spark, frame, request):
     docs = request.getfixturevalue(frame)
