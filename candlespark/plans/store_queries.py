@@ -11,8 +11,9 @@ from candlespark.operators.features import rolling
 from candlespark.plans.feature_queries import OHLC, W, _as_of, last
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, BARS_1D, MONTH, TICKS, bars_1d, bars_1h, table, ticks
-from candlespark.session import shared_dir
+from candlespark.session import remove_dir, shared_dir
 from candlespark.sources import bars as B
+from candlespark.sources import damage as D
 from candlespark.sources import exports as E
 from candlespark.sources import payloads as P
 
@@ -165,6 +166,44 @@ def _(spark, sf):
     return out.withColumn("reported", F.lit(n_bad > 0))
 
 
+def _with_broken_page(spark, path, out):
+    """Copies of all files below ``path`` in a folder beside it, named with ``out``: each has its footer, but a page with other bytes."""
+
+    def spoil(batches):
+        for batch in batches:
+            for item in batch.to_pylist():
+                fs, name = D.located(item["path"])
+                folder, _, file = name.rpartition("/")
+                fs.create_dir(f"{folder}-{out}")
+                with fs.open_input_stream(name) as src, fs.open_output_stream(f"{folder}-{out}/{file}") as dst:
+                    dst.write(src.read(item["length"] // 3))
+                    dst.write(bytes(255 - b for b in src.read(64)))
+                    while chunk := src.read(1 << 20):
+                        dst.write(chunk)
+            yield batch
+
+    D.stored_files(spark, path).mapInArrow(spoil, "path string, length long").write.format("noop").mode("overwrite").save()
+
+
+@query("damaged_row_groups", f"""
+WITH {BARS} SELECT symbol, count(*) AS n_bars, {r('sum(close) AS close_total')}, 'read' AS state FROM bars WHERE symbol <> 'click' GROUP BY 1
+UNION ALL SELECT NULL, count(*), NULL, 'row group 0 damaged' FROM bars WHERE symbol = 'click'""")
+def _(spark, sf):
+    """A store with a valid empty file and one whose page is damaged: the rows of all others, and where rows are lost."""
+    path, bars = shared_dir(spark, "store"), bars_1h(spark, sf).select(*B.BAR_COLUMNS)
+    bars.where("symbol <> 'click'").write.parquet(f"{path}/store/good")
+    bars.where("false").coalesce(1).write.parquet(f"{path}/store/empty")
+    bars.where("symbol = 'click'").repartition(1).write.parquet(f"{path}/store/click")
+    _with_broken_page(spark, f"{path}/store/click", "damaged")
+    remove_dir(spark, f"{path}/store/click")
+    whole = D.intact_rows(spark, f"{path}/store").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("close_total"), F.lit("read").alias("state"))
+    where = F.concat(F.lit("row group "), F.col("row_group"), F.lit(" damaged"))
+    lost = D.damaged_parts(spark, f"{path}/store").select(
+        F.lit(None).cast("string").alias("symbol"), F.col("n_rows").alias("n_bars"), F.lit(None).cast("double").alias("close_total"), where.alias("state"))
+    return whole.unionByName(lost)
+
+
 @query("exported_predictions", f"""
 WITH {BARS}, p AS (SELECT symbol, open_time, ln(lead(close) OVER w) - ln(close) AS target, -0.3 * (ln(close) - ln(lag(close) OVER w)) AS pred FROM bars {W})
 SELECT open_time, {r('target', 'pred')} FROM p WHERE pred IS NOT NULL""")

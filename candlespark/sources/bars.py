@@ -230,15 +230,10 @@ def tolerant_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that gave no row to a tolerant scan: (path, length).
+    """Files without a readable footer: (path, length); a valid file without rows is none.
 
-    The listing reads no contents and the scan no columns, only footers.
-    Nothing is deleted.
+    ``damage.damaged_parts`` also names the row groups whose pages are broken.
     """
+    from candlespark.sources.damage import damaged_parts
 
-    def name(col: Column) -> Column:
-        return F.regexp_replace(col, "^([A-Za-z0-9]+):/+", "$1:/")
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name(F.col("path")).alias("path"), "length")
-    read = tolerant_scan(spark, path).select(name(F.col("_metadata.file_path")).alias("path")).distinct()
-    return files.join(read, "path", "left_anti")
+    return damaged_parts(spark, path).where("row_group IS NULL").select("path", "length")
