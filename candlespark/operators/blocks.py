@@ -185,9 +185,9 @@ def value_ranks(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], cell_s: int = DAY
+    df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], cell_s: int = DAY, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of each value up to and including the row, as ``<value>_sum``.
+    """Sum of each value up to and including the row in (time, ties) order, as ``<value>_sum``.
 
     Sums of earlier cells come from a table of sums per (keys, cell).
     """
@@ -196,7 +196,7 @@ def running_sum(
     sums = _per_cell(rows, keys, *[F.sum(v).alias(f"_s_{v}") for v in values])
     span = _cells_before(keys)
     sums = sums.select(*on, *[F.coalesce(F.sum(f"_s_{v}").over(span), F.lit(0.0)).alias(f"_b_{v}") for v in values])
-    local = Window.partitionBy(*on).orderBy(time, _hash(rows)).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*on).orderBy(time, *ties, _hash(rows)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values]).join(sums, on)
     return rows.select(
         *df.columns, *[(F.col(f"_b_{v}") + F.coalesce(f"_l_{v}", F.lit(0.0))).alias(f"{v}_sum") for v in values]

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.functions.safe import div
-from candlespark.functions.times import MICRO, micros
-from candlespark.operators.blocks import DAY, row_index
+from candlespark.functions.times import MICRO, from_micros, is_ntz, micros
+from candlespark.operators.blocks import DAY, row_index, running_sum
 
 KEYS = ("symbol",)
 
@@ -155,3 +155,55 @@ def stage_degradation(reports: DataFrame, metrics: Sequence[str], keys: Sequence
     wide = long.groupBy(*keys, "metric").agg(of("evaluation"), of("deployment"))
     gap = F.col("deployment") - F.col("evaluation")
     return wide.withColumn("gap", gap).withColumn("relative_gap", div(gap, F.abs("evaluation")))
+
+
+def overlaps(
+    split: DataFrame, horizon_s: int, window_s: int, on: Sequence[str] = (*KEYS, "fold"), role: str = "role",
+    time: str = "open_time", cell_s: int = DAY,
+) -> DataFrame:
+    """Rows whose spans reach into another role: (on, role, time, other_role, kind, n_other).
+
+    A row at t holds an outcome over (t, t + horizon] and features over
+    [t - window, t].  ``kind`` is "label" where its outcome shares time with the
+    outcomes of ``n_other`` rows of the other role (|t - s| < horizon), and
+    "feature" where its features look into them (t - window - horizon <= s < t).
+    Any roles will do: train, validation and test, or stages.  Rows of one role
+    are no leak of each other; a row given twice counts twice.  Rows without
+    time, role or one of the keys are left out.
+
+    Pairs are never formed.  Time bins tell which rows have another role near
+    them, and only these ask; the answers are differences of running counts.
+    """
+    on, us, other = list(on), micros(F.col(time)), f"other_{role}"
+    reach = max(1, (window_s + horizon_s) * MICRO)
+    rows = split.select(*on, role, us.alias("_us")).dropna()
+    binned = rows.withColumn("_bin", F.floor(F.col("_us") / reach).cast("long"))
+    # One row per bin and role; a span reaches into the bin before or after at most.
+    taken = binned.select(*on, F.col(role).alias(other), F.explode(F.array(*[F.col("_bin") + k for k in (-1, 0, 1)])).alias("_bin")).distinct()
+    near = binned.join(taken, [*on, "_bin"]).where(F.col(role) != F.col(other)).select(*on, role, "_us", other)
+    h, w = horizon_s * MICRO, window_s * MICRO
+    # Each span (after, to] asks for the rows up to its end and, negative, for those before its start.
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("_sign"), (F.col("_us") + shift).alias("_at"))
+        for kind, sign, shift in (("label", 1, h - 1), ("label", -1, -h), ("feature", 1, -1), ("feature", -1, -w - h - 1))
+    ]))
+    # Rows of equal (on, role, time) ask alike: one asks for all.
+    asks = near.distinct().select(*on, F.col(role).alias("_asker"), "_us", F.col(other).alias("_role"), asked.alias("q")).select("*", "q.*").drop("q")
+    points = rows.groupBy(*on, F.col(role).alias("_role"), F.col("_us").alias("_at")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    stacked = points.unionByName(asks.withColumn("_n", F.lit(0.0)), allowMissingColumns=True)
+    stacked = stacked.withColumn("_time", F.timestamp_micros("_at")).withColumn("_asks", F.col("_asker").isNotNull())
+    counted = running_sum(stacked, [*on, "_role"], "_time", ["_n"], cell_s, ties=["_asks"]).where("_asks")
+    per_row = counted.groupBy(*on, F.col("_asker").alias(role), "_us", F.col("_role").alias(other), "kind").agg(
+        F.sum(F.col("_sign") * F.col("_n_sum")).cast("long").alias("n_other")
+    )
+    return per_row.where("n_other > 0").select(
+        *on, role, from_micros(F.col("_us"), is_ntz(split, time)).alias(time), other, "kind", "n_other"
+    )
+
+
+def overlap_report(found: DataFrame, on: Sequence[str] = (*KEYS, "fold"), role: str = "role", time: str = "open_time") -> DataFrame:
+    """Number and bounds of the offending rows per (on, role, other role, kind)."""
+    return found.groupBy(*on, role, f"other_{role}", "kind").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"),
+        F.max("n_other").alias("most_others"),
+    )

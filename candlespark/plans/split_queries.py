@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from candlespark.operators import gates as G
 from candlespark.operators import metrics as M
 from candlespark.operators import search as S
+from candlespark.operators import sketches as K
 from candlespark.operators import splits as V
 from candlespark.plans.evaluation_queries import EVAL, configs
 from candlespark.plans.feature_queries import _as_of
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, BARS_1D, MONTH, PAIRS, YEAR, bars_1d, bars_1h, pairs
+from candlespark.session import shared_dir
 
 TSS = BARS + """, ix AS (SELECT symbol, open_time, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i,
   count(*) OVER (PARTITION BY symbol) AS n FROM bars),
@@ -66,6 +68,31 @@ def _(spark, sf):
     return V.integrity(V.walk_forward(bars_1d(spark, sf), 0.1, 4, 20, cell_s=YEAR), 5 * 86_400)
 
 
+LEAKS = """{src}, q AS (SELECT * FROM {split}), p AS (
+  SELECT a.{keys}, a.open_time, a.{role}, b.{role} AS other_{role}, count(*) FILTER (WHERE b.open_time > a.open_time - {h} AND b.open_time < a.open_time + {h}) AS label,
+    count(*) FILTER (WHERE b.open_time >= a.open_time - {h} - {w} AND b.open_time < a.open_time) AS feature
+  FROM q a JOIN q b ON {same} AND a.{role} <> b.{role} AND b.open_time BETWEEN a.open_time - {h} - {w} AND a.open_time + {h} GROUP BY ALL),
+l AS (SELECT * FROM (UNPIVOT p ON label, feature INTO NAME kind VALUE n_other) WHERE n_other > 0)"""
+
+
+@query("split_overlaps", f"""
+WITH {LEAKS.format(src=WF.replace('{slide}', '').replace('20', '4'), split="(SELECT * FROM sp WHERE role IS NOT NULL)", keys='symbol, a.fold', role='role', same='a.symbol = b.symbol AND a.fold = b.fold', h='INTERVAL 5 DAY', w='INTERVAL 10 DAY')}
+SELECT symbol, fold, role, other_role, kind, open_time, n_other FROM l""")
+def _(spark, sf):
+    """Folds with a gap of 4 days, outcomes over 5 and features over 10: each row that sees another role's outcomes."""
+    split = V.walk_forward(bars_1d(spark, sf), 0.1, 4, 4, cell_s=YEAR)
+    return V.overlaps(split, 5 * 86_400, 10 * 86_400, cell_s=YEAR)
+
+
+@query("split_overlaps_purged", f"""
+WITH {LEAKS.format(src=WF.replace('{slide}', ''), split="(SELECT * FROM sp WHERE role IS NOT NULL)", keys='symbol, a.fold', role='role', same='a.symbol = b.symbol AND a.fold = b.fold', h='INTERVAL 12 DAY', w='INTERVAL 15 DAY')}
+SELECT symbol, fold, role, other_role, kind, min(open_time) AS first_time, max(open_time) AS last_time, count(*) AS n_rows, max(n_other) AS most_others FROM l GROUP BY ALL""")
+def _(spark, sf):
+    """With the gap of 20 days no outcomes overlap; features of 15 days still reach outcomes of 12."""
+    split = V.walk_forward(bars_1d(spark, sf), 0.1, 4, 20, cell_s=YEAR)
+    return V.overlap_report(V.overlaps(split, 12 * 86_400, 15 * 86_400, cell_s=YEAR))
+
+
 STAGES = PAIRS + """, ends AS (SELECT max(open_time) + INTERVAL 1 MICROSECOND AS z FROM pairs),
 sg AS (SELECT pairs.*, CASE WHEN open_time < z - INTERVAL 14 DAY - INTERVAL 12 HOUR THEN 'inner'
   WHEN open_time >= z - INTERVAL 14 DAY AND open_time < z - INTERVAL 7 DAY - INTERVAL 12 HOUR THEN 'evaluation'
@@ -85,6 +112,14 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"))
 
 
+@query("stage_overlaps", f"""
+WITH {LEAKS.format(src=STAGES, split="(SELECT symbol, open_time, stage FROM sg WHERE stage IS NOT NULL)", keys='symbol', role='stage', same='a.symbol = b.symbol', h='INTERVAL 24 HOUR', w='INTERVAL 6 HOUR')}
+SELECT symbol, stage, other_stage, kind, open_time, n_other FROM l""")
+def _(spark, sf):
+    """Stages 12 hours apart under outcomes of 24 hours: the rows on both sides of each border."""
+    return V.overlaps(_stages(spark, sf), 24 * 3_600, 6 * 3_600, ["symbol"], role="stage", cell_s=MONTH)
+
+
 @query("stage_degradation", f"""
 WITH {STAGES}, m AS (SELECT symbol, stage, avg(abs(y_true - y_pred)) AS mae, corr(y_true, y_pred) AS pearson_r FROM sg WHERE stage IS NOT NULL GROUP BY ALL),
 u AS (SELECT symbol, stage, unnest(['mae', 'pearson_r']) AS metric, unnest([mae, pearson_r]) AS v FROM m),
@@ -230,6 +265,45 @@ def _(spark, sf):
     return G.drift(p.where(F.col("open_time") < cut), p.where(F.col("open_time") >= cut), "y_pred", ["symbol"], 10, -1.0, 1.0)
 
 
+# Cells of ``sketches.cell_of`` at an accuracy of 0.01.
+CELL = """CASE WHEN v = 0 THEN 0 WHEN v IS NULL OR isnan(v) THEN NULL
+  ELSE sign(v) * (ceil(ln(abs(v)) / ln(1.01 / 0.99)) + ceil(746.0 / ln(1.01 / 0.99)) + 1) END::BIGINT"""
+SKETCH = PAIRS + f""", x AS (SELECT symbol, open_time >= TIMESTAMP '2024-01-20' AS live, date_trunc('day', open_time)::TIMESTAMP AS day, unnest(['y_pred', 'y_true']) AS feature, unnest([CASE WHEN hour(open_time) = 3 THEN NULL ELSE y_pred END, y_true]) AS v FROM pairs),
+y AS (SELECT *, {CELL} AS cell FROM x)"""
+
+
+@query("feature_drift_sketched", f"""
+WITH {SKETCH}, o AS (SELECT symbol, feature, cell, count(*) AS o FROM y WHERE NOT live GROUP BY ALL), n AS (SELECT symbol, feature, day, cell, count(*) AS n FROM y WHERE live GROUP BY ALL),
+wd AS (SELECT DISTINCT symbol, feature, day FROM n),
+c AS (SELECT symbol, feature, day, cell, sum(o)::BIGINT AS o, sum(n)::BIGINT AS n FROM (SELECT symbol, feature, day, cell, o, 0 AS n FROM o JOIN wd USING (symbol, feature) UNION ALL SELECT symbol, feature, day, cell, 0, n FROM n) GROUP BY ALL),
+k AS (SELECT *, sum(o) OVER g AS tot_o, sum(n) OVER g AS tot_n, sum(o) OVER u AS co, sum(n) OVER u AS cn FROM c WHERE cell IS NOT NULL WINDOW g AS (PARTITION BY symbol, feature, day), u AS (PARTITION BY symbol, feature, day ORDER BY cell)),
+b AS (SELECT symbol, feature, day, least(floor((co - o) * 10 / tot_o), 9) AS b, tot_o, tot_n, sum(o) AS o, sum(n) AS n, max(abs(co / tot_o - cn / tot_n)) AS gap FROM k GROUP BY ALL),
+q AS (SELECT *, (o + 0.5) / (tot_o + 0.5 * count(*) OVER g) AS so, (n + 0.5) / (tot_n + 0.5 * count(*) OVER g) AS sn FROM b WINDOW g AS (PARTITION BY symbol, feature, day)),
+p AS (SELECT symbol, feature, day, sum((sn - so) * ln(sn / so)) AS psi, max(gap) AS ks FROM q GROUP BY ALL),
+m AS (SELECT symbol, feature, day, sum(o)::BIGINT AS n_train, sum(n)::BIGINT AS n_live, sum(n) FILTER (WHERE cell IS NULL) AS mn, sum(o) FILTER (WHERE cell IS NULL) AS mo FROM c GROUP BY ALL)
+SELECT symbol, feature, day, n_train, n_live, {r('psi', 'ks', 'coalesce(mn, 0) / n_live - coalesce(mo, 0) / n_train AS missing_shift')} FROM p JOIN m USING (symbol, feature, day)""")
+def _(spark, sf):
+    """Live days against the sketch stored with the model: bins of equal training shares, training rows are not read again."""
+    path = shared_dir(spark, "sketches")
+    p = pairs(spark, sf).withColumn("y_pred", F.when(F.hour("open_time") != 3, F.col("y_pred")))
+    cut, names = F.lit("2024-01-20").cast("timestamp_ntz"), ["y_pred", "y_true"]
+    early, late = (p.where(F.col("open_time") < cut).where((F.day("open_time") < 10) == first) for first in (True, False))
+    K.store(K.merged(*[K.sketch(part, ["symbol"], names) for part in (early, late)]), path, "m1")
+    live = p.where(F.col("open_time") >= cut).withColumn("day", F.date_trunc("day", "open_time").cast("timestamp_ntz"))
+    return K.drift(K.stored(spark, path, "m1"), K.sketch(live, ["symbol", "day"], names), ["symbol"], ["day"])
+
+
+@query("sketched_quantiles", f"""
+WITH {SKETCH}, k AS (SELECT symbol, feature, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol, feature) AS n FROM x WHERE v IS NOT NULL WINDOW w AS (PARTITION BY symbol, feature ORDER BY v)),
+s AS (SELECT k.*, s.share::DOUBLE AS share FROM k, (SELECT unnest([0.0, 0.1, 0.5, 0.99]) AS share) s),
+h AS (SELECT *, {CELL} AS cell FROM s WHERE i = greatest(ceil(share * n), 1))
+SELECT symbol, feature, share, {r('CASE WHEN cell = 0 THEN 0.0 ELSE sign(cell) * exp((abs(cell) - ceil(746.0 / ln(1.01 / 0.99)) - 1) * ln(1.01 / 0.99)) * 0.99 END AS value')} FROM h""")
+def _(spark, sf):
+    """Quantiles of the sketches: each stands for the cell of the exact order statistic."""
+    p = pairs(spark, sf).withColumn("y_pred", F.when(F.hour("open_time") != 3, F.col("y_pred")))
+    return K.quantiles(K.sketch(p, ["symbol"], ["y_pred", "y_true"]), ["symbol"], [0.0, 0.1, 0.5, 0.99])
+
+
 @query("model_staleness", """
 WITH m AS (SELECT user_id % 30 AS model_id, max(ts) AS trained_at FROM events WHERE event_type = 'signup' GROUP BY 1), nw AS (SELECT max(ts) AS t FROM events)
 SELECT model_id, trained_at, round((epoch_us(t) - epoch_us(trained_at)) / 86400e6, 6) + 0.0 AS age_days, (epoch_us(t) - epoch_us(trained_at)) / 86400e6 > 0.5 AS stale FROM m, nw""")
