@@ -71,6 +71,19 @@ def folds_for_budget(n_test_rows: int, test_size: int) -> int:
     return max(1, n_test_rows // test_size)
 
 
+def coverage_plan(df: DataFrame, test_share: float, sizes: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, test_size, n_rows, n_test_rows, n_folds, n_covered): folds of each size that test the same span.
+
+    The last ``test_share`` of a group's rows is tested by
+    ``folds_for_budget`` windows; ``n_covered`` is the number of rows in them.
+    """
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    budget = F.floor(F.col("n_rows") * F.lit(test_share)).cast("long")
+    d = n.withColumn("n_test_rows", budget).withColumn("test_size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])))
+    d = d.withColumn("n_folds", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_test_rows") / F.col("test_size")).cast("long")))
+    return d.withColumn("n_covered", F.least(F.col("n_folds") * F.col("test_size"), F.col("n_rows")))
+
+
 def walk_forward(
     df: DataFrame, test_share: float, n_folds: int, gap: int, keys: Sequence[str] = KEYS,
     train_rows: int | None = None, time: str = "open_time", cell_s: int = DAY,

@@ -448,6 +448,15 @@ def _(spark, sf):
     return out.select("symbol", "open_time", "pct_rank")
 
 
+@query("trailing_rank_long", f"""
+WITH {TICKS}, p AS (SELECT *, list(price) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS c FROM ticks)
+SELECT symbol, seq, round(CASE WHEN len(c) = 1000 THEN len(list_filter(c, lambda x: x <= price)) / 1000.0 END, 6) + 0.0 AS pct_rank FROM p""")
+def _(spark, sf):
+    """Share of the last 1,000 prices at or below the newest, from sorted runs."""
+    t = ticks(spark, sf).select("symbol", "ts", "price", "seq")
+    return X.trailing_rank(t, 1_000, "price", time="ts", ties=["seq"]).select("symbol", "seq", "pct_rank")
+
+
 @query("realised_variance", f"""
 WITH {STEPS} SELECT symbol, open_time,
 {r(f"CASE WHEN rn > 24 THEN sum(r * r) OVER {last(24)} END AS realised_var",

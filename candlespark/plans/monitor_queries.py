@@ -154,6 +154,23 @@ def _(spark, sf):
     return E.snapshot_signals(signals).drop("value_text", "details_json")
 
 
+@query("snapshot_inferences", """
+WITH s AS (SELECT user_id % 5 AS topic_id, 'w' || (user_id % 30) AS address, ts, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'click')
+SELECT topic_id, address, 'latest_inference:' || CASE WHEN k % 7 = 0 THEN '' ELSE k::VARCHAR END || ':' || address AS event_id, 'inference' AS event_type, round(value, 6) + 0.0 AS value_num,
+  '{"block_height":' || CASE WHEN k % 7 = 0 THEN 0 ELSE k END || '}' AS details_json, 'snapshot' AS status, ts AS observed_at FROM s""")
+def _(spark, sf):
+    """Newest inferences read beside other signals -> event rows whose ids carry the block."""
+    e = table(spark, sf, "events").where("event_type = 'click'")
+    k = F.get_json_object("props", "$.k").cast("long")
+    none = F.lit(None).cast("double")
+    signals = e.select(
+        (F.col("user_id") % 5).alias("topic_id"), F.concat(F.lit("w"), (F.col("user_id") % 30).cast("string")).alias("address"), F.col("ts").alias("at"),
+        F.col("value").alias("inference"), F.when(k % 7 != 0, k).alias("block_height"), none.alias("score"), none.alias("reward_fraction"),
+        F.lit(None).cast("boolean").alias("whitelisted"), F.lit(None).cast("boolean").alias("can_submit"),
+    )
+    return E.snapshot_signals(signals).drop("value_text")
+
+
 COUNTS = """count(*) AS events_total, count(*) FILTER (WHERE event_type = 'inference') AS inference_count, count(*) FILTER (WHERE event_type = 'reward') AS reward_count,
  count(*) FILTER (WHERE event_type = 'score') AS score_count, count(*) FILTER (WHERE event_type = 'submission' AND status = 'success') AS submission_success,
  count(*) FILTER (WHERE event_type = 'submission' AND status = 'error') AS submission_error, round(coalesce(sum(value_num) FILTER (WHERE event_type = 'reward'), 0), 6) + 0.0 AS rewards_total"""
@@ -292,6 +309,16 @@ def _(spark, sf):
     return E.submission_timeline(monitor_events(spark, sf), _slots(spark, sf), _as_of(spark, sf), deployment=True).drop("extra_data")
 
 
+@query("submission_timeline_extra", f"""
+WITH {TIMELINE.replace('{dep}', '').replace('b.code FROM', "b.code, CASE WHEN b.code = 5 THEN 'x' || b.event_id END AS extra_data FROM")}""")
+def _(spark, sf):
+    """The timeline with the extra data that failed submissions carry."""
+    e = monitor_events(spark, sf)
+    extra = F.concat(F.regexp_replace("details_json", r"\}$", ', "extra_data": "x'), F.col("event_id"), F.lit('"}'))
+    failed = F.get_json_object("details_json", "$.code") == "5"
+    return E.submission_timeline(e.withColumn("details_json", F.when(failed, extra).otherwise(F.col("details_json"))), _slots(spark, sf), _as_of(spark, sf))
+
+
 @query("merged_targets", f"""
 WITH {MONITOR}, cur AS (SELECT topic_id, address, deployed_at, deployment_id, true AS enabled FROM targets WHERE topic_id < 3),
 ch AS (SELECT topic_id, address, deployed_at + INTERVAL 1 DAY AS deployed_at, CASE WHEN topic_id = 2 THEN 'dnew' END AS deployment_id, topic_id <> 4 AS enabled FROM targets WHERE topic_id > 1)

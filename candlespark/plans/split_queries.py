@@ -34,6 +34,15 @@ def _(spark, sf):
     return out.select("symbol", "open_time", "fold", "role")
 
 
+@query("coverage_plan", f"""
+WITH {BARS_1D}, n AS (SELECT symbol, count(*) AS n_rows, floor(count(*) * 0.4)::BIGINT AS n_test_rows FROM bars GROUP BY 1),
+s AS (SELECT *, unnest([30, 60, 90, 100000])::BIGINT AS test_size FROM n), f AS (SELECT *, greatest(1, n_test_rows // test_size) AS n_folds FROM s)
+SELECT *, least(n_folds * test_size, n_rows) AS n_covered FROM f""")
+def _(spark, sf):
+    """Numbers of folds that keep the tested span the same for test windows of several sizes."""
+    return V.coverage_plan(bars_1d(spark, sf), 0.4, [30, 60, 90, 100_000])
+
+
 WF = BARS_1D + """, ix AS (SELECT symbol, open_time, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i,
   count(*) OVER (PARTITION BY symbol) AS n FROM bars),
 fd AS (SELECT *, unnest(range(4)) AS fold, floor(n * 0.1)::BIGINT AS t FROM ix), b AS (SELECT *, n - (4 - fold) * t AS lo FROM fd),
