@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlespark.functions.safe import ln
 from candlespark.operators import gates as G
 from candlespark.operators import metrics as M
 from candlespark.operators import search as S
 from candlespark.operators import sketches as K
 from candlespark.operators import splits as V
+from candlespark.operators.blocks import over_blocks
 from candlespark.plans.evaluation_queries import EVAL, configs
 from candlespark.plans.feature_queries import _as_of
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, BARS_1D, MONTH, PAIRS, YEAR, bars_1d, bars_1h, pairs
-from candlespark.session import shared_dir
+from candlespark.session import cut_lineage, shared_dir
 
 TSS = BARS + """, ix AS (SELECT symbol, open_time, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i,
   count(*) OVER (PARTITION BY symbol) AS n FROM bars),
@@ -193,6 +195,60 @@ def _near_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+# A grid of predictors on the bars: minus ``scale`` times the return over ``lag`` bars, at most ``cap`` in size.
+PREDICTORS = {"lag": [1, 2, 4], "scale": [0.1, 0.3, 1.0], "cap": [0.2, 0.5, 5.0]}
+SCORED = BARS + """, g AS (SELECT * FROM (SELECT unnest([1, 2, 4]) AS lag), (SELECT unnest([0.1, 0.3, 1.0])::DOUBLE AS scale), (SELECT unnest([0.2, 0.5, 5.0])::DOUBLE AS cap)),
+st AS (SELECT symbol, open_time, ln(lead(close) OVER w) - ln(close) AS y, ln(close) - ln(lag(close, 1) OVER w) AS s1, ln(close) - ln(lag(close, 2) OVER w) AS s2, ln(close) - ln(lag(close, 4) OVER w) AS s4
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+pr AS (SELECT lag, scale, cap, y, least(greatest(-scale * CASE lag WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s4 END, -cap), cap) AS p FROM st, g WHERE y IS NOT NULL AND s4 IS NOT NULL),
+gr AS (SELECT lag, scale, cap, count(*) AS n_samples, sqrt(sum(abs(y) * (y - p) ** 2) / sum(abs(y))) AS wm, sqrt(sum(abs(y) ** 3) / sum(abs(y))) AS wb FROM pr GROUP BY ALL),
+sc AS (SELECT 'lag' || lag || '-scale' || scale || '-cap' || cap AS config, lag, scale, cap, n_samples, round((wb - wm) / wb, 9) AS score FROM gr)"""
+
+
+def _scored(spark, sf):
+    """Each configuration of the grid with the graded report of its predictions."""
+
+    def columns(d, w):
+        step = {k: ln("close") - ln(F.lag("close", k).over(w)) for k in PREDICTORS["lag"]}
+        return d.select("*", (ln(F.lead("close").over(w)) - ln("close")).alias("y_true"), *[c.alias(f"s{k}") for k, c in step.items()])
+
+    d = over_blocks(bars_1h(spark, sf).select("symbol", "open_time", "close"), ["symbol"], "open_time", 4, 1, columns, cell_s=MONTH)
+    d = d.where("y_true IS NOT NULL AND s4 IS NOT NULL")
+    for name, values in PREDICTORS.items():
+        d = d.withColumn(name, F.explode(F.array(*[F.lit(x) for x in values])))
+    step = F.coalesce(*[F.when(F.col("lag") == k, F.col(f"s{k}")) for k in PREDICTORS["lag"]])
+    pred = F.least(F.greatest(-F.col("scale") * step, -F.col("cap")), F.col("cap"))
+    names = [x for n in PREDICTORS for x in (F.lit(f"-{n}" if n != "lag" else n), F.col(n).cast("string"))]
+    runs = d.select(F.concat(*names).alias("config"), *PREDICTORS, "symbol", "open_time", "y_true", pred.alias("y_pred"))
+    report = M.evaluate(runs, ["config", *PREDICTORS], cell_s=MONTH // 30, pool=["symbol"])
+    return report.withColumn("score", F.round("wrmse_improvement", 9))
+
+
+@query("graded_grid", f"WITH {SCORED} SELECT config, lag, scale, cap, n_samples, {r('score')} FROM sc")
+def _(spark, sf):
+    """A grid of predictors, each scored by its report over all symbols."""
+    return _scored(spark, sf).select("config", *PREDICTORS, "n_samples", "score")
+
+
+@query("graded_grid_ranges", f"""
+WITH {SCORED}, q AS (SELECT *, percent_rank() OVER (ORDER BY score DESC) AS k FROM sc),
+u AS (SELECT unnest(['lag', 'scale', 'cap']) AS param, unnest([lag, scale, cap]::DOUBLE[]) AS v FROM q WHERE k <= 0.2)
+SELECT param, {r('min(v) AS low', 'max(v) AS high')}, count(*) AS n FROM u GROUP BY 1""")
+def _(spark, sf):
+    """Parameter ranges of the best fifth by reported improvement."""
+    return S.narrow(_scored(spark, sf), "score", list(PREDICTORS))
+
+
+@query("graded_grid_sensitivity", f"""
+WITH {SCORED}, ix AS (SELECT *, list_position([1, 2, 4], lag) AS il, list_position([0.1, 0.3, 1.0]::DOUBLE[], scale) AS is_, list_position([0.2, 0.5, 5.0]::DOUBLE[], cap) AS ic FROM sc),
+nb AS (SELECT a.config, CASE WHEN a.il <> b.il THEN 'lag' WHEN a.is_ <> b.is_ THEN 'scale' ELSE 'cap' END AS param, a.score - b.score AS d
+  FROM ix a JOIN ix b ON abs(a.il - b.il) + abs(a.is_ - b.is_) + abs(a.ic - b.ic) = 1)
+SELECT config, param, {r('max(d) AS worst_drop')}, count(*) AS n_neighbours FROM nb GROUP BY ALL""")
+def _(spark, sf):
+    """Worst drop of the reported improvement one grid step away."""
+    return S.sensitivity(cut_lineage(_scored(spark, sf).select("config", *PREDICTORS, "score"), "grid"), "score", PREDICTORS, "config")
+
+
 @query("parameter_sensitivity", f"WITH {RESULTS}, nb AS ({_near_sql()}) SELECT config, param, {r('wd AS worst_drop')}, k AS n_neighbours FROM nb")
 def _(spark, sf):
     """Worst score drop one grid step away."""

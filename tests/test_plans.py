@@ -18,7 +18,7 @@ JOINS = [
     "asof_external", "backfill_plan", "calibration_bins", "cross_asset_features", "densify_linear", "event_ingest_counts",
     "events_to_deployments", "excess_target", "feature_drift", "latest_inference", "live_features", "merged_targets", "param_grid",
     "parameter_sensitivity", "period_metrics", "regime_gate", "resample_live_15m", "source_alignment", "spearman_correlation",
-    "submission_timeline", "time_series_split", "train_only_scaling", "truncation_audit", "zptae_improvement",
+    "feature_drift_sketched", "graded_grid", "split_overlaps", "stage_overlaps", "submission_timeline", "time_series_split", "train_only_scaling", "truncation_audit", "zptae_improvement",
 ]
 
 
