@@ -82,16 +82,27 @@ def _(spark, sf):
     return leaderboard(reports.select("config", "symbol", "num_passed", "score", "directional_accuracy", "mae", "grade"), "config")
 
 
+def _ablation(spark, sf):
+    rows = _training(spark, sf).where("target IS NOT NULL")
+    split = time_series_split(rows, 1, gap=N + 1, cell_s=MONTH)
+    preds = ML.ablation(split, FEATURES, "target", {"maxDepth": 2, "maxIter": 3}, ["symbol"])
+    return preds.groupBy("dropped", "symbol").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"), F.count("y_pred").alias("n"))
+
+
 @query("model_feature_ablation", f"""
 WITH {FOLDS.replace('{k}', '1')} SELECT f.dropped, symbol, count(*) AS n, true AS scored
 FROM tests, (SELECT unnest({['none', *FEATURES]!r}) AS dropped) AS f GROUP BY ALL""")
 def _(spark, sf):
     """Errors with each feature left out in turn."""
-    rows = _training(spark, sf).where("target IS NOT NULL")
-    split = time_series_split(rows, 1, gap=N + 1, cell_s=MONTH)
-    preds = ML.ablation(split, FEATURES, "target", {"maxDepth": 2, "maxIter": 3}, ["symbol"])
-    errors = preds.groupBy("dropped", "symbol").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"), F.count("y_pred").alias("n"))
-    return errors.select("dropped", "symbol", "n", (F.col("mae") < 10).alias("scored"))
+    return _ablation(spark, sf).select("dropped", "symbol", "n", (F.col("mae") < 10).alias("scored"))
+
+
+@query("model_ablation_errors")
+def _(spark, sf):
+    """The mean absolute error without each feature, and how far it lies above the error with all of them."""
+    errors = cut_lineage(_ablation(spark, sf), "ablation")
+    whole = errors.where("dropped = 'none'").select("symbol", F.col("mae").alias("mae_with_all"))
+    return errors.join(whole, "symbol").withColumn("rise", F.col("mae") - F.col("mae_with_all"))
 
 
 @query("model_live_prices", f"""
