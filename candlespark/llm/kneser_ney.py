@@ -1,20 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as
 sorted hash arrays, memory-mapped by the workers that score.
 
-Three sweeps over the text, each without a shuffle of rows per token:
-
-1. ``_pairs``: every task packs the distinct word pairs it sees, cut by hash
-   range; one task per range merges them into a sorted array with counts.
-2. ``_vocabulary``: with the pair counts mapped, every occurrence of (v, w)
-   gives 1 / count to the continuation count of w and to the follower classes
-   of v, so each distinct pair counts exactly once; merged by hash range.
-3. ``score``: both arrays are mapped and searched with sorted queries.
-
-The arrays live in the shared folder, one file per hash range, and grow with
-the corpus; a worker's own memory does not, since mapped pages belong to the
-file.  Files are written under a temporary name and renamed, so a lost or
-repeated task leaves the same bytes.  A store that cannot be mapped is copied
-range by range into unlinked scratch files.
+A model of order n takes n + 1 sweeps over the text, each without a shuffle of
+rows per token:
+
+1. The n-grams: every task packs the distinct ones it sees, cut by hash range;
+   one task per range merges them into a sorted array with counts.
+2. Each level below, from n - 1 down to single words: with the level above
+   mapped, every occurrence of a gram (u, ..., w) gives 1 / count to the
+   continuation count of its last words and to the follower classes of its
+   first words, so each distinct gram counts exactly once; merged by hash range.
+3. ``score``: the arrays of all levels are mapped and searched with sorted queries.
+
+The n-grams of a text begin with n - 1 begin marks.  The arrays live in the
+shared folder, one file per level and hash range, and grow with the corpus; a
+worker's own memory does not, since mapped pages belong to the file.  Hashes
+lie together and aligned, so a search touches a few pages and copies nothing.
+Counts take a byte, larger ones (of any size up to 2^53) a row in a side table.
+Files are written under a temporary name and renamed, so a lost or repeated
+task leaves the same bytes.  A store that cannot be mapped is copied range by
+range into unlinked scratch files.
 
 Defined results: null text is an empty text, whose only token is the end;
 with no training text every score is that of an empty vocabulary (uniform over
@@ -24,6 +29,7 @@ of the way because only the id and the text are read.
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import os
 import tempfile
@@ -43,14 +49,19 @@ from candlespark.session import shared_dir
 
 #: Hashes of the marks before the first and after the last word.
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
-#: Text bytes per hash range: bounds the arrays that one merging task holds.
+#: Words of a gram at the highest level.
+ORDER = 3
+#: Text bytes per hash range and word of context: bounds the arrays that one merging task holds.
 RANGE_BYTES = 24 << 20
-#: Pairs that a task gathers before it packs them.
+#: Grams that a task gathers before it packs them.
 GATHER = 1 << 20
 SWEEP_BYTES = 1 << 20
 
-PAIR = np.dtype([("hash", "<u8"), ("n", "<u4")])
-WORD = np.dtype([("hash", "<u8"), ("n", "<f8"), ("n1", "<f8"), ("n2", "<f8"), ("n3", "<f8"), ("cont", "<f8")])
+#: What a level keeps of a gram: how often it ends at a token, in how many ways it goes on to the left, and as a context
+#: the sum of its followers' counts and how many of them have the counts 1, 2 and more.  The highest level has ``raw`` alone.
+FIELDS = ["raw", "cont", "total", "n1", "n2", "n3"]
+#: A count of this size or more is kept in the side table.
+WIDE = 255
 
 
 @dataclass
@@ -59,16 +70,21 @@ class Model:
 
     folder: str
     ranges: int
-    written: dict[str, set[int]] = field(default_factory=dict)  #: by table, the ranges that hold anything
+    order: int = ORDER
+    written: dict[int, set[int]] = field(default_factory=dict)  #: by level, the ranges that hold anything
     tokens: int = 0  #: training tokens, ends included
     vocabulary: int = 0  #: distinct training tokens
-    texts: int = 0
-    begin: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])  #: follower classes of the begin mark
-    pair_discounts: list[float] = field(default_factory=lambda: [0.5, 0.5, 0.5])
-    word_discounts: list[float] = field(default_factory=lambda: [0.5, 0.5, 0.5])
+    discounts: dict[int, list[float]] = field(default_factory=dict)  #: by level
     continuations: float = 0.0  #: distinct pairs
     spare: float = 1.0  #: mass that the unigram level leaves to the uniform distribution
 
+    def fields(self, level: int) -> list[str]:
+        return FIELDS[:1] if level == self.order else FIELDS
+
+    def counted(self, level: int) -> str:
+        """The field that the level's probabilities come from."""
+        return "raw" if level == self.order else "cont"
+
 
 def discounts(n: list[float]) -> list[float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more from the numbers of types seen 1 to 4 times."""
@@ -92,59 +108,91 @@ def _plain(path: str) -> str | None:
     return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else None
 
 
-def _put(path: str, data: np.ndarray) -> None:
+def _put(path: str, arrays: list[np.ndarray]) -> None:
     plain = _plain(path)
     if plain is None:
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_output_stream(at) as out:
-            out.write(data.tobytes())
+            for data in arrays:
+                out.write(data.tobytes())
         return
     os.makedirs(os.path.dirname(plain), exist_ok=True)
     part = f"{plain}.{uuid.uuid4().hex}"
     with open(part, "wb") as out:
-        data.tofile(out)
+        for data in arrays:
+            data.tofile(out)
     os.replace(part, plain)
 
 
-def _map(path: str, kind: np.dtype) -> np.ndarray:
-    """The array in ``path``, memory-mapped; a file that should be there and isn't is an error."""
+def _put_rows(path: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Two lengths, ascending hashes, then the side table (hashes, eight-byte counts), then a byte per count."""
+    wide = np.flatnonzero((counts >= WIDE).any(axis=1))
+    small = np.minimum(counts, WIDE).astype(np.uint8)
+    head = np.array([len(keys), len(wide)], np.uint64)
+    _put(path, [head, keys, keys[wide], np.ascontiguousarray(counts[wide].T.astype(np.uint64)), np.ascontiguousarray(small.T)])
+
+
+def _map(path: str) -> np.ndarray:
+    """The bytes of ``path``, memory-mapped; a file that should be there and isn't is an error."""
     plain = _plain(path)
     if plain is not None:
-        return np.memmap(plain, kind, "r")
+        return np.memmap(plain, np.uint8, "r")
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
     with tempfile.TemporaryFile() as scratch, fs.open_input_stream(at) as stream:
         while block := stream.read(8 << 20):
             scratch.write(block)
         scratch.flush()
-        return np.frombuffer(mmap.mmap(scratch.fileno(), 0, access=mmap.ACCESS_READ), kind)
+        return np.frombuffer(mmap.mmap(scratch.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+
+
+class Rows:
+    """One range of a level: views into its mapped file."""
+
+    def __init__(self, raw: np.ndarray, width: int):
+        n, w = raw[:16].view(np.uint64).tolist()
+        ends = np.cumsum([16, 8 * n, 8 * w, 8 * w * width, n * width]).tolist()
+        self.hash, self.wide_hash = raw[ends[0] : ends[1]].view(np.uint64), raw[ends[1] : ends[2]].view(np.uint64)
+        self.wide = raw[ends[2] : ends[3]].view(np.uint64).reshape(width, w)
+        self.small = raw[ends[3] : ends[4]].reshape(width, n)
+
+    def find(self, keys: np.ndarray, columns: list[int], out: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(self.hash, keys), len(self.hash) - 1)
+        here = np.flatnonzero(self.hash[at] == keys)
+        for o, c in zip(out, columns, strict=True):
+            o[here] = self.small[c][at[here]]
+            large = here[o[here] == WIDE]
+            o[large] = self.wide[c][np.searchsorted(self.wide_hash, keys[large])]
 
 
 class Arrays:
-    """The ranges of one table, mapped when first asked for."""
+    """The ranges of one level, mapped when first asked for."""
 
-    def __init__(self, model: Model, name: str, kind: np.dtype):
-        self.model, self.name, self.kind, self.open = model, name, kind, {}
+    def __init__(self, model: Model, level: int):
+        self.model, self.level, self.open = model, level, {}
+        self.edges = _edges(model.ranges)
 
-    def part(self, k: int) -> np.ndarray:
+    def part(self, k: int) -> Rows:
         if k not in self.open:
-            path = f"{self.model.folder}/{self.name}-{k:06d}"
-            self.open[k] = _map(path, self.kind) if k in self.model.written[self.name] else np.empty(0, self.kind)
+            self.open[k] = Rows(_map(_path(self.model, self.level, k)), len(self.model.fields(self.level)))
         return self.open[k]
 
-    def find(self, keys: np.ndarray, columns: list[str]) -> list[np.ndarray]:
-        """The columns at ascending ``keys``; 0 where a key is absent."""
-        out = [np.zeros(len(keys)) for _ in columns]
-        edges = np.searchsorted(keys, _edges(self.model.ranges)).tolist() + [len(keys)]
-        for k in range(self.model.ranges):
-            a, b = edges[k], edges[k + 1]
-            if a < b and len(part := self.part(k)):
-                at = np.minimum(np.searchsorted(part["hash"], keys[a:b]), len(part) - 1)
-                hit = part["hash"][at] == keys[a:b]
-                for o, c in zip(out, columns, strict=True):
-                    o[a:b] = np.where(hit, part[c][at], 0)
+    def find(self, keys: np.ndarray, columns: list[str]) -> np.ndarray:
+        """The columns at ascending ``keys``, a row for each column; 0 where a key is absent."""
+        out = np.zeros((len(columns), len(keys)))
+        places = [self.model.fields(self.level).index(c) for c in columns]
+        # Only ranges that some key falls into are looked at, however many there are.
+        of = np.searchsorted(self.edges, keys, "right") - 1
+        starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        for a, b in itertools.pairwise([*starts, len(keys)]):
+            if (k := int(of[a])) in self.model.written[self.level]:
+                self.part(k).find(keys[a:b], places, out[:, a:b])
         return out
 
 
+def _path(model: Model, level: int, part: int) -> str:
+    return f"{model.folder}/level{level}-{part:06d}"
+
+
 def _edges(ranges: int) -> np.ndarray:
     """The lowest hash of each range."""
     return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
@@ -189,32 +237,47 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # --- the tokens of a text ---------------------------------------------------
 
 
-def _pairs_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word hash of every token, ends included; the document of each; and the hash of the pair."""
+@dataclass
+class Grams:
+    """Hashes of the grams that end at each token and, by level, of the contexts before it; the document of each token."""
+
+    ending: dict[int, np.ndarray]
+    before: dict[int, np.ndarray]
+    doc: np.ndarray
+
+
+def _grams_of(w: Words, order: int) -> Grams:
     n = np.diff(w.first)
     docs = len(n)
     last = np.cumsum(n + 1) - 1
+    starts = np.concatenate([[0], last[:-1] + 1])
     word = np.empty(len(w) + docs, np.uint64)
     own = np.ones(len(word), bool)
     own[last] = False
     word[own], word[last] = w.hash, END
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.concatenate([[0], last[:-1] + 1])] = BEGIN
-    return context, word, np.repeat(np.arange(docs), n + 1), mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    begin = np.array([BEGIN])
+    ending, before = {1: word}, {}
+    for k in range(1, order):
+        before[k] = np.empty_like(word)
+        before[k][1:] = ending[k][:-1]
+        before[k][starts] = begin
+        ending[k + 1] = mix(before[k] * step + word)
+        begin = mix(begin * step + BEGIN)
+    return Grams(ending, before, np.repeat(np.arange(docs), n + 1))
 
 
 def _learned(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(batch.column("learn"))
 
 
-def _sweeps(batches, only_learned: bool):
+def _sweeps(batches, order: int, only_learned: bool):
     t = tables()
     for batch in batches:
         if only_learned:
             batch = _learned(batch)
         for a, b, data, bounds in runs(batch.column("text"), SWEEP_BYTES):
-            yield batch, a, b, _pairs_of(words(data, bounds, t))
+            yield batch, a, b, _grams_of(words(data, bounds, t), order)
 
 
 def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) -> DataFrame:
@@ -244,7 +307,8 @@ def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) ->
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["part", "sums"])
 
-    parts = packed.repartition(ranges, "part").sortWithinPartitions("part")
+    # Each range is a task of its own.
+    parts = packed.repartitionById(ranges, "part").sortWithinPartitions("part")
     return parts.mapInArrow(merge, "part int, sums array<double>")
 
 
@@ -254,79 +318,83 @@ def _total(report: DataFrame, width: int) -> tuple[list[float], set[int]]:
     return [float(x or 0) for x in row[:width]], set(row["parts"])
 
 
-def train(docs: DataFrame, learn: str = "learn") -> Model:
+def train(docs: DataFrame, learn: str = "learn", order: int = ORDER) -> Model:
     """Count ``docs`` (columns text and the boolean ``learn``) and write the arrays."""
+    if order < 2:
+        raise ValueError("an n-gram model has an order of 2 or more")
     docs = docs.select("text", F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = Model(shared_dir(docs.sparkSession, "kneser-ney"), max(2, -(-size // RANGE_BYTES)))
-    folder, ranges = model.folder, model.ranges
+    model = Model(shared_dir(docs.sparkSession, "kneser-ney"), max(2, -(-size * (order - 1) // RANGE_BYTES)), order)
+    ranges = model.ranges
+
+    def put(level):
+        fields, counted = model.fields(level), model.fields(level).index(model.counted(level))
+
+        def write(part, keys, values):
+            counts = np.rint(values).astype(np.int64)
+            _put_rows(_path(model, level, part), keys, counts)
+            seen = counts[counts[:, 0] > 0]
+            classes = [float((seen[:, counted] == k).sum()) for k in (1, 2, 3, 4)]
+            return [*classes, float((seen[:, counted] > 2).sum()), float(len(seen)), float(seen[:, 0].sum())]
 
-    def pairs(batches):
+        return write, len(fields)
+
+    def grams(batches):
         held, n = [], 0
-        for _, _, _, (_, _, _, pair) in _sweeps(batches, True):
-            held.append(pair)
-            n += len(pair)
+        for _, _, _, g in _sweeps(batches, order, True):
+            held.append(g.ending[order])
+            n += len(held[-1])
             if n >= GATHER:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                yield from _blocks(keys, counts.astype(np.uint32), ranges)
+                yield from _blocks(keys, counts.astype(np.uint64), ranges)
                 held, n = [], 0
         if held:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from _blocks(keys, counts.astype(np.uint32), ranges)
-
-    def put_pairs(part, keys, values):
-        rows = np.empty(len(keys), PAIR)
-        rows["hash"], rows["n"] = keys, values[:, 0]
-        _put(f"{folder}/pair-{part:06d}", rows)
-        return [float((rows["n"] == k).sum()) for k in (1, 2, 3, 4)] + [float(len(keys))]
-
-    packed = docs.mapInArrow(pairs, "part int, block binary")
-    of_counts, model.written["pair"] = _total(_merged(packed, ranges, put_pairs, np.dtype("<u4"), 1), 5)
-    model.pair_discounts, model.continuations = discounts(of_counts[:4]), of_counts[4]
-
-    def vocabulary(batches):
-        # One row per token as a word (count, continuation) and one as a context (follower classes).
-        found = Arrays(model, "pair", PAIR)
-        held_k, held_v, n = [], [], 0
-        for _, _, _, (context, word, _, pair) in _sweeps(batches, True):
-            order = np.argsort(pair, kind="stable")
-            share = 1 / np.maximum(found.find(pair[order], ["n"])[0], 1)
-            context, word = context[order], word[order]
-            rows = np.zeros((2 * len(word), 5))
-            rows[: len(word), 0], rows[: len(word), 4] = 1, share
-            for k, hit in ((1, share > 0.75), (2, (share > 0.4) & (share < 0.75)), (3, share < 0.4)):
-                rows[len(word) :, k] = np.where(hit, share, 0)
-            keys, rows = _summed(np.concatenate([word, context]), rows)
-            held_k.append(keys)
-            held_v.append(rows)
-            n += len(keys)
-            if n >= GATHER // 2:
+            yield from _blocks(keys, counts.astype(np.uint64), ranges)
+
+    write, width = put(order)
+    packed = docs.mapInArrow(grams, "part int, block binary")
+    sums, model.written[order] = _total(_merged(packed, ranges, write, np.dtype("<u8"), width), 7)
+    model.discounts[order], pairs = discounts(sums[:4]), sums[5]
+
+    def below(level):
+        # One row per token as a gram of ``level`` (count, continuation) and one as a context (followers).
+        def shares(batches):
+            above, counted = Arrays(model, level + 1), model.counted(level + 1)
+            held_k, held_v, n = [], [], 0
+            for _, _, _, g in _sweeps(batches, order, True):
+                rank = np.argsort(g.ending[level + 1], kind="stable")
+                raw, value = above.find(g.ending[level + 1][rank], ["raw", counted])
+                share = 1 / np.maximum(raw, 1)
+                gram, context = g.ending[level][rank], g.before[level][rank]
+                rows = np.zeros((2 * len(gram), len(FIELDS)))
+                rows[: len(gram), 0], rows[: len(gram), 1] = 1, share
+                rows[len(gram) :, 2] = share * value
+                for k, hit in ((3, value == 1), (4, value == 2), (5, value > 2)):
+                    rows[len(gram) :, k] = np.where(hit, share, 0)
+                keys, rows = _summed(np.concatenate([gram, context]), rows)
+                held_k.append(keys)
+                held_v.append(rows)
+                n += len(keys)
+                if n >= GATHER // 2:
+                    yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
+                    held_k, held_v, n = [], [], 0
+            if held_k:
                 yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
-                held_k, held_v, n = [], [], 0
-        if held_k:
-            yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
-
-    def put_words(part, keys, values):
-        rows = np.empty(len(keys), WORD)
-        rows["hash"] = keys
-        for k, name in enumerate(("n", "n1", "n2", "n3", "cont")):
-            rows[name] = np.rint(values[:, k])
-        _put(f"{folder}/word-{part:06d}", rows)
-        begin = rows[rows["hash"] == BEGIN]
-        seen = rows[rows["n"] > 0]
-        classes = [float((np.rint(seen["cont"]) == k).sum()) for k in (1, 2, 3, 4)]
-        more = float((seen["cont"] > 2.5).sum())
-        marks = [float(begin[c].sum()) for c in ("n1", "n2", "n3")]
-        texts = float(seen["n"][seen["hash"] == END].sum())
-        return [float(seen["n"].sum()), float(len(seen)), *classes, more, *marks, texts]
-
-    packed = docs.mapInArrow(vocabulary, "part int, block binary")
-    sums, model.written["word"] = _total(_merged(packed, ranges, put_words, np.dtype("<f8"), 5), 11)
-    model.tokens, model.vocabulary = round(sums[0]), round(sums[1])
-    model.word_discounts = d = discounts(sums[2:6])
-    if model.continuations:
-        model.spare = (d[0] * sums[2] + d[1] * sums[3] + d[2] * sums[6]) / model.continuations
-    model.begin, model.texts = sums[7:10], round(sums[10])
+
+        return shares
+
+    for level in range(order - 1, 0, -1):
+        write, width = put(level)
+        packed = docs.mapInArrow(below(level), "part int, block binary")
+        sums, model.written[level] = _total(_merged(packed, ranges, write, np.dtype("<f8"), width), 7)
+        model.discounts[level] = discounts(sums[:4])
+        if level == 2:
+            pairs = sums[5]
+    model.vocabulary, model.tokens, model.continuations = round(sums[5]), round(sums[6]), pairs
+    d = model.discounts[1]
+    if pairs:
+        model.spare = (d[0] * sums[0] + d[1] * sums[1] + d[2] * sums[4]) / pairs
     return model
 
 
@@ -337,26 +405,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def scored(batches):
-        pair_of, word_of = Arrays(model, "pair", PAIR), Arrays(model, "word", WORD)
+        levels = {k: Arrays(model, k) for k in range(1, model.order + 1)}
         total, kinds = model.tokens, model.vocabulary
-        uniform = 1 / (kinds + 1)
-        for batch, a, b, (context, word, doc, pair) in _sweeps(batches, False):
-            order = np.argsort(pair, kind="stable")
-            c = np.empty(len(pair))
-            c[order] = pair_of.find(pair[order], ["n"])[0]
-            own, at = np.unique(np.concatenate([word, context]), return_inverse=True)
-            n, n1, n2, n3, cont = word_of.find(own, ["n", "n1", "n2", "n3", "cont"])
-            d = model.word_discounts
-            lower = model.spare * uniform
-            if model.continuations:
-                lower = lower + np.maximum(cont - discount_of(cont, d), 0) / model.continuations
-            lower = np.broadcast_to(lower, n.shape)
-            d = model.pair_discounts
-            follows = np.where(own == BEGIN, model.texts, n)
-            left = np.where(follows > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(follows, 1), 1.0)
-            w, v = at[: len(word)], at[len(word) :]
-            p = np.maximum(c - discount_of(c, d), 0) / np.maximum(follows[v], 1) + left[v] * lower[w]
-            base = np.log10((n[w] + 0.5) / (total + 0.5 * (kinds + 1)))
+        for batch, a, b, g in _sweeps(batches, model.order, False):
+            doc, many = g.doc, len(g.doc)
+            for k, arrays in levels.items():
+                d = model.discounts[k]
+                if k == model.order:
+                    rank = np.argsort(g.ending[k], kind="stable")
+                    count = np.empty(many)
+                    count[rank] = arrays.find(g.ending[k][rank], ["raw"])[0]
+                else:
+                    own, at = np.unique(np.concatenate([g.ending[k], g.before[k]]), return_inverse=True)
+                    raw, cont, *context = arrays.find(own, FIELDS)
+                    count = cont[at[:many]]
+                if k == 1:
+                    n = raw[at[:many]]
+                    p = np.full(many, model.spare / (kinds + 1))
+                    if model.continuations:
+                        p += np.maximum(count - discount_of(count, d), 0) / model.continuations
+                else:
+                    follows = np.maximum(before, 1)
+                    left = np.where(before > 0, (d[0] * ones + d[1] * twos + d[2] * more) / follows, 1.0)
+                    p = np.maximum(count - discount_of(count, d), 0) / follows + left * p
+                if k < model.order:
+                    before, ones, twos, more = (x[at[many:]] for x in context)
+            base = np.log10((n + 0.5) / (total + 0.5 * (kinds + 1)))
             rows = b - a
             count = np.bincount(doc, minlength=rows)
             logp = np.bincount(doc, np.log10(p), rows)
@@ -366,7 +440,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     some.column("doc_id").cast(pa.int64()),
                     some.column("learn"),
                     pa.array(count, pa.int64()),
-                    pa.array(np.bincount(doc, n[w] > 0, rows).astype(np.int64)),
+                    pa.array(np.bincount(doc, n > 0, rows).astype(np.int64)),
                     pa.array(np.full(rows, total, np.int64)),
                     pa.array(np.bincount(doc, base, rows)),
                     pa.array(logp),

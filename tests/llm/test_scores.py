@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,40 +20,41 @@ def tokens(text):
     return [*(text or "").encode().translate(LOW).split(), "end"]
 
 
-def brute_scores(texts, learned):
-    pairs, single = Counter(), Counter()
+def brute_scores(texts, learned, order=kneser_ney.ORDER):
+    """Counts of whole tuples of words; a text begins with order - 1 begin marks."""
+    marks = ["begin"] * (order - 1)
+    counts = {order: Counter()}
+    single = Counter()
     for t in learned:
-        before = "begin"
-        for w in tokens(t):
-            pairs[before, w] += 1
-            single[w] += 1
-            before = w
+        words = marks + tokens(t)
+        counts[order].update(tuple(words[i : i + order]) for i in range(len(tokens(t))))
+        single.update(tokens(t))
+    for k in range(order - 1, 0, -1):  # distinct longer grams that end so
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
     n, v = sum(single.values()), len(single)
-    context, follow, cont = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), c in pairs.items():
-        context[a] += c
-        follow[a][min(c, 3) - 1] += 1
-        cont[b] += 1
-    classes = [Counter(pairs.values()), Counter(cont.values())]
-    high, low = (kneser_ney.discounts([c[k] for k in (1, 2, 3, 4)]) for c in classes)
-    off = lambda c, d: d[min(c, 3) - 1] if c else 0
-    spare = sum(off(c, low) for c in cont.values()) / len(pairs) if pairs else 1.0
-
-    def p(a, b):
-        lower = (max(cont[b] - off(cont[b], low), 0) / len(pairs) if pairs else 0) + spare / (v + 1)
-        if not context[a]:
-            return lower
-        c = pairs[a, b]
-        return max(c - off(c, high), 0) / context[a] + sum(x * y for x, y in zip(high, follow[a], strict=True)) / context[a] * lower
+    off = {k: kneser_ney.discounts([Counter(c.values())[i] for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+    context, follow = Counter(), defaultdict(lambda: [0, 0, 0])
+    for c in counts.values():
+        for g, m in c.items():
+            context[g[:-1]] += m
+            follow[g[:-1]][min(m, 3) - 1] += 1
+
+    def p(gram):
+        if not gram:
+            return 1 / (v + 1)
+        k, before = len(gram), gram[:-1]
+        if not context[before]:
+            return p(gram[1:])
+        m = counts[k][gram]
+        left = sum(x * y for x, y in zip(off[k], follow[before], strict=True)) / context[before]
+        return max(m - (off[k][min(m, 3) - 1] if m else 0), 0) / context[before] + left * p(gram[1:])
 
     out = []
     for t in texts:
-        before, total, plain, known = "begin", 0.0, 0.0, 0
-        for w in tokens(t):
-            total += math.log10(p(before, w))
-            plain += math.log10((single[w] + 0.5) / (n + 0.5 * (v + 1)))
-            known += single[w] > 0
-            before = w
+        words = marks + tokens(t)
+        total = sum(math.log10(p(tuple(words[i : i + order]))) for i in range(len(tokens(t))))
+        plain = sum(math.log10((single[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+        known = sum(single[w] > 0 for w in tokens(t))
         out.append((len(tokens(t)), known, n, pytest.approx(plain, rel=1e-9), pytest.approx(total, rel=1e-9)))
     return out
 
@@ -68,6 +70,31 @@ def test_scores_by_brute_force(spark):
     assert sum(g.score for g in got if g.held_out) > sum(g.base_score for g in got if g.held_out)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_any_order(spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 50_000)
+    monkeypatch.setattr(kneser_ney, "WIDE", 5)
+    docs = table(spark, SMALL, "documents").select("doc_id", "text", (F.col("doc_id") % 4 != 1).alias("learn")).orderBy("doc_id").limit(60)
+    rows = docs.collect()
+    want = brute_scores([r.text for r in rows], [r.text for r in rows if r.learn], order)
+    got = kneser_ney.score(docs, kneser_ney.train(docs, order=order)).orderBy("doc_id").collect()
+    assert [(g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got] == want
+
+
+def test_counts_beyond_a_byte(tmp_path):
+    """Every count comes back, whatever its size; absent keys are 0."""
+    keys = np.arange(10, 5010, 5, dtype=np.uint64)
+    counts = np.random.default_rng(1).integers(0, 300, (len(keys), 6))
+    counts[7, 3], counts[8, 0] = 1 << 33, 254
+    kneser_ney._put_rows(f"{tmp_path}/rows", keys, counts)
+    asked = np.arange(5000, dtype=np.uint64)
+    out = np.zeros((6, len(asked)))
+    kneser_ney.Rows(kneser_ney._map(f"{tmp_path}/rows"), 6).find(asked, list(range(6)), out)
+    want = np.zeros((6, len(asked)))
+    want[:, keys[keys < 5000].astype(int)] = counts[keys < 5000].T
+    assert (out == want).all()
+
+
 @pytest.mark.parametrize("frame", ["odd", "nothing"])
 def test_scores_of_odd_rows(spark, frame, request, monkeypatch):
     monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 50_000)
