@@ -56,6 +56,8 @@ RANGE_BYTES = 24 << 20
 #: Grams that a task gathers before it packs them.
 GATHER = 1 << 20
 SWEEP_BYTES = 1 << 20
+#: Spark's setting that removes the shuffle files of a job when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: What a level keeps of a gram: how often it ends at a token, in how many ways it goes on to the left, and as a context
 #: the sum of its followers' counts and how many of them have the counts 1, 2 and more.  The highest level has ``raw`` alone.
@@ -313,8 +315,17 @@ def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) ->
 
 
 def _total(report: DataFrame, width: int) -> tuple[list[float], set[int]]:
-    """Column sums of the few numbers that every range reports, and which ranges did."""
-    row = report.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)], F.collect_set("part").alias("parts")).first()
+    """Column sums of the few numbers that every range reports, and which ranges did.
+
+    The blocks are of no use once the ranges are written, so this job's shuffle files go when it ends.
+    """
+    conf = report.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        row = report.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)], F.collect_set("part").alias("parts")).first()
+    finally:
+        conf.set(CLEANUP, before)
     return [float(x or 0) for x in row[:width]], set(row["parts"])
 
 
@@ -376,7 +387,7 @@ def train(docs: DataFrame, learn: str = "learn", order: int = ORDER) -> Model:
                 held_k.append(keys)
                 held_v.append(rows)
                 n += len(keys)
-                if n >= GATHER // 2:
+                if n >= GATHER:
                     yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
                     held_k, held_v, n = [], [], 0
             if held_k:
