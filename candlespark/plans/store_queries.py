@@ -16,6 +16,7 @@ from candlespark.sources import bars as B
 from candlespark.sources import damage as D
 from candlespark.sources import exports as E
 from candlespark.sources import payloads as P
+from candlespark.sources import snapshots
 
 
 # ------------------------------------------------------------ store and scan
@@ -56,6 +57,42 @@ def _(spark, sf):
     return B.scan_bars(spark, path).select("symbol", "open_time", "close")
 
 
+SNAPSHOT_VERSIONS = """v AS (SELECT symbol, open_time, close, 1 AS seq FROM bars
+  UNION ALL SELECT symbol, open_time, close + 1, 2 FROM bars WHERE open_time >= TIMESTAMP '2024-01-15'
+  UNION ALL SELECT symbol, open_time + INTERVAL 30 DAY, close + 2, 4 FROM bars)"""
+
+
+def snapshot_store(spark, sf):
+    """A table of three upserts, the second followed by a compaction."""
+    path, bars = shared_dir(spark, "snapshots"), bars_1h(spark, sf)
+    snapshots.upsert(bars, path, "ticks")
+    snapshots.upsert(bars.where("open_time >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").withColumn("close", F.col("close") + 1), path, "ticks")
+    snapshots.compact(spark, path)
+    later = bars.withColumn("open_time", F.col("open_time") + F.expr("INTERVAL 30 DAYS")).withColumn("close", F.col("close") + 2)
+    snapshots.upsert(later, path, "ticks")
+    return path
+
+
+@query("snapshot_store_rows", f"""
+WITH {BARS}, {SNAPSHOT_VERSIONS}
+SELECT symbol, open_time, max(seq)::BIGINT AS version, {r('arg_max(close, seq) AS close')} FROM v GROUP BY 1, 2""")
+def _(spark, sf):
+    """Bars merged on read from immutable commits; the compaction keeps the version of each bar."""
+    return snapshots.scan(spark, snapshot_store(spark, sf)).select("symbol", "open_time", F.col("ingested_at").alias("version"), "close")
+
+
+@query("snapshot_store_history", f"""
+WITH {BARS}, {SNAPSHOT_VERSIONS}, points AS (SELECT unnest([1, 2, 3, 4]) AS version),
+  seen AS (SELECT version, symbol, open_time, arg_max(close, seq) AS close FROM points JOIN v ON seq <= version GROUP BY ALL)
+SELECT version, symbol, count(*) AS n_bars, {r('sum(close) AS close_total')} FROM seen GROUP BY 1, 2""")
+def _(spark, sf):
+    """What a reader of each version of the table sees, the compaction (version 3) included."""
+    path = snapshot_store(spark, sf)
+    seen = [snapshots.scan(spark, path, at=v).withColumn("version", F.lit(v)) for v in (1, 2, 3, 4)]
+    rows = seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+    return rows.groupBy("version", "symbol").agg(F.count("*").alias("n_bars"), F.sum("close").alias("close_total"))
+
+
 @query("sources_kept_apart", f"""
 WITH {BARS}, b2 AS (SELECT 'a' AS source, symbol, open_time, close FROM bars UNION ALL SELECT 'b', symbol, open_time, close * 2 FROM bars)
 SELECT source, symbol, count(*) AS n_bars, {r('sum(close) AS close_total')} FROM b2 GROUP BY ALL""")
