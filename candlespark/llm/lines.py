@@ -64,7 +64,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     A word that is absent keeps all its lines, and documents that keep every line have no row.
     """
     run = F.floor(F.col("doc_id") / F.lit(RUN)).alias("run")
-    seen = occurrences(docs, min_chars).select("h1", "h2", run, "doc_id", "body", "pos")
+    # Written first: the range partitioning looks at its input twice, and lines should be split and hashed once.
+    seen = saved(occurrences(docs, min_chars).select("h1", "h2", run, "doc_id", "body", "pos"), "line-occurrences")
     # The window needs no exchange of its own: the ranges keep the rows of a run together, and it sorts within them.
     ranged = seen.repartitionByRange("h1", "h2", "run")
     before = F.lag("doc_id").over(Window.partitionBy("h1", "h2", "run").orderBy(F.desc("doc_id"), "pos"))
