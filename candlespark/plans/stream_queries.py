@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from candlespark.plans.registry import query, r
 from candlespark.plans.tables import BARS, MONITOR, PAIRS, TICKS, bars_1h, monitor_events, pairs, table
 from candlespark.session import shared_dir
+from candlespark.sources import snapshots
 from candlespark.sources.bars import scan_bars
 from candlespark.sources.events import scan_events
 from candlespark.streaming import barrier as SB
@@ -89,11 +90,13 @@ def _(spark, sf):
     return scan_bars(spark, store).select("symbol", "open_time", "close", "volume")
 
 
-@query("stream_over_backfill", f"""
+OVER_BACKFILL = f"""
 WITH {BARS} SELECT symbol, open_time, {r("CASE WHEN open_time >= TIMESTAMP '2024-01-22' THEN -close WHEN open_time >= TIMESTAMP '2024-01-16' THEN close * 7 "
-  "WHEN open_time >= TIMESTAMP '2024-01-10' THEN close * 9 ELSE close * 3 END AS close")} FROM bars""")
-def _(spark, sf):
-    """Three backfills, a stream of corrections, a fourth backfill, and the same stream going on: the last to write wins, and in one batch the last to arrive."""
+  "WHEN open_time >= TIMESTAMP '2024-01-10' THEN close * 9 ELSE close * 3 END AS close")} FROM bars"""
+
+
+def over_backfill(spark, sf, backfill, sink):
+    """Three backfills, a stream of corrections, a fourth backfill, and the same stream going on; the folder of the store."""
     path, store, state, bars = shared_dir(spark, "messages"), shared_dir(spark, "store"), shared_dir(spark, "state"), bars_1h(spark, sf)
 
     def since(day):
@@ -107,16 +110,30 @@ def _(spark, sf):
         both = times(part, 100).withColumn("sent", F.lit(1).cast("long")).unionByName(part.withColumn("sent", F.lit(2).cast("long")))
         _write_messages(both, f"{path}/part={i}", F.col("sent"))
         messages = B.messages_from_files(spark, f"{path}/*", 1)
-        B.run_batches(B.closed_bars(messages), B.upsert_batches(store, "live"), state, mode="append")
+        B.run_batches(B.closed_bars(messages), sink(store, "live"), state, mode="append")
 
     for n in (1, 2, 3):
-        B.upsert_bars(times(bars, n), store, "live")
+        backfill(times(bars, n), store, "live")
     stream(times(since("2024-01-10"), 9), 0)
-    B.upsert_bars(times(since("2024-01-16"), 7), store, "live")
+    backfill(times(since("2024-01-16"), 7), store, "live")
     stream(times(since("2024-01-22"), -1), 1)
+    return store
+
+
+@query("stream_over_backfill", OVER_BACKFILL)
+def _(spark, sf):
+    """The last to write wins, backfill or stream, and in one batch the last to arrive."""
+    store = over_backfill(spark, sf, B.upsert_bars, B.upsert_batches)
     return scan_bars(spark, store).select("symbol", "open_time", "close")
 
 
+@query("stream_over_snapshots", OVER_BACKFILL)
+def _(spark, sf):
+    """The same in a table of immutable commits, compacted while the stream runs."""
+    store = over_backfill(spark, sf, snapshots.upsert, lambda path, source: B.commit_batches(path, source, compact_at=5))
+    return snapshots.scan(spark, store).select("symbol", "open_time", "close")
+
+
 @query("stream_snapshots", f"WITH {BARS} SELECT open_time, count(*)::INTEGER AS n_symbols, {r('sum(close) AS close_total')} FROM bars GROUP BY 1")
 def _(spark, sf):
     """A user's callback after each batch gets the bars of every open time together."""

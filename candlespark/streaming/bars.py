@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from candlespark.functions.times import interval_minutes, is_ntz
 from candlespark.operators.resample import OHLCV_TRADES, resample
+from candlespark.sources import snapshots as commits
 from candlespark.sources.bars import reconcile_columns, scan_bars, touched, upsert_bars, with_layout
 from candlespark.sources.payloads import land_stream_klines
 from candlespark.sources.versions import stream_of
@@ -89,6 +90,25 @@ def upsert_batches(path: str, source: str, after: Callable[[DataFrame, int], Non
     return run
 
 
+def commit_batches(path: str, source: str, after: Callable[[DataFrame, int], None] | None = None, compact_at: int = 20):
+    """As ``upsert_batches``, into a table of immutable commits (``sources/snapshots.py``).
+
+    A batch writes only its own rows, and readers see it whole or not at all.
+    Months that ``compact_at`` commits hold are rewritten as one; old files stay
+    for running readers until someone calls ``vacuum``.
+    """
+    alone = uuid.uuid4().hex
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        bars = as_batch(batch)
+        commits.upsert(bars, path, source, writer=stream_of(batch, alone), batch=batch_id)
+        commits.compact(batch.sparkSession, path, compact_at)
+        if after:
+            after(bars, batch_id)
+
+    return run
+
+
 def corrections(batch: DataFrame, path: str, source: str, freq: str) -> DataFrame:
     """Resampled bars of the buckets a batch touched, from the merged store.
 
