@@ -15,6 +15,12 @@ def div(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def ieee_div(a, b) -> Column:
+    """a / b as floating point has it: infinite where b is 0, NaN for 0 / 0.  A zero ``b`` counts as +0."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def ln(x) -> Column:
     """Natural logarithm, NULL for x <= 0."""
     x = _c(x)

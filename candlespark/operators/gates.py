@@ -124,14 +124,14 @@ def staleness(models: DataFrame, as_of: Column, max_age_s: int, trained: str = "
 
 
 def combine(parts: DataFrame, keys: Sequence[str], how: str = "mean", value: str = "y_pred", weight: str | None = None) -> DataFrame:
-    """Join sub-predictions of a decomposed target: sum, product or weighted mean."""
+    """Join sub-predictions of a decomposed target: sum, product or weighted mean.
+
+    Infinite and NaN parts count as in floating point: a product of zero and an infinite part is NaN.
+    """
     v = F.col(value)
     made = {
         "sum": lambda: F.sum(v),
         "mean": lambda: div(F.sum(v * F.col(weight)), F.sum(weight)) if weight else F.avg(v),
-        # A product as signs and logarithms, so that it is combined before the shuffle.
-        "product": lambda: F.when(F.count_if(v == 0) > 0, F.lit(0.0)).otherwise(
-            F.exp(F.sum(F.ln(F.abs(F.when(v != 0, v))))) * F.when(F.count_if(v < 0) % 2 == 1, -1.0).otherwise(1.0)
-        ),
+        "product": lambda: F.product(v),
     }
     return parts.groupBy(*keys).agg(made[how]().alias(value))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlespark.functions.safe import ln
+from candlespark.functions.safe import ieee_div, ln
 from candlespark.operators import gates as G
 from candlespark.operators import metrics as M
 from candlespark.operators import search as S
@@ -385,10 +385,10 @@ COMBINE = BARS + """, c AS (SELECT symbol, open_time, unnest(['trend', 'level',
 @query("combined_subpredictions", f"""
 WITH {COMBINE} SELECT symbol, open_time, {r('sum(y_pred) AS by_sum', 'sum(y_pred * wt) / sum(wt) AS by_weight', 'product(y_pred) AS by_product')} FROM c GROUP BY ALL""")
 def _(spark, sf):
-    """Sub-predictions joined by sum, weighted mean and product."""
+    """Sub-predictions joined by sum, weighted mean and product; a price of 0 makes them infinite or NaN."""
     b = bars_1h(spark, sf)
     items = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("y_pred"), F.lit(k).alias("wt")) for n, v, k in (
-        ("trend", F.col("open") / F.col("close"), 1.0), ("level", F.col("high") / F.col("low"), 2.0), ("noise", -F.col("low") / F.col("close"), 0.5))])
+        ("trend", ieee_div("open", "close"), 1.0), ("level", ieee_div("high", "low"), 2.0), ("noise", ieee_div(-F.col("low"), "close"), 0.5))])
     parts = b.select("symbol", "open_time", F.explode(items).alias("i")).select("symbol", "open_time", "i.*")
     keys = ["symbol", "open_time"]
     out = G.combine(parts, keys, "sum").withColumnRenamed("y_pred", "by_sum")
