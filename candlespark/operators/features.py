@@ -332,7 +332,10 @@ def trailing_rank(
 
 
 def variance_features(d: DataFrame, w: WindowSpec, k: int) -> DataFrame:
-    """Realised variance of the log steps and mean log high/low range."""
+    """Realised variance of the log steps and mean log high/low range.
+
+    Undefined steps and ranges, those at a price of 0, are NULL and left out of sum and mean.
+    """
     d = d.withColumn("_r", log_step(w)).withColumn("_range", ln(div("high", "low")))
     rv = full_window(w, k + 1, F.sum(F.col("_r") * F.col("_r")).over(last_rows(w, k)))
     rng = full_window(w, k, F.avg("_range").over(last_rows(w, k)))

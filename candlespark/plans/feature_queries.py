@@ -458,11 +458,13 @@ def _(spark, sf):
 
 
 @query("realised_variance", f"""
-WITH {STEPS} SELECT symbol, open_time,
+WITH {BARS}, st AS (SELECT *, row_number() OVER w AS rn, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close) - ln(lag(close) OVER w) END AS r,
+  CASE WHEN low <> 0 AND high / low > 0 THEN ln(high / low) END AS g FROM bars {W})
+SELECT symbol, open_time,
 {r(f"CASE WHEN rn > 24 THEN sum(r * r) OVER {last(24)} END AS realised_var",
-   f"CASE WHEN rn >= 24 THEN avg(ln(high / low)) OVER {last(24)} END AS range_vol")} FROM st""")
+   f"CASE WHEN rn >= 24 THEN avg(g) OVER {last(24)} END AS range_vol")} FROM st""")
 def _(spark, sf):
-    """Sum of squared steps and mean log range over 24 bars."""
+    """Sum of squared steps and mean log range over 24 bars; a step or range at a price of 0 is undefined, NULL, and adds nothing."""
     out = X.rolling(bars_1h(spark, sf), 25, lambda d, w: X.variance_features(d, w, 24), cell_s=MONTH)
     return out.select("symbol", "open_time", "realised_var", "range_vol")
 

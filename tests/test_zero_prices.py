@@ -35,6 +35,20 @@ def test_combined_subpredictions(spark, zeros):
     assert len(got) == 30 and all(math.isfinite(got[h].by_sum) for h in got if h not in (3, 26, 27))
 
 
+def test_realised_variance(spark, zeros):
+    """The undefined range of hour 3 and the undefined steps after hour 25 are left out, by the query and by its twin."""
+    path, con = zeros
+    assert check(spark, con, "realised_variance", path).startswith("ok")
+    got = sorted((r.open_time, r.realised_var, r.range_vol) for r in QUERIES["realised_variance"](spark, path).collect())
+    low = [10.0 + h % 5 for h in range(30)]
+    ranges = [math.log((p + 1) / p) for h, p in enumerate(low) if h != 3]
+    assert got[23][2] == pytest.approx(sum(ranges[:23]) / 23, abs=1e-6) and got[22][2] is None
+    steps = [math.log((low[h] + 1) / (low[h - 1] + 1)) ** 2 for h in range(1, 26)]
+    assert got[24][1] == pytest.approx(sum(steps[:24]), abs=1e-6) and got[23][1] is None
+    assert got[28][1] == pytest.approx(sum(steps[4:25]), abs=1e-6)
+    assert all(math.isfinite(x) for row in got[24:] for x in row[1:])
+
+
 def test_product_is_not_rounded_by_logarithms(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 7.0), (1, -11.0)], "k int, y_pred double")
     assert G.combine(df, ["k"], "product").first().y_pred == -231.0
