@@ -283,13 +283,13 @@ def _(spark, sf):
 
 @query("stream_event_sync", f"WITH {MONITOR} SELECT topic_id, address, event_id, event_type, {r('value_num')}, observed_at FROM mon")
 def _(spark, sf):
-    """Event log in three files, with repeats in a later one and events days late, synced into the store."""
-    path, store, e = shared_dir(spark, "events"), shared_dir(spark, "event-store"), monitor_events(spark, sf)
+    """Event log in three deliveries of files, with repeats in a later one and events days late; each is synced into the store when it is there, by a stream that goes on from its checkpoint."""
+    path, store, state, e = *(shared_dir(spark, n) for n in ("events", "event-store", "state")), monitor_events(spark, sf)
     late = F.col("observed_at") < F.lit("2024-01-05").cast("timestamp_ntz")
     for i, part in enumerate((e.where(~late), e.where(~late).unionByName(e.where(~late)), e.where(late))):
-        part.coalesce(1).write.parquet(f"{path}/part={i}")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    B.run_batches(stream, L.sync_batches(store), shared_dir(spark, "state"), mode="append")
+        part.write.parquet(f"{path}/part={i}")
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/*")
+        B.run_batches(stream, L.sync_batches(store), state, mode="append")
     return scan_events(spark, store).select("topic_id", "address", "event_id", "event_type", "value_num", "observed_at")
 
 

@@ -125,3 +125,18 @@ def test_snapshots(spark):
     bars = spark.createDataFrame([("b", 1, 2.0), ("a", 1, 1.0), ("a", 2, 3.0)], "symbol string, open_time int, close double")
     got = {r.open_time: [x.symbol for x in r.bars] for r in B.snapshots(bars).collect()}
     assert got == {1: ["a", "b"], 2: ["a"]}
+
+
+def test_synced_deliveries_are_written_in_parallel(spark, small, tmp_path, monkeypatch):
+    """An event log in several files is not drawn into one task on its way to the store."""
+    from candlespark.plans import stream_queries as Q
+    from candlespark.plans.catalogue import QUERIES
+
+    log = spark.read.parquet(f"{small}/events.parquet")
+    log.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    made = {}
+    monkeypatch.setattr(Q, "shared_dir", lambda s, name: made.setdefault(name, shared_dir(s, name)))
+    got = QUERIES["stream_event_sync"](spark, str(tmp_path))
+    assert got.count() == got.select("event_id").distinct().count() == log.count()
+    for i in range(3):
+        assert len([n for n in os.listdir(f"{made['events']}/part={i}") if n.endswith(".parquet")]) >= 4
