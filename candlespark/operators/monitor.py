@@ -55,8 +55,9 @@ def new_events(batch: DataFrame, store: DataFrame) -> DataFrame:
     Copies inside the batch are combined by an aggregate before the shuffle;
     of equal keys the earliest stays, as with insert-or-ignore.
     """
-    rest = [c for c in batch.columns if c not in EVENT_KEY]
-    first = batch.groupBy(*EVENT_KEY).agg(F.min_by(F.struct(*rest), F.struct("observed_at", *[c for c in rest if c != "observed_at"])).alias("_v"))
+    # The smallest whole row, which begins with its time: one copy of it in the shuffle.
+    rest = ["observed_at", *[c for c in batch.columns if c not in (*EVENT_KEY, "observed_at")]]
+    first = batch.groupBy(*EVENT_KEY).agg(F.min(F.struct(*rest)).alias("_v"))
     fresh = first.select(*EVENT_KEY, "_v.*").select(*batch.columns)
     return fresh.join(store.select(*EVENT_KEY), EVENT_KEY, "left_anti")
 
@@ -342,9 +343,10 @@ def partials(events: DataFrame) -> DataFrame:
     keys = [f.name for f in PARTIAL.fields[:6]]
     rows = events.withColumn("sure", _sure()).withColumn("hour", F.date_trunc("hour", "observed_at").cast("timestamp_ntz"))
     newest = F.struct(*[f.name for f in PARTIAL["newest"].dataType.fields])
+    # The newest row begins with what it is chosen by.
     out = rows.groupBy(*keys, "hour").agg(
         F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"), F.coalesce(F.sum("value_num"), F.lit(0.0)).alias("value_sum"),
-        F.max_by(newest, F.struct("observed_at", "event_id")).alias("newest"),
+        F.max(newest).alias("newest"),
     )
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PARTIAL.fields])
 

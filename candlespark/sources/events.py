@@ -65,7 +65,8 @@ def bucket() -> Column:
 def stored_keys(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
     """Keys of the given buckets; their numbers are literals, so other folders are not listed or read."""
     if not _there(spark, f"{path}/{KEYS}"):
-        return spark.createDataFrame([], KEY_SCHEMA)
+        # Without rows from Python, which would start its workers.
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in KEY_SCHEMA.fields])
     return spark.read.schema(KEY_SCHEMA).parquet(f"{path}/{KEYS}").where(F.col("bucket").isin(*buckets))
 
 
@@ -78,12 +79,16 @@ def _commit(spark: SparkSession, path: str, sync: str, again: bool = False) -> N
     """Bring the pending rows of a sync into the store; every step may be repeated."""
     pending = f"{path}/{PENDING}/{sync}"
     added = spark.read.schema(STORED_SCHEMA).parquet(pending)
+    if added.isEmpty():
+        remove_dir(spark, pending)
+        return
     missing = added
     if again:
         days = [r[0] for r in added.select(DAY).distinct().collect()]
         missing = added.join(scan_events(spark, path, within=F.col(DAY).isin(*days)).select(*EVENT_KEY), EVENT_KEY, "left_anti")
         missing = spark.read.schema(STORED_SCHEMA).parquet(_kept(missing, "missing"))
-    missing.repartition(DAY).sortWithinPartitions(DAY, "observed_at").write.mode("append").partitionBy(DAY).parquet(path)
+    # A day with many rows is split over tasks and files.
+    missing.hint("rebalance", DAY).sortWithinPartitions(DAY, "observed_at").write.mode("append").partitionBy(DAY).parquet(path)
     partials(added).write.mode("overwrite").parquet(f"{path}/{PARTIALS}/sync={sync}")
     _add_keys(added, path)
     remove_dir(spark, pending)

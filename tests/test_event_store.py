@@ -118,3 +118,36 @@ def test_reports_leave_the_log_alone(spark, small):
     scans = [line for line in plan.splitlines() if "FileScan" in line and path.split("/")[-1] in line]
     assert len([s for s in scans if "_partials" in s]) == 1
     assert all("observed_day" in s[s.index("PartitionFilters") :] for s in scans if "_partials" not in s) and len(scans) == 2
+
+
+def test_a_large_day_is_written_by_several_tasks(spark):
+    path, conf = shared_dir(spark, "events"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    text = F.sha2(F.col("id").cast("string"), 256)
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.lit(1).cast("long").alias("topic_id"), F.lit("w").alias("address"), F.lit("d").alias("deployment_id"), text.alias("event_id"),
+        F.lit("score").alias("event_type"), F.lit("snapshot").alias("status"), F.col("id").cast("double").alias("value_num"), text.alias("value_text"),
+        text.alias("tx_hash"), (F.lit("2024-01-05").cast("timestamp_ntz") + F.make_interval(secs=F.col("id") % 86_400)).alias("observed_at"), text.alias("details_json"))
+    spark.conf.set(conf, "1m")
+    try:
+        S.append_events(rows, path)
+    finally:
+        spark.conf.unset(conf)
+    assert len([n for n in S._names(spark, f"{path}/observed_day=2024-01-05") if n.endswith(".parquet")]) > 2
+    assert S.scan_events(spark, path).select("event_id").distinct().count() == S.scan_events(spark, path).count() == 200_000
+
+
+def test_a_sync_without_news_writes_nothing(spark):
+    path = shared_dir(spark, "events")
+    for _ in range(2):
+        report = S.append_events(frame(spark, event("a", 4), event("b", 5)), path)
+    assert [(r.fetched, r.inserted) for r in report.collect()] == [(2, 0)]
+    assert len([n for n in S._names(spark, f"{path}/{S.PARTIALS}") if n.startswith("sync=")]) == 1
+    assert S._names(spark, f"{path}/{S.PENDING}") == []
+
+
+def test_one_copy_of_a_row_goes_through_the_shuffle(spark):
+    rows = frame(spark, event("a", 5, 5.0), event("a", 3, 3.0), event("a", 3, 2.0), event("b", 5))
+    fresh = E.new_events(rows, rows.where("event_id = 'b'"))
+    assert [(r.event_id, r.observed_at.day, r.value_num) for r in fresh.collect()] == [("a", 3, 2.0)]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("details_json, details_json#") == 1
