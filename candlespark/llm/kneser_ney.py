@@ -2,7 +2,10 @@
 sorted hash arrays, memory-mapped by the workers that score.
 
 A model of order n takes n + 1 sweeps over the text, each without a shuffle of
-rows per token:
+rows per token; only the last one reads texts that are not learned from.  A
+task gathers some millions of tokens, numbers their distinct grams, and counts
+and looks up by number, so each gram is searched once a gathering and a range
+of the model is visited once a gathering, however many ranges there are:
 
 1. The n-grams: every task packs the distinct ones it sees, cut by hash range;
    one task per range merges them into a sorted array with counts.
@@ -10,7 +13,8 @@ rows per token:
    mapped, every occurrence of a gram (u, ..., w) gives 1 / count to the
    continuation count of its last words and to the follower classes of its
    first words, so each distinct gram counts exactly once; merged by hash range.
-3. ``score``: the arrays of all levels are mapped and searched with sorted queries.
+3. ``score``: the arrays of all levels are mapped and searched with sorted queries;
+   what depends on a gram or a context alone is computed once for each.
 
 The n-grams of a text begin with n - 1 begin marks.  The arrays live in the
 shared folder, one file per level and hash range, and grow with the corpus; a
@@ -53,9 +57,12 @@ BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
 ORDER = 3
 #: Text bytes per hash range and word of context: bounds the arrays that one merging task holds.
 RANGE_BYTES = 24 << 20
-#: Grams that a task gathers before it packs them.
-GATHER = 1 << 20
-SWEEP_BYTES = 1 << 20
+#: Tokens that a task gathers before it looks up their grams: few enough for the processor's cache, enough to visit each range seldom.
+GATHER = 1 << 19
+#: Grams or counts that a task packs together; bounds a worker's memory.
+PACK = 1 << 20
+#: Text bytes hashed at a time.
+SWEEP_BYTES = 1 << 17
 #: Spark's setting that removes the shuffle files of a job when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -127,18 +134,18 @@ def _put(path: str, arrays: list[np.ndarray]) -> None:
 
 
 def _put_rows(path: str, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Two lengths, ascending hashes, then the side table (hashes, eight-byte counts), then a byte per count."""
+    """Two lengths, ascending hashes, then the side table (hashes, eight-byte counts), then a byte per count, those of a hash together."""
     wide = np.flatnonzero((counts >= WIDE).any(axis=1))
     small = np.minimum(counts, WIDE).astype(np.uint8)
     head = np.array([len(keys), len(wide)], np.uint64)
-    _put(path, [head, keys, keys[wide], np.ascontiguousarray(counts[wide].T.astype(np.uint64)), np.ascontiguousarray(small.T)])
+    _put(path, [head, keys, keys[wide], np.ascontiguousarray(counts[wide].T.astype(np.uint64)), np.ascontiguousarray(small)])
 
 
 def _map(path: str) -> np.ndarray:
     """The bytes of ``path``, memory-mapped; a file that should be there and isn't is an error."""
     plain = _plain(path)
     if plain is not None:
-        return np.memmap(plain, np.uint8, "r")
+        return np.asarray(np.memmap(plain, np.uint8, "r"))
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
     with tempfile.TemporaryFile() as scratch, fs.open_input_stream(at) as stream:
         while block := stream.read(8 << 20):
@@ -155,14 +162,15 @@ class Rows:
         ends = np.cumsum([16, 8 * n, 8 * w, 8 * w * width, n * width]).tolist()
         self.hash, self.wide_hash = raw[ends[0] : ends[1]].view(np.uint64), raw[ends[1] : ends[2]].view(np.uint64)
         self.wide = raw[ends[2] : ends[3]].view(np.uint64).reshape(width, w)
-        self.small = raw[ends[3] : ends[4]].reshape(width, n)
+        self.small = raw[ends[3] : ends[4]].reshape(n, width)
 
     def find(self, keys: np.ndarray, columns: list[int], out: np.ndarray) -> None:
         at = np.minimum(np.searchsorted(self.hash, keys), len(self.hash) - 1)
-        here = np.flatnonzero(self.hash[at] == keys)
+        small = self.small[at]
+        small[self.hash[at] != keys] = 0
         for o, c in zip(out, columns, strict=True):
-            o[here] = self.small[c][at[here]]
-            large = here[o[here] == WIDE]
+            o[:] = small[:, c]
+            large = np.flatnonzero(o == WIDE)
             o[large] = self.wide[c][np.searchsorted(self.wide_hash, keys[large])]
 
 
@@ -183,10 +191,9 @@ class Arrays:
         out = np.zeros((len(columns), len(keys)))
         places = [self.model.fields(self.level).index(c) for c in columns]
         # Only ranges that some key falls into are looked at, however many there are.
-        of = np.searchsorted(self.edges, keys, "right") - 1
-        starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-        for a, b in itertools.pairwise([*starts, len(keys)]):
-            if (k := int(of[a])) in self.model.written[self.level]:
+        cuts = [*np.searchsorted(keys, self.edges).tolist(), len(keys)]
+        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+            if a < b and k in self.model.written[self.level]:
                 self.part(k).find(keys[a:b], places, out[:, a:b])
         return out
 
@@ -204,36 +211,45 @@ def _edges(ranges: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """Ascending keys as differences, all bytes of one weight together, compressed."""
+    """Ascending keys as differences, all bytes of one weight together, compressed; ``values`` has a row for each field."""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-    rows = np.ascontiguousarray(values)
-    more = rows.view(np.uint8).reshape(len(keys), -1).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes + more)
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), 8).T) for x in (gaps, *values)]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes))
 
 
 def _unpack(block: bytes, kind: np.dtype, width: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
-    size = 8 + kind.itemsize * width
-    n = len(raw) // size
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    values = np.ascontiguousarray(raw[8 * n :].reshape(size - 8, n).T).view(kind).reshape(n, width)
-    return keys, values
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(1 + width, 8, -1)
+    fields = np.empty((1 + width, planes.shape[2], 8), np.uint8)
+    for k in range(8):
+        fields[:, :, k] = planes[:, k]
+    return np.cumsum(fields[0].view(np.uint64).ravel(), dtype=np.uint64), fields[1:].view(kind)[:, :, 0]
 
 
 def _blocks(keys: np.ndarray, values: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     edges = np.searchsorted(keys, _edges(ranges)).tolist() + [len(keys)]
     full = [k for k in range(ranges) if edges[k] < edges[k + 1]]
-    packed = [_pack(keys[edges[k] : edges[k + 1]], values[edges[k] : edges[k + 1]]) for k in full]
+    packed = [_pack(keys[edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]) for k in full]
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["part", "block"])
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ascending keys and the sums of their rows of values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values[:0]
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ascending keys and, in a row for each field, the sums of their values."""
+    values = np.concatenate([v for _, v in held], axis=1)
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.stack([np.bincount(at, v, len(keys)) for v in values])
+
+
+def _packed(counts: Iterator[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the sums of ``counts`` (ascending keys, fields), about ``PACK`` rows of them at a time."""
+    held, n = [], 0
+    for keys, values in counts:
+        held.append((keys, values))
+        n += len(keys)
+        if n >= PACK:
+            yield from _blocks(*_summed(held), ranges)
+            held, n = [], 0
+    if held:
+        yield from _blocks(*_summed(held), ranges)
 
 
 # --- the tokens of a text ---------------------------------------------------
@@ -241,45 +257,55 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Grams:
-    """Hashes of the grams that end at each token and, by level, of the contexts before it; the document of each token."""
+    """The tokens of some documents: by level, hashes of the grams that end at each token and of the marks before the first."""
 
     ending: dict[int, np.ndarray]
-    before: dict[int, np.ndarray]
-    doc: np.ndarray
+    begin: dict[int, np.ndarray]
+    starts: np.ndarray  #: first token of each document
+    doc: np.ndarray  #: document of each token
 
+    def numbered(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams of ``level``, ascending; by token, the number of the gram that ends there and of the one before it."""
+        keys, at = np.unique(np.append(self.ending[level], self.begin[level]), return_inverse=True)
+        before = np.roll(at[:-1], 1)
+        before[self.starts] = at[-1]
+        return keys, at[:-1], before
 
-def _grams_of(w: Words, order: int) -> Grams:
-    n = np.diff(w.first)
+
+def _grams_of(held: list[Words], order: int) -> Grams:
+    n = np.concatenate([np.diff(w.first) for w in held])
     docs = len(n)
     last = np.cumsum(n + 1) - 1
     starts = np.concatenate([[0], last[:-1] + 1])
-    word = np.empty(len(w) + docs, np.uint64)
+    word = np.empty(sum(map(len, held)) + docs, np.uint64)
     own = np.ones(len(word), bool)
     own[last] = False
-    word[own], word[last] = w.hash, END
+    word[own], word[last] = np.concatenate([w.hash for w in held]), END
     step = np.uint64(0x9E3779B97F4A7C15)
-    begin = np.array([BEGIN])
-    ending, before = {1: word}, {}
+    ending, begin = {1: word}, {1: np.array([BEGIN])}
     for k in range(1, order):
-        before[k] = np.empty_like(word)
-        before[k][1:] = ending[k][:-1]
-        before[k][starts] = begin
-        ending[k + 1] = mix(before[k] * step + word)
-        begin = mix(begin * step + BEGIN)
-    return Grams(ending, before, np.repeat(np.arange(docs), n + 1))
-
+        before = np.roll(ending[k], 1)
+        before[starts] = begin[k]
+        ending[k + 1] = mix(before * step + word)
+        begin[k + 1] = mix(begin[k] * step + BEGIN)
+    return Grams(ending, begin, starts, np.repeat(np.arange(docs), n + 1))
 
-def _learned(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(batch.column("learn"))
 
-
-def _sweeps(batches, order: int, only_learned: bool):
+def _gathered(batches: Iterator[pa.RecordBatch], order: int, most: int) -> Iterator[tuple[pa.Table, Grams]]:
+    """Whole rows without their texts, and the grams of these, about ``most`` tokens at a time."""
     t = tables()
+    rows, held, n = [], [], 0
     for batch in batches:
-        if only_learned:
-            batch = _learned(batch)
+        others = batch.drop_columns("text")
         for a, b, data, bounds in runs(batch.column("text"), SWEEP_BYTES):
-            yield batch, a, b, _grams_of(words(data, bounds, t), order)
+            rows.append(others.slice(a, b - a))
+            held.append(words(data, bounds, t))
+            n += len(held[-1]) + b - a
+            if n >= most:
+                yield pa.Table.from_batches(rows), _grams_of(held, order)
+                rows, held, n = [], [], 0
+    if held:
+        yield pa.Table.from_batches(rows), _grams_of(held, order)
 
 
 def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) -> DataFrame:
@@ -293,8 +319,7 @@ def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) ->
 
         def close():
             if held:
-                keys, values = _summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
-                out.append(put(now, keys, values))
+                out.append(put(now, *_summed(held)))
                 done.append(now)
                 held.clear()
 
@@ -305,7 +330,7 @@ def _merged(packed: DataFrame, ranges: int, put, kind: np.dtype, width: int) ->
                     now = part
                 held.append(_unpack(block.as_py(), kind, width))
                 if len(held) > 64:
-                    held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))]
+                    held[:] = [_summed(held)]
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["part", "sums"])
 
@@ -329,11 +354,16 @@ def _total(report: DataFrame, width: int) -> tuple[list[float], set[int]]:
     return [float(x or 0) for x in row[:width]], set(row["parts"])
 
 
+def learned(docs: DataFrame, learn: str = "learn") -> DataFrame:
+    """The texts to learn from, and nothing else: other rows and columns do not reach Python."""
+    return docs.where(F.col(learn)).select("text")
+
+
 def train(docs: DataFrame, learn: str = "learn", order: int = ORDER) -> Model:
     """Count ``docs`` (columns text and the boolean ``learn``) and write the arrays."""
     if order < 2:
         raise ValueError("an n-gram model has an order of 2 or more")
-    docs = docs.select("text", F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
+    texts = learned(docs, learn)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     model = Model(shared_dir(docs.sparkSession, "kneser-ney"), max(2, -(-size * (order - 1) // RANGE_BYTES)), order)
     ranges = model.ranges
@@ -343,61 +373,43 @@ def train(docs: DataFrame, learn: str = "learn", order: int = ORDER) -> Model:
 
         def write(part, keys, values):
             counts = np.rint(values).astype(np.int64)
-            _put_rows(_path(model, level, part), keys, counts)
-            seen = counts[counts[:, 0] > 0]
-            classes = [float((seen[:, counted] == k).sum()) for k in (1, 2, 3, 4)]
-            return [*classes, float((seen[:, counted] > 2).sum()), float(len(seen)), float(seen[:, 0].sum())]
+            _put_rows(_path(model, level, part), keys, counts.T)
+            seen = counts[counted][counts[0] > 0]
+            classes = [float((seen == k).sum()) for k in (1, 2, 3, 4)]
+            return [*classes, float((seen > 2).sum()), float(len(seen)), float(counts[0].sum())]
 
         return write, len(fields)
 
     def grams(batches):
-        held, n = [], 0
-        for _, _, _, g in _sweeps(batches, order, True):
-            held.append(g.ending[order])
-            n += len(held[-1])
-            if n >= GATHER:
-                keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                yield from _blocks(keys, counts.astype(np.uint64), ranges)
-                held, n = [], 0
-        if held:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from _blocks(keys, counts.astype(np.uint64), ranges)
+        for _, g in _gathered(batches, order, PACK):
+            keys, counts = np.unique(g.ending[order], return_counts=True)
+            yield from _blocks(keys, counts.astype(np.uint64)[None], ranges)
 
     write, width = put(order)
-    packed = docs.mapInArrow(grams, "part int, block binary")
+    packed = texts.mapInArrow(grams, "part int, block binary")
     sums, model.written[order] = _total(_merged(packed, ranges, write, np.dtype("<u8"), width), 7)
     model.discounts[order], pairs = discounts(sums[:4]), sums[5]
 
     def below(level):
-        # One row per token as a gram of ``level`` (count, continuation) and one as a context (followers).
-        def shares(batches):
+        # Each distinct gram of the level above is shared out among its occurrences: as an ending to the gram of
+        # ``level`` that ends with it (count, continuation), and as a follower to the one it begins with.
+        def shared(batches):
             above, counted = Arrays(model, level + 1), model.counted(level + 1)
-            held_k, held_v, n = [], [], 0
-            for _, _, _, g in _sweeps(batches, order, True):
-                rank = np.argsort(g.ending[level + 1], kind="stable")
-                raw, value = above.find(g.ending[level + 1][rank], ["raw", counted])
-                share = 1 / np.maximum(raw, 1)
-                gram, context = g.ending[level][rank], g.before[level][rank]
-                rows = np.zeros((2 * len(gram), len(FIELDS)))
-                rows[: len(gram), 0], rows[: len(gram), 1] = 1, share
-                rows[len(gram) :, 2] = share * value
-                for k, hit in ((3, value == 1), (4, value == 2), (5, value > 2)):
-                    rows[len(gram) :, k] = np.where(hit, share, 0)
-                keys, rows = _summed(np.concatenate([gram, context]), rows)
-                held_k.append(keys)
-                held_v.append(rows)
-                n += len(keys)
-                if n >= GATHER:
-                    yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
-                    held_k, held_v, n = [], [], 0
-            if held_k:
-                yield from _blocks(*_summed(np.concatenate(held_k), np.concatenate(held_v)), ranges)
-
-        return shares
+            for _, g in _gathered(batches, order, GATHER):
+                longer, which = np.unique(g.ending[level + 1], return_inverse=True)
+                raw, value = above.find(longer, ["raw", counted])
+                share, value = (1 / np.maximum(raw, 1))[which], value[which]
+                keys, at, before = g.numbered(level)
+                many = len(keys)
+                classes = np.bincount(before * 3 + np.clip(value, 1, 3).astype(int) - 1, share, 3 * many).reshape(many, 3)
+                fields = [np.bincount(at, minlength=many), np.bincount(at, share, many), np.bincount(before, share * value, many), *classes.T]
+                yield keys, np.stack(fields, dtype=float)
+
+        return lambda batches: _packed(shared(batches), ranges)
 
     for level in range(order - 1, 0, -1):
         write, width = put(level)
-        packed = docs.mapInArrow(below(level), "part int, block binary")
+        packed = texts.mapInArrow(below(level), "part int, block binary")
         sums, model.written[level] = _total(_merged(packed, ranges, write, np.dtype("<f8"), width), 7)
         model.discounts[level] = discounts(sums[:4])
         if level == 2:
@@ -418,40 +430,36 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches):
         levels = {k: Arrays(model, k) for k in range(1, model.order + 1)}
         total, kinds = model.tokens, model.vocabulary
-        for batch, a, b, g in _sweeps(batches, model.order, False):
-            doc, many = g.doc, len(g.doc)
+        for some, g in _gathered(batches, model.order, GATHER):
             for k, arrays in levels.items():
                 d = model.discounts[k]
-                if k == model.order:
-                    rank = np.argsort(g.ending[k], kind="stable")
-                    count = np.empty(many)
-                    count[rank] = arrays.find(g.ending[k][rank], ["raw"])[0]
-                else:
-                    own, at = np.unique(np.concatenate([g.ending[k], g.before[k]]), return_inverse=True)
-                    raw, cont, *context = arrays.find(own, FIELDS)
-                    count = cont[at[:many]]
+                keys, at, context = g.numbered(k)
+                found = dict(zip(model.fields(k), arrays.find(keys, model.fields(k)), strict=True))
+                count = found[model.counted(k)]
+                kept = np.maximum(count - discount_of(count, d), 0)[at]
                 if k == 1:
-                    n = raw[at[:many]]
-                    p = np.full(many, model.spare / (kinds + 1))
+                    n = found["raw"]
+                    base = np.log10((n + 0.5) / (total + 0.5 * (kinds + 1)))[at]
+                    known = (n > 0)[at]
+                    p = np.full(len(at), model.spare / (kinds + 1))
                     if model.continuations:
-                        p += np.maximum(count - discount_of(count, d), 0) / model.continuations
+                        p += kept / model.continuations
                 else:
-                    follows = np.maximum(before, 1)
-                    left = np.where(before > 0, (d[0] * ones + d[1] * twos + d[2] * more) / follows, 1.0)
-                    p = np.maximum(count - discount_of(count, d), 0) / follows + left * p
+                    p = kept / follows + left * p
                 if k < model.order:
-                    before, ones, twos, more = (x[at[many:]] for x in context)
-            base = np.log10((n + 0.5) / (total + 0.5 * (kinds + 1)))
-            rows = b - a
+                    d, follows = model.discounts[k + 1], np.maximum(found["total"], 1)
+                    left = (d[0] * found["n1"] + d[1] * found["n2"] + d[2] * found["n3"]) / follows
+                    left, follows = np.where(found["total"] > 0, left, 1.0)[context], follows[context]
+            doc, rows = g.doc, len(g.starts)
             count = np.bincount(doc, minlength=rows)
             logp = np.bincount(doc, np.log10(p), rows)
-            some = batch.slice(a, rows)
+            some = some.combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays(
                 [
                     some.column("doc_id").cast(pa.int64()),
                     some.column("learn"),
                     pa.array(count, pa.int64()),
-                    pa.array(np.bincount(doc, n > 0, rows).astype(np.int64)),
+                    pa.array(np.bincount(doc, known, rows).astype(np.int64)),
                     pa.array(np.full(rows, total, np.int64)),
                     pa.array(np.bincount(doc, base, rows)),
                     pa.array(logp),
