@@ -57,8 +57,8 @@ BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
 ORDER = 3
 #: Text bytes per hash range and word of context: bounds the arrays that one merging task holds.
 RANGE_BYTES = 24 << 20
-#: Tokens that a task gathers before it looks up their grams: few enough for the processor's cache, enough to visit each range seldom.
-GATHER = 1 << 19
+#: Tokens that a task gathers before it looks up their grams: every gathering visits all ranges, whose number grows with the corpus.
+GATHER = 1 << 20
 #: Grams or counts that a task packs together; bounds a worker's memory.
 PACK = 1 << 20
 #: Text bytes hashed at a time.
