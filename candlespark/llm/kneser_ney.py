@@ -3,7 +3,7 @@ sorted hash arrays, memory-mapped by the workers that score.
 
 A model of order n takes n + 1 sweeps over the text, each without a shuffle of
 rows per token; only the last one reads texts that are not learned from.  A
-task gathers some millions of tokens, numbers their distinct grams, and counts
+task gathers about a million tokens, numbers their distinct grams, and counts
 and looks up by number, so each gram is searched once a gathering and a range
 of the model is visited once a gathering, however many ranges there are:
 
